@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"  # the contract's white space
 _SEGMENT = 1 << 20  # bytes hashed at a time; bounds the temporaries
@@ -149,3 +151,30 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             hi = max(lo + 1, int(np.searchsorted(size, size[lo] + most, side="right")) - 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As cut(), in columns: a Parquet table in the shared checkpoint folder, for what is read more than once or in part."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stranda-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """Connected components of links (a, b), both long: (node, root), root the least node; nodes without a link are absent.
+
+    Large-star and small-star rounds (Kiveris et al. 2014) on the link table, each cut off in the shared folder; a node's
+    links are only reduced to their minimum, never gathered."""
+    edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
+        edges = cut(small)
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before = now
