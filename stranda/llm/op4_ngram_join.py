@@ -9,8 +9,9 @@ distinct SIZE-word shingles (all its words as one if there are fewer; nothing wi
    n-grams, a table of bounded size), the rest before it, by hash. Any order gives the same links; this one keeps shared
    passages and stock phrases out of the front of each set.
 3. Linked sets share an n-gram in the front (1 - LEAST %) of both. Fronts are joined on their n-grams; those that only one
-   class has are dropped. A pair must also pass the length bound and a bound on the difference from 256 parity bits, which
-   never exceed the number of n-grams that only one of the two has. Both are tested inside the join.
+   class has are dropped. A pair must also pass the length bound and a bound on the difference from 512 parity bits, which
+   never differ in more places than there are n-grams that only one of the two has. Both are tested inside the join;
+   what passes is tested again with 2048 bits.
 4. First, each n-gram's classes are compared with one hub among them only. What that links is contracted, and n-grams
    whose classes are all in one component are dropped, so a large group of near copies costs a number of comparisons
    proportional to its size. Then all pairs in different components are compared.
@@ -37,10 +38,11 @@ from .common import Texts, components, cut, mix64, pieces, stored, table, window
 
 SIZE = 3
 LEAST = 90
-HOT = 1 << 18
-OFTEN = 4  # times in some 8 MB of text, to count as frequent there
+HOT = 1 << 20
+OFTEN = 2  # times in some 8 MB of text, to count as frequent there
 FRAGMENTS = 4  # the last one has the frequent n-grams
-_BITS = ("b0", "b1", "b2", "b3")
+_BITS = tuple(f"b{i}" for i in range(8))
+_SKETCH = 2048  # parity bits of a set; folded to 512 for the join
 _FILTER_BITS = 1 << 23
 
 
@@ -76,24 +78,26 @@ def _long(x: np.ndarray) -> pa.Array:
 
 def _describe(size: int):
     """A row for each document, and rows (token, often) for n-grams that are frequent among those read together."""
-    names = ["doc_id", "n", "k", *_BITS, "token", "often"]
+    names = ["doc_id", "n", "k", *_BITS, "sketch", "token", "often"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             bounds, token = shingle_sets(Texts.of(batch.column(1)), size)
             n = np.diff(bounds)
-            bit = (mix64(token) & np.uint64(255)).astype(np.int64)
-            keys, parity = [], np.zeros((len(n), 32), np.uint8)
+            bit = (mix64(token) & np.uint64(_SKETCH - 1)).astype(np.int64)
+            keys, parity = [], np.zeros((len(n), _SKETCH // 8), np.uint8)
             for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                 keys.append(_class_key(token[a:b]) if b > a else None)
-                parity[i] = np.packbits((np.bincount(bit[a:b], minlength=256) & 1).astype(np.uint8))
-            bits = parity.view(np.int64).reshape(len(n), 4)
+                parity[i] = np.packbits((np.bincount(bit[a:b], minlength=_SKETCH) & 1).astype(np.uint8))
+            sketch = parity.view(np.int64)
+            bits = np.bitwise_xor.reduce(sketch.reshape(len(n), -1, len(_BITS)), axis=1)
+            whole = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (_SKETCH // 64)), pa.array(sketch.ravel()))
             none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(keys, pa.int64()), *(pa.array(np.ascontiguousarray(bits[:, j])) for j in range(4)), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(keys, pa.int64()), *(pa.array(np.ascontiguousarray(bits[:, j])) for j in range(len(_BITS))), whole, none, none], names)
             common, times = np.unique(token, return_counts=True)
             common, times = common[times >= OFTEN], times[times >= OFTEN]
             none = pa.nulls(len(common), pa.int64())
-            yield pa.RecordBatch.from_arrays([none] * 7 + [_long(common), pa.array(times.astype(np.int64))], names)
+            yield pa.RecordBatch.from_arrays([none] * (3 + len(_BITS)) + [pa.nulls(len(common), pa.list_(pa.int64())), _long(common), pa.array(times.astype(np.int64))], names)
 
     return run
 
@@ -173,20 +177,31 @@ def _may_link(least: int) -> Column:
     return (low * 100 >= high * least) & (differ * (100 + least) <= (F.col("n") + F.col("n_b")) * (100 - least))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order, size: int, least: int) -> DataFrame:
-    """The linked ones of candidate pairs (a, n, b, n_b): overlaps counted by fragment, then summed."""
+def _differ_little(rows: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """pairs (a, doc, n, b, doc_b, n_b) without those whose whole sketches differ in more bits than linked sets can."""
+    sketch = rows.select("k", "doc_id", "sketch")
+    x, y = (sketch.select(F.col("k").alias(k), F.col("doc_id").alias(d), F.col("sketch").alias(s)) for k, d, s in (("a", "doc", "x"), ("b", "doc_b", "y")))
+    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, z: s + z)
+    near = differ * (100 + least) <= (F.col("n") + F.col("n_b")) * (100 - least)
+    return pairs.join(x, ["a", "doc"]).join(y, ["b", "doc_b"]).filter(near).select(*pairs.columns).distinct()
+
+
+def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, order, size: int, least: int) -> DataFrame:
+    """The linked ones of candidate pairs (a, doc, n, b, doc_b, n_b): overlaps counted by fragment, then summed."""
     spark = docs.sparkSession
-    involved = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().join(classes.select(F.col("k").alias("a"), "doc"), "a")
+    pairs = cut(_differ_little(rows, pairs, least))
     bit = F.col("doc").bitwiseAND(F.lit(_FILTER_BITS - 1))
-    words = involved.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(doc & 63 AS int))")).alias("bits")).collect()  # at most _FILTER_BITS / 64 rows
+    involved = pairs.select("doc").unionByName(pairs.select(F.col("doc_b").alias("doc")))
+    words = involved.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(doc & 63 AS int))")).alias("bits")).collect()  # at most _FILTER_BITS / 64 rows
     wanted = np.zeros(_FILTER_BITS >> 6, np.int64)
     for r in words:
         wanted[r.w] = r.bits
-    parts = docs.select("doc_id", "text").mapInArrow(_fragments(size, order, spark.sparkContext.broadcast(wanted.view(np.uint64))), "k long, fragment int, tokens array<long>")
-    parts = cut(parts.join(involved.select(F.col("a").alias("k")).distinct(), "k", "left_semi").dropDuplicates(["k", "fragment"]))
-    each = pairs.join(parts.select(F.col("k").alias("a"), "fragment", F.col("tokens").alias("x")), "a")
+    parts = docs.mapInArrow(_fragments(size, order, spark.sparkContext.broadcast(wanted.view(np.uint64))), "k long, fragment int, tokens array<long>")
+    each = pairs.select("a", "b", "n", "n_b").join(parts.select(F.col("k").alias("a"), "fragment", F.col("tokens").alias("x")), "a")
     each = each.join(parts.select(F.col("k").alias("b"), "fragment", F.col("tokens").alias("y")), ["b", "fragment"])
-    overlap = each.groupBy("a", "b", "n", "n_b").agg(F.sum(F.size(F.array_intersect("x", "y"))).alias("o"))
+    # a text may be there twice; its fragments count once
+    partial = each.groupBy("a", "b", "n", "n_b", "fragment").agg(F.max(F.size(F.array_intersect("x", "y"))).alias("o"))
+    overlap = partial.groupBy("a", "b", "n", "n_b").agg(F.sum("o").alias("o"))
     return cut(overlap.filter(F.col("o") * 100 >= (F.col("n") + F.col("n_b") - F.col("o")) * least).select("a", "b"))
 
 
@@ -194,37 +209,41 @@ def link(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> tuple[DataFra
     """(rows, roots): doc_id, n, k of every row; and of every linked class k, its component's root."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    described = stored(docs.mapInArrow(_describe(size), ", ".join(f"{c} long" for c in ("doc_id", "n", "k", *_BITS, "token", "often"))))
+    longs = ", ".join(f"{c} long" for c in ("doc_id", "n", "k", *_BITS))
+    described = stored(docs.mapInArrow(_describe(size), f"{longs}, sketch array<long>, token long, often long"))
     rows = described.filter("n IS NOT NULL")
     hot = described.filter("token IS NOT NULL").groupBy("token").agg(F.sum("often").alias("often")).orderBy(F.desc("often"), "token").limit(HOT).collect()  # bounded
     order = spark.sparkContext.broadcast(_Order([(r.token, r.often) for r in reversed(hot)]))
     docs = docs.filter("doc_id IS NOT NULL")
-    classes = cut(rows.filter("doc_id IS NOT NULL AND k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), *(F.max(x).alias(x) for x in _BITS)))
+    classes = rows.filter("doc_id IS NOT NULL AND k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), *(F.max(x).alias(x) for x in _BITS))
 
     fronts = stored(docs.mapInArrow(_fronts(size, least, order), "token long, k long"))
     shared = fronts.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("token")
-    fronts = cut(fronts.join(shared, "token", "left_semi").distinct())
+    fronts = stored(fronts.join(shared, "token", "left_semi").distinct())
     # n-grams of the front that no other class has: none in the text that others are near copies of
     own = fronts.groupBy("k").agg(F.count("*").alias("found"))
     alone = (F.col("n") - F.ceil(F.col("n") * least / 100) + 1 - F.col("found")).cast("long")
-    known = classes.join(own, "k").withColumn("alone", alone).drop("found")
-    posted = cut(fronts.join(known, "k"))
+    known = cut(classes.join(own, "k").withColumn("alone", alone).drop("found"))
+    posted = stored(fronts.join(known, "k"))
 
-    as_b = lambda df: df.select("token", *(F.col(c).alias(f"{c}_b") for c in ("k", "n", *_BITS)))
-    hubs = posted.groupBy("token").agg(F.min(F.struct("alone", "doc", "k", "n", *_BITS)).alias("h")).select("token", "h.k", "h.n", *(f"h.{x}" for x in _BITS))
-    named = [F.col("k").alias("a"), "n", F.col("k_b").alias("b"), "n_b"]
+    kept = ("k", "doc", "n", *_BITS)
+    as_b = lambda df, *more: df.select("token", *(F.col(c).alias(f"{c}_b") for c in (*kept, *more)))
+    hubs = posted.groupBy("token").agg(F.min(F.struct("alone", *kept[1:2], "k", *kept[2:])).alias("h")).select("token", "h.*")
+    named = [F.col("k").alias("a"), "doc", "n", F.col("k_b").alias("b"), "doc_b", "n_b"]
     pairs = cut(posted.join(as_b(hubs), "token").filter((F.col("k") != F.col("k_b")) & _may_link(least)).select(*named).distinct())
-    links = _verified(docs, pairs, classes, order, size, least)
+    links = _verified(docs, rows, pairs, order, size, least)
     roots = cut(components(links))
 
-    posted = posted.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    open_ = posted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    posted = cut(posted.join(open_, "token", "left_semi"))
-    others = posted.select("token", *(F.col(c).alias(f"{c}_b") for c in ("k", "n", *_BITS, "root")))
-    more = posted.join(others, "token").filter((F.col("k") < F.col("k_b")) & (F.col("root") != F.col("root_b")) & _may_link(least)).select(*named).distinct()
-    more = cut(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"))
+    # n-grams whose classes are all in one component by now have nothing left to link
+    rooted = fronts.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    open_ = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
+    roots_of = posted.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    left = roots_of.join(open_, "token", "left_semi")
+    more = left.join(as_b(left, "root"), "token").filter((F.col("k") < F.col("k_b")) & (F.col("root") != F.col("root_b")) & _may_link(least)).select(*named).distinct()
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = cut(more.join(done, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        links = links.unionByName(_verified(docs, more, classes, order, size, least))
+        links = links.unionByName(_verified(docs, rows, more, order, size, least))
         roots = cut(components(links))
     return rows.select("doc_id", "n", "k"), roots
 
