@@ -55,13 +55,16 @@ def zygosity(gt: Column) -> Column:
 
 
 def read_blocks(start: Column, cigar: Column) -> Column:
-    """RD-10: array of (start_, end_) of a CIGAR's aligned blocks (M, =, X) on the reference."""
-    ops = F.arrays_zip(F.transform(F.regexp_extract_all(cigar, F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(1)), lambda x: x.cast("long")).alias("n"), F.regexp_extract_all(cigar, F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(2)).alias("op"))
-    none = F.expr("cast(array() AS array<struct<start_: bigint, end_: bigint>>)")
+    """RD-10: array of (start_, end_, read_start) of a CIGAR's aligned blocks (M, =, X); read_start is 1-based in the read."""
+    pattern = F.lit(r"(\d+)([MIDNSHP=X])")
+    ops = F.arrays_zip(F.transform(F.regexp_extract_all(cigar, pattern, F.lit(1)), lambda x: x.cast("long")).alias("n"), F.regexp_extract_all(cigar, pattern, F.lit(2)).alias("op"))
+    none = F.expr("cast(array() AS array<struct<start_: bigint, end_: bigint, read_start: bigint>>)")
+    first = F.struct(start.cast("long").alias("at"), F.lit(1).cast("long").alias("read"), none.alias("blocks"))
 
     def step(acc: Column, x: Column) -> Column:
-        on = F.when(x["op"].isin("M", "=", "X", "D", "N"), x["n"]).otherwise(F.lit(0))
-        block = F.array(F.struct(acc["at"].alias("start_"), (acc["at"] + x["n"] - 1).alias("end_")))
-        return F.struct((acc["at"] + on).alias("at"), F.when(x["op"].isin("M", "=", "X"), F.concat(acc["blocks"], block)).otherwise(acc["blocks"]).alias("blocks"))
+        both = x["op"].isin("M", "=", "X")
+        block = F.array(F.struct(acc["at"].alias("start_"), (acc["at"] + x["n"] - 1).alias("end_"), acc["read"].alias("read_start")))
+        moved = lambda c, ops: acc[c] + F.when(x["op"].isin(*ops), x["n"]).otherwise(F.lit(0))
+        return F.struct(moved("at", "M=XDN").alias("at"), moved("read", "M=XIS").alias("read"), F.when(both, F.concat(acc["blocks"], block)).otherwise(acc["blocks"]).alias("blocks"))
 
-    return F.aggregate(ops, F.struct(start.cast("long").alias("at"), none.alias("blocks")), step, lambda acc: acc["blocks"])
+    return F.aggregate(ops, first, step, lambda acc: acc["blocks"])

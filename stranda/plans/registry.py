@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..fixtures import EXON, FEAT, GENE, IV, READS, SIGNAL, VAR, fixture
 from ..functions import interval as iv
 from ..functions import sequence as sq
-from ..operators import islands, joins
+from ..operators import islands, joins, transcripts
 
 _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
@@ -216,6 +216,61 @@ def type_counts(spark, sf_dir):
     return _get(FEAT)(spark, sf_dir)[0].filter("chrom = 'chr2' AND strand = '-'").groupBy("name").agg(F.count("*").alias("n"))
 
 
+@_query("seq_3end", _WITH + "SELECT tx_id, start_, end_ FROM (SELECT tx_id, CASE WHEN strand = '-' THEN start_ ELSE end_ - least(size, 40 - after) + 1 END AS start_, CASE WHEN strand = '-' THEN start_ + least(size, 40 - after) - 1 ELSE end_ END AS end_, after FROM (SELECT *, end_ - start_ + 1 AS size, cast(coalesce(sum(end_ - start_ + 1) OVER (PARTITION BY tx_id ORDER BY CASE WHEN strand = '-' THEN start_ ELSE -end_ END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS after FROM e) a) b WHERE after < 40")
+def last_bases(spark, sf_dir):
+    """SQ-18."""
+    return transcripts.last_bases(_get(EXON)(spark, sf_dir)[0], 40).select("tx_id", "start_", "end_")
+
+
+@_query("seq_rel_coord", _WITH + "SELECT tx_id, rnk, start_, CASE WHEN strand = '-' THEN before + end_ - start_ + 1 ELSE before + 1 END AS rel FROM (SELECT *, cast(coalesce(sum(end_ - start_ + 1) OVER (PARTITION BY tx_id ORDER BY CASE WHEN strand = '-' THEN -end_ ELSE start_ END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS before FROM e) a")
+def rel_coord(spark, sf_dir):
+    """SQ-15 for the first base of each exon."""
+    exon = _get(EXON)(spark, sf_dir)[0]
+    points = exon.select("tx_id", F.col("start_").alias("pos")).distinct()
+    rel = transcripts.to_spliced(exon, points).withColumnRenamed("pos", "start_")
+    return exon.select("tx_id", "rnk", "start_").join(rel, ["tx_id", "start_"]).select("tx_id", "rnk", "start_", "rel")
+
+
+@_query("tx_to_bed12", _WITH + "SELECT tx_id, concat_ws(chr(9), min(chrom), (min(start_) - 1)::VARCHAR, max(end_)::VARCHAR, tx_id::VARCHAR, '0', coalesce(min(strand), '.'), (min(start_) - 1)::VARCHAR, max(end_)::VARCHAR, '0,0,0', count(*)::VARCHAR, string_agg((end_ - start_ + 1)::VARCHAR, ',' ORDER BY start_, end_) || ',', string_agg((start_ - s)::VARCHAR, ',' ORDER BY start_, end_) || ',') AS line FROM (SELECT *, min(start_) OVER (PARTITION BY tx_id) AS s FROM e) a GROUP BY tx_id")
+def to_bed12(spark, sf_dir):
+    """SK-06."""
+    return transcripts.bed12(_get(EXON)(spark, sf_dir)[0])
+
+
+@_query("rd_pileup", _WITH + f"SELECT chrom, pos, base, count(*) AS n FROM (SELECT chrom, start_ + b[1] + k AS pos, substr(seq, (b[3] + k)::INT, 1) AS base FROM (SELECT *, unnest(range(0, b[2] - b[1] + 1)) AS k FROM ({_BLOCKS}) x) y) z GROUP BY chrom, pos, base")
+def pileup(spark, sf_dir):
+    """RD-10: counts of bases by position."""
+    reads = _get(READS)(spark, sf_dir)[0].filter(F.col("flag").bitwiseAND(F.lit(3844)) == 0)
+    bases = reads.select("chrom", "seq", F.explode(sq.read_blocks(F.col("start_"), F.col("cigar"))).alias("b"))
+    each = bases.select("chrom", "seq", "b.start_", "b.read_start", F.posexplode(F.sequence("b.start_", "b.end_")).alias("k", "pos"))
+    return each.groupBy("chrom", "pos", F.substring("seq", F.col("read_start") + F.col("k"), F.lit(1)).alias("base")).agg(F.count("*").alias("n"))
+
+
+@_query("rd_downsample", _WITH + "SELECT chrom, least(count(*), 50) AS n FROM r GROUP BY chrom")
+def downsample(spark, sf_dir):
+    """RD-13: at most 50 reads of each chromosome, by a hash; counted here, for engines hash differently."""
+    w = Window.partitionBy("chrom").orderBy(F.xxhash64("uid"), "uid")
+    return _get(READS)(spark, sf_dir)[0].withColumn("i", F.row_number().over(w)).filter("i <= 50").groupBy("chrom").agg(F.count("*").alias("n"))
+
+
+@_query("tx_counts", _WITH + "SELECT gene_id, count(DISTINCT tx_id) AS n_tx, count(*) AS n_exons FROM e GROUP BY gene_id")
+def tx_counts(spark, sf_dir):
+    """AG-13, TX-23."""
+    return _get(EXON)(spark, sf_dir)[0].groupBy("gene_id").agg(F.countDistinct("tx_id").alias("n_tx"), F.count("*").alias("n_exons"))
+
+
+@_query("ag_norm_max", _WITH + "SELECT uid, round(score / max(score) OVER (PARTITION BY chrom), 6) AS share FROM f")
+def norm_max(spark, sf_dir):
+    """AG-08."""
+    return _get(FEAT)(spark, sf_dir)[0].select("uid", F.round(F.col("score") / F.max("score").over(Window.partitionBy("chrom")), 6).alias("share"))
+
+
+@_query("ag_collapse", _WITH + "SELECT chrom, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM f GROUP BY chrom")
+def collapse(spark, sf_dir):
+    """AG-10."""
+    return _get(FEAT)(spark, sf_dir)[0].groupBy("chrom").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("names"))
+
+
 def queries() -> dict:
     return {k: f for k, (f, _) in _ALL.items()}
 

@@ -82,4 +82,4 @@ def test_sequences(spark):
     ).first()
     assert (row.rc, row.gc, row.pad, row.w, row.k) == ("*NCAGT", 2, "NACGNN", ["ACGT", "TACG"], 2)
     assert [tuple(z) for z in row.z] == [(0, 0), (2, 1), (2, 1), (2, 1), (2, 1), (1, 1), (2, 0)]
-    assert [tuple(b) for b in row.b] == [(10, 12), (15, 18), (19, 23), (34, 35)]
+    assert [tuple(b) for b in row.b] == [(10, 12, 3), (15, 18, 6), (19, 23, 11), (34, 35, 16)]
