@@ -19,6 +19,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,14 +56,20 @@ def _key(tag: str, attributes: str) -> tuple[str, bool]:
 
 def tokens(page: str) -> Iterator[tuple[str, str, int, str, bool]]:
     """(kind, key, words, text, in boilerplate): kind is "tag", or "text" with the container's key."""
-    stack: list[tuple[str, str, bool]] = []
+    # of each open element: tag, key, whether it or one around it is boilerplate, the key of the nearest container
+    stack: list[tuple[str, str, bool, str]] = []
+    open_: Counter[str] = Counter()
+
+    def drop(n: int) -> None:
+        open_.subtract(t for t, *_ in stack[n:])
+        del stack[n:]
+
     at = 0
     while at < len(page):
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text and not text.isspace():
-            key = next((k for t, k, _ in reversed(stack) if t in BLOCKS and t != "p"), "")
-            yield "text", key, len(text.split()), text, any(b for _, _, b in stack)
+            yield "text", stack[-1][3] if stack else "", len(text.split()), text, bool(stack) and stack[-1][2]
         elif text:
             yield "text", "", 0, text, False
         if not m:
@@ -73,24 +80,26 @@ def tokens(page: str) -> Iterator[tuple[str, str, int, str, bool]]:
         tag = m[2].lower()
         if m[1]:
             key = f"/{tag}"
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    key = f"/{stack[i][1]}"
-                    del stack[i:]
-                    break
+            if open_[tag] > 0:
+                i = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
+                key = f"/{stack[i][1]}"
+                drop(i)
             yield "tag", key, 0, "", False
             continue
         key, boilerplate = _key(tag, m[3])
-        if tag in CLOSES_P and stack and stack[-1][0] not in BLOCKS - {"p"} and any(t == "p" for t, _, _ in stack):
-            last = max(i for i, x in enumerate(stack) if x[0] == "p")
-            if all(t not in BLOCKS for t, _, _ in stack[last + 1 :]):
-                del stack[last:]
+        if tag in CLOSES_P and open_["p"] > 0:
+            # an open paragraph ends here, unless another block has begun in it
+            i = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCKS)
+            if stack[i][0] == "p":
+                drop(i)
         yield "tag", key, 0, "", boilerplate
         if tag in RAW and not m[3].rstrip().endswith("/"):
             end = re.compile(f"</{tag}", re.I).search(page, at)
             at = (page.find(">", end.end()) + 1 or len(page)) if end else len(page)
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append((tag, key, boilerplate))
+            container = key if tag in BLOCKS and tag != "p" else stack[-1][3] if stack else ""
+            stack.append((tag, key, boilerplate or bool(stack) and stack[-1][2], container))
+            open_[tag] += 1
 
 
 class Weights:
