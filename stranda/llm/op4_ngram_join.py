@@ -38,7 +38,7 @@ from .common import Texts, components, cut, mix64, pieces, stored, table, window
 
 SIZE = 3
 LEAST = 90
-HOT = 1 << 20
+HOT = 1 << 18
 OFTEN = 2  # times in some 8 MB of text, to count as frequent there
 FRAGMENTS = 4  # the last one has the frequent n-grams
 _BITS = tuple(f"b{i}" for i in range(8))
@@ -81,7 +81,7 @@ def _describe(size: int):
     names = ["doc_id", "n", "k", *_BITS, "sketch", "token", "often"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 8 << 20):
             bounds, token = shingle_sets(Texts.of(batch.column(1)), size)
             n = np.diff(bounds)
             bit = (mix64(token) & np.uint64(_SKETCH - 1)).astype(np.int64)
@@ -105,9 +105,10 @@ def _describe(size: int):
 class _Order:
     """The global n-gram order: frequent ones (sorted hashes, ranks by count) after all others."""
 
-    def __init__(self, hot: list[tuple[int, int]]):
-        token = np.array([t for t, _ in hot], np.int64).view(np.uint64)
-        rank = np.arange(len(hot), dtype=np.int64)
+    def __init__(self, token: np.ndarray, often: np.ndarray):
+        token = token.view(np.uint64)
+        rank = np.empty(len(token), np.int64)
+        rank[np.lexsort((token, often))] = np.arange(len(token))
         by_token = np.argsort(token)
         self.token, self.rank_of = token[by_token], rank[by_token]
 
@@ -177,6 +178,21 @@ def _may_link(least: int) -> Column:
     return (low * 100 >= high * least) & (differ * (100 + least) <= (F.col("n") + F.col("n_b")) * (100 - least))
 
 
+def _frequent(described: DataFrame) -> _Order:
+    """The order with the most frequent n-grams, at most HOT of them, last."""
+    counted = described.filter("token IS NOT NULL").groupBy("token").agg(F.sum("often").alias("often"))
+    # the least count with at most HOT n-grams at or above it, from the few distinct counts
+    room, least = HOT, None
+    for r in counted.groupBy(F.least("often", F.lit(1 << 16)).alias("often")).agg(F.count("*").alias("n")).orderBy(F.desc("often")).collect():
+        if r.n > room:
+            break
+        room, least = room - r.n, r.often
+    if least is None:
+        return _Order(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    hot = counted.filter(F.col("often") >= least).toArrow()
+    return _Order(*(hot.column(c).to_numpy().astype(np.int64) for c in ("token", "often")))
+
+
 def _differ_little(rows: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
     """pairs (a, doc, n, b, doc_b, n_b) without those whose whole sketches differ in more bits than linked sets can."""
     sketch = rows.select("k", "doc_id", "sketch")
@@ -212,8 +228,7 @@ def link(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> tuple[DataFra
     longs = ", ".join(f"{c} long" for c in ("doc_id", "n", "k", *_BITS))
     described = stored(docs.mapInArrow(_describe(size), f"{longs}, sketch array<long>, token long, often long"))
     rows = described.filter("n IS NOT NULL")
-    hot = described.filter("token IS NOT NULL").groupBy("token").agg(F.sum("often").alias("often")).orderBy(F.desc("often"), "token").limit(HOT).collect()  # bounded
-    order = spark.sparkContext.broadcast(_Order([(r.token, r.often) for r in reversed(hot)]))
+    order = spark.sparkContext.broadcast(_frequent(described))
     docs = docs.filter("doc_id IS NOT NULL")
     classes = rows.filter("doc_id IS NOT NULL AND k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), *(F.max(x).alias(x) for x in _BITS))
 
