@@ -142,7 +142,7 @@ def windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return mix64(total[at]), at
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of the column, so long texts don't pile up."""
     for batch in batches:
         size = Texts.of(batch.column(batch.schema.get_field_index(column))).offsets
