@@ -5,11 +5,12 @@
 2. Document frequencies of all ids, the number of documents and their mean length are counted over the whole corpus; ids
    are BPE ids, so this is a table of VOCABULARY entries at most.
 3. The rests are dealt by a hash to shards of about SHARD documents. Each shard builds an inverted index of BM25 weights
-   and, seed by seed, asks it for the unused documents closest to the seed; they fill the window, the last one is cut
+   and, seed by seed, asks it, with all ids of the seed, for the unused documents closest to it; they fill the window, the last one is cut
    where the window ends, and what is left of it seeds the next window. So only a shard's last window is padded.
 
 A shard is bounded by its number of documents and by WINDOW ids for each, whatever the corpus holds; copies spread over
-shards, for the hash is of all columns of a piece and of the text.
+shards, for the hash is of all columns of a piece and of the text. So neighbours are the best of the seed's own shard only, a
+share of the corpus that falls as it grows; README.md has what that costs. Nothing here retrieves over all rests.
 
 Null or empty text: the one id 1. Null doc_id: packed as any other. Repeated rows: each is packed. Ties between
 neighbours go to the lower place in the shard's order (doc_id, start, ids). An empty table gives no rows; other columns are
@@ -33,7 +34,6 @@ from .common import cut, pieces, table
 WINDOW = 2048
 END = 1
 SHARD = 1024  # rests in a shard, about
-QUERY_TERMS = 24  # of the seed, those with the highest idf * tf
 K1, B = 1.2, 0.75
 VOCABULARY = 1 << 16
 
@@ -140,15 +140,15 @@ class Index:
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order].astype(np.float32)
         self.at = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
-        self.query = [t[np.lexsort((t, -(idf[t] * f)))[:QUERY_TERMS]] for t, f in counted]
+        self.query = [t for t, _ in counted]
         self.n = len(docs)
 
     def scores(self, seed: int) -> np.ndarray:
-        out = np.zeros(self.n, np.float32)
-        for t in self.query[seed]:
-            lo, hi = self.at[t], self.at[t + 1]
-            out[self.doc[lo:hi]] += self.weight[lo:hi]
-        return out
+        """Of each document, the sum of its weights of the seed's ids, all of them."""
+        terms = self.query[seed]
+        lo, n = self.at[terms], self.at[terms + 1] - self.at[terms]
+        at = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+        return np.bincount(self.doc[at], self.weight[at], self.n).astype(np.float32)
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float) -> list[tuple[int, int, int, int, int]]:

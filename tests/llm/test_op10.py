@@ -69,3 +69,11 @@ def test_neighbours_share_the_seeds_terms():
     found = op.pack_shard(docs, np.ones(op.VOCABULARY, np.float32), 600.0)
     first = {d % 3 for d, _, _, s, _ in found if s == 0}
     assert first == {0}
+
+
+def test_all_of_the_seeds_ids_are_asked_for():
+    docs = [np.arange(100).astype("<u2"), np.arange(24).astype("<u2"), np.arange(24, 100).astype("<u2")]
+    index = op.Index(docs, np.ones(op.VOCABULARY, np.float32), 70.0)
+    score = index.scores(0)
+    want = [sum((op.K1 + 1) / (1 + op.K1 * (1 - op.B + op.B * len(d) / 70)) for t in d if t < 100) for d in docs]
+    assert np.allclose(score, want, rtol=1e-4) and score[2] > score[1]
