@@ -74,48 +74,44 @@ def encode(text: str, path: str) -> np.ndarray:
 
 def _tokenize(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(VOCABULARY, np.int64), 0, 0
         for batch in pieces(batches, "text"):
             ids, out = batch.column(0).to_pylist(), []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 x = encode(text or "", path)
+                df[np.unique(x)] += 1
+                n, total = n + 1, total + len(x)
                 whole = len(x) // WINDOW * WINDOW
                 for at in range(0, whole, WINDOW):
-                    out.append((ids[i], at, WINDOW, zlib.crc32(x[at : at + WINDOW].astype("<u4").tobytes()), len(x), None))
+                    out.append((ids[i], at, WINDOW, zlib.crc32(x[at : at + WINDOW].astype("<u4").tobytes()), len(x), None, None, None))
                 if whole < len(x):
                     rest = x[whole:]
-                    out.append((ids[i], whole, len(rest), 0, len(x), rest.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)] if out else [pa.array([], t) for t in _TYPES], _NAMES)
+                    out.append((ids[i], whole, len(rest), 0, len(x), rest.tobytes(), None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)] if out else [pa.array([], t) for t in _TYPES], [*_NAMES, "term", "n"])
+        at = np.flatnonzero(df)
+        none = [pa.nulls(len(at) + 2, t) for t in _TYPES[: len(_NAMES)]]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([*at, -1, -2], pa.int32()), pa.array([*df[at], n, total], pa.int64())], [*_NAMES, "term", "n"])
 
     return run
 
 
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-_TOKENS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+_TOKENS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, term int, n long"
 _OUT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def tokenized(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Pieces of documents: whole windows with their checksum, and the rest with its ids (16 bits each)."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_tokenize(tokenizer or _default_tokenizer()), _TOKENS)
-
+    """Pieces of documents: whole windows with their checksum, and the rest with its ids (16 bits each).
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    df = np.zeros(VOCABULARY, np.int64)
-    n = total = 0
-    for batch in batches:
-        for x in batch.column(0).to_pylist():
-            x = np.frombuffer(x, "<u2")
-            df[np.unique(x)] += 1
-            n, total = n + 1, total + len(x)
-    at = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array([*at, -1, -2], pa.int32()), pa.array([*df[at], n, total], pa.int64())], ["term", "n"])
+    Beside them, rows (term, n): of each partition, in how many documents an id is; at -1 their number, at -2 their length."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_tokenize(tokenizer or _default_tokenizer()), _TOKENS)
 
 
-def statistics(rests: DataFrame) -> tuple[np.ndarray, float]:
-    """(idf of each id, mean length) over all rests. At most VOCABULARY sums reach the driver."""
-    found = rests.select("ids").mapInArrow(_count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+def statistics(tokens: DataFrame) -> tuple[np.ndarray, float]:
+    """(idf of each id, mean length) over all whole documents. At most VOCABULARY + 2 sums reach the driver."""
+    found = tokens.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df, n, total = np.zeros(VOCABULARY), 0, 0
     for term, count in found:
         if term >= 0:
@@ -210,10 +206,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, shard: int = SHARD) -> D
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     tokens = cut(tokenized(docs, tokenizer))
-    rests = tokens.filter("ids IS NOT NULL")
-    idf, mean = statistics(rests)
-    shards = max(1, -(-tokens.count() // shard))
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids", "ids_crc32"), F.lit(shards)))
+    idf, mean = statistics(tokens)
+    parts = tokens.filter("term IS NULL").drop("term", "n")
+    shards = max(1, -(-parts.count() // shard))
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids", "ids_crc32"), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(_pack(spark.sparkContext.broadcast(idf), mean), _PIECES)
 
 

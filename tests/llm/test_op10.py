@@ -77,3 +77,13 @@ def test_all_of_the_seeds_ids_are_asked_for():
     score = index.scores(0)
     want = [sum((op.K1 + 1) / (1 + op.K1 * (1 - op.B + op.B * len(d) / 70)) for t in d if t < 100) for d in docs]
     assert np.allclose(score, want, rtol=1e-4) and score[2] > score[1]
+
+
+def test_statistics_are_of_whole_documents(spark, want):
+    texts = ["a b", "b c", " ".join(f"word{i}" for i in range(3000)), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    idf, mean = op.statistics(op.tokenized(df))
+    ids = [want(t) for t in texts]
+    assert max(map(len, ids)) > op.WINDOW and mean == sum(map(len, ids)) / 4
+    count = sum(np.isin(np.arange(op.VOCABULARY), x).astype(int) for x in ids)
+    assert np.allclose(idf, np.log(1 + (4 - count + 0.5) / (count + 0.5)))
