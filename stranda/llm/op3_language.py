@@ -11,6 +11,10 @@ log-likelihood of the set's mixture, by EM, grows by more than PENALTY * log(n)
 proportion). The prediction is the language with the largest proportion in the selected set, the score that proportion times
 its share of the likelihood among single languages' per-trigram means; mixtures are returned too.
 
+`keep` asks for an absolute fit: the selected mixture's log-likelihood per trigram, plus the entropy of its proportions, so
+that a mixed text is held to the mean of its parts. It is compared with held-out pieces of SIZES trigrams of the predicted
+language, so it does not depend on how many languages are learned; without held-out texts, only `und` goes.
+
 Null text, or no letter: `und`, score 0. Null doc_id: never learned from and not held out. Null lang: predicted like others.
 Ties go to the alphabetically first language. With nothing to learn from, all are `und`. Repeated rows: a row of results
 each. An empty table gives no rows. Other columns are ignored by `detect` and kept by `keep`.
@@ -35,7 +39,8 @@ LANGUAGES = 256  # the most frequent ones are learned
 PENALTY = 4.0
 STEPS = 12
 FOLDS = 5
-LEAST_SCORE = 0.2  # for `keep`
+SIZES = (8, 32, 128, 512, 2048)  # trigrams of the held-out pieces that `keep` is calibrated on
+LOW, FAR = 0.05, 4.0  # `keep`: a fit may be so many times as far under the median as that quantile is
 
 
 def held_out(doc_id: Column) -> Column:
@@ -88,13 +93,27 @@ class Model:
                 counts[bucket, place[lang]] += n
         self.log_p = np.log(counts / counts.sum(axis=0))
         self.p = np.exp(self.log_p)
+        self.least: dict[str, list[float]] = {}  # the least fit of each of SIZES, by language
 
-    def mixture(self, text: str | None) -> tuple[dict[str, float], float]:
-        """(proportions of the selected languages, score); empty and 0 where there is nothing to tell from."""
+    def fit(self, grams: np.ndarray) -> tuple[str, float]:
+        """(language, log-likelihood per trigram under the selected mixture, plus the entropy of its proportions)."""
+        bucket, count = np.unique(grams, return_counts=True)
+        _, chosen, share, like = self._select(bucket, count)
+        some = share[share > 0]
+        top = min(range(len(chosen)), key=lambda i: (-share[i], chosen[i]))
+        return self.langs[chosen[top]], like / len(grams) - float(some @ np.log(some))
+
+    def fits(self, text: str | None) -> bool:
+        """Whether the text is in learned languages, as far as its length can tell."""
         grams = trigrams(text or "")
         if not len(grams) or not self.langs:
-            return {}, 0.0
-        bucket, count = np.unique(grams, return_counts=True)
+            return False
+        lang, fit = self.fit(grams)
+        least = self.least.get(lang)
+        return least is None or fit >= float(np.interp(np.log(len(grams)), np.log(SIZES), least))
+
+    def _select(self, bucket: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray, float]:
+        """(log-likelihoods of single languages, the selected set, its proportions and log-likelihood)."""
         single = count @ self.log_p[bucket]
         best = int(np.argmax(single))
         chosen, share, like = [best], np.ones(1), float(single[best])
@@ -106,6 +125,16 @@ class Model:
                 if now - like <= PENALTY * np.log(n) / 2:
                     break
                 chosen, share, like = [*chosen, more], tried, now
+        return single, chosen, share, like
+
+    def mixture(self, text: str | None) -> tuple[dict[str, float], float]:
+        """(proportions of the selected languages, score); empty and 0 where there is nothing to tell from."""
+        grams = trigrams(text or "")
+        if not len(grams) or not self.langs:
+            return {}, 0.0
+        bucket, count = np.unique(grams, return_counts=True)
+        single, chosen, share, _ = self._select(bucket, count)
+        n = int(count.sum())
         top = min(range(len(chosen)), key=lambda i: (-share[i], chosen[i]))
         mean = np.exp((single - single.max()) / max(n, 1) * min(n, 50))
         score = float(share[top] * mean[chosen[top]] / mean.sum())
@@ -121,13 +150,40 @@ def _em(p: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, float]:
     return share, float(count @ np.log(p @ share))
 
 
-def learn(docs: DataFrame) -> Model:
-    """Reads about TRAIN_DOCS texts for each language; at most BUCKETS + 1 sums for each reach the driver."""
-    known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").filter(~held_out(F.col("doc_id")))
+def _fits(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            out = []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                grams = trigrams(text)
+                out += [(lang, n, model.value.fit(grams[at : at + n])[1]) for n in SIZES for at in range(0, min(len(grams) - n + 1, 4 * n), n)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.float64()))], ["lang", "n", "fit"])
+
+    return run
+
+
+def calibrate(docs: DataFrame, model: Model) -> Model:
+    """Sets the model's least fits from about TRAIN_DOCS held-out texts for each language; two numbers a size reach the driver."""
+    some = _some(docs, held_out(F.col("doc_id"))).filter(F.col("lang").isin(model.langs))
+    found = some.mapInArrow(_fits(docs.sparkSession.sparkContext.broadcast(model)), "lang string, n int, fit double").groupBy("lang", "n").agg(F.percentile_approx("fit", [LOW, 0.5], 10_000).alias("q")).collect()
+    for lang in model.langs:
+        at = sorted((r.n, r.q[1] - FAR * (r.q[1] - r.q[0])) for r in found if r.lang == lang)
+        if at:
+            model.least[lang] = np.interp(np.log(SIZES), np.log([n for n, _ in at]), [x for _, x in at]).tolist()
+    return model
+
+
+def _some(docs: DataFrame, where: Column) -> DataFrame:
+    """(lang, text) of about TRAIN_DOCS texts for each language, of those that have all columns."""
+    known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").filter(where)
     sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     share = F.coalesce(*(F.when(F.col("lang") == r.lang, int(min(1.0, TRAIN_DOCS / r.n) * (1 << 30))) for r in sizes), F.lit(0))
-    some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
-    counted = some.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("lang", "text")
+
+
+def learn(docs: DataFrame) -> Model:
+    """Reads about TRAIN_DOCS texts for each language; at most BUCKETS + 1 sums for each reach the driver."""
+    counted = _some(docs, ~held_out(F.col("doc_id"))).mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     return Model([tuple(r) for r in counted.collect()])
 
 
@@ -149,21 +205,14 @@ def detect(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return found.withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "lang_pred", "score", "mixture")
 
 
-def _judge(model, least: float):
-    def run(texts: Iterator) -> Iterator:
-        for batch in texts:
-            yield batch.map(lambda t: t is not None and model.value.mixture(t)[1] >= least)
-
-    return run
-
-
-def keep(docs: DataFrame, least: float = LEAST_SCORE, model: Model | None = None) -> DataFrame:
-    """docs, all columns kept, whose language is known with at least that score; the model is learned from docs."""
-    model = docs.sparkSession.sparkContext.broadcast(model or learn(docs))
+def keep(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """docs, all columns kept, whose text fits the learned languages; without a model (see `calibrate`), it is learned from docs."""
+    model = docs.sparkSession.sparkContext.broadcast(model or calibrate(docs, learn(docs)))
 
     @F.pandas_udf("boolean")
     def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from _judge(model, least)(texts)
+        for batch in texts:
+            yield batch.map(model.value.fits)
 
     return docs.filter(known(F.col("text").cast("string")))
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from pyspark.sql import functions as F
@@ -26,3 +27,19 @@ def test_mixtures_nulls_repeats_and_empty(spark):
     assert op.detect(odd.limit(0)).count() == 0 and {r.lang_pred for r in op.detect(odd.filter("doc_id = 1")).collect()} == {"und"}
     kept = op.keep(odd, model=model)
     assert kept.columns == odd.columns and one["en"] in {r.text for r in kept.collect()} and kept.filter("doc_id IN (1, 2, 3)").count() == 0
+
+
+def test_unknown_languages_and_gibberish_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = op.calibrate(docs, op.learn(docs))
+    clean = {r.lang: r.text for r in docs.filter("n_chars BETWEEN 900 AND 1500").collect()}
+    rng = random.Random(5)
+    gibberish = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(150))
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä"
+    greek = "όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα"
+    texts = {"gibberish": gibberish, "fi": finnish, "el": greek, "mixed": clean["en"][:900] + " " + clean["de"][:900]}
+    texts |= {f"short {k}": " ".join(v.split()[:12]) for k, v in clean.items()}
+    df = spark.createDataFrame(list(texts.items()), "name string, text string")
+    assert {r.name for r in op.keep(df, model=model).collect()} == set(texts) - {"gibberish", "fi", "el"}
+    kept = op.keep(docs, model=model).count()
+    assert kept >= 0.98 * docs.count(), kept
