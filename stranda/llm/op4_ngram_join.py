@@ -263,6 +263,13 @@ def link(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> tuple[DataFra
     return rows.select("doc_id", "n", "k"), roots
 
 
+def component_keys(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
+    """(doc_id, root) of each doc_id with words: the component's key, equal for linked classes and for copies."""
+    rows, roots = link(docs, size, least)
+    classes = rows.filter("doc_id IS NOT NULL AND k IS NOT NULL").select("doc_id", "k").distinct()
+    return classes.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").select("doc_id", F.coalesce("root", "k").alias("root"))
+
+
 def join_components(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
     rows, roots = link(docs, size, least)
