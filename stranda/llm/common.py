@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"  # the contract's white space
 _SEGMENT = 1 << 20  # bytes hashed at a time; bounds the temporaries
+_ROW_GROUP = 16 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where none is set (tests), a temporary one is made."""
+    """The shared folder that the cluster names; only on a local master (tests), a temporary one is made where none is set."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stranda-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="stranda-"))
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
@@ -154,12 +158,22 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """As cut(), in columns: a Parquet table in the shared checkpoint folder, for what is read more than once or in part."""
+    """As cut(), in columns: a Parquet table in the shared checkpoint folder, for what is read more than once or in part.
+
+    Small row groups keep what a task holds before it writes small."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stranda-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", _ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of stored(), once all that was made of them is written."""
+    for df in tables:
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b), both long: (node, root), root the least node; nodes without a link are absent.
 

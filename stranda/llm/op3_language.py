@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -209,10 +208,10 @@ def keep(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs, all columns kept, whose text fits the learned languages; without a model (see `calibrate`), it is learned from docs."""
     model = docs.sparkSession.sparkContext.broadcast(model or calibrate(docs, learn(docs)))
 
-    @F.pandas_udf("boolean")
-    def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def known(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield batch.map(model.value.fits)
+            yield pa.array((model.value.fits(text.as_py()) for text in batch), pa.bool_())
 
     return docs.filter(known(F.col("text").cast("string")))
 

@@ -10,40 +10,46 @@ distinct SIZE-word shingles (all its words as one if there are fewer; nothing wi
    passages and stock phrases out of the front of each set.
 3. Linked sets share an n-gram in the front (1 - LEAST %) of both. Fronts are joined on their n-grams; those that only one
    class has are dropped. A pair must also pass the length bound and a bound on the difference from 512 parity bits, which
-   never differ in more places than there are n-grams that only one of the two has. Both are tested inside the join;
-   what passes is tested again with 2048 bits.
+   never differ in more places than there are n-grams that only one of the two has; what passes is tested again with 2048
+   bits. Where all pairs are compared, both are tested inside the join.
 4. First, each n-gram's classes are compared with one hub among them only. What that links is contracted, and n-grams
    whose classes are all in one component are dropped, so a large group of near copies costs a number of comparisons
-   proportional to its size. Then all pairs in different components are compared.
-5. The order is cut into FRAGMENTS. A candidate pair's overlap is counted in each fragment separately, from the fragment's
+   proportional to its size. Then all pairs in different components are compared whose lengths lie in the same or in
+   neighbouring bins; a link's can't lie further apart. A skewed n-gram's rows are split by AQE's skew join.
+5. The order is cut into FRAGMENTS, ranges of it. A candidate pair's overlap is counted in each fragment separately, from the fragment's
    n-grams of either class, and summed per pair.
 6. Components of the links, on the link table.
 
-Null or empty text, or no word: n_shingles 0, linked with nothing. Null doc_id: n_shingles is given, component_id is null,
+Texts of any length are read whole, in batches of PIECE bytes at least one text long. Ties can't occur: all is by sets. Null or
+empty text, or no word: n_shingles 0, linked with nothing. Null doc_id: n_shingles is given, component_id is null,
 and the row links with nothing. Repeated rows and copies: one class, so one component. Rows of one doc_id with other texts
 are classes of their own. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Texts, components, cut, mix64, pieces, stored, table, windows, word_hashes
+from .common import Texts, components, cut, discard, mix64, pieces, stored, table, windows, word_hashes
 
 SIZE = 3
 LEAST = 90
 HOT = 1 << 18
-OFTEN = 2  # times in some 8 MB of text, to count as frequent there
-FRAGMENTS = 4  # the last one has the frequent n-grams
+OFTEN = 2  # times among TOGETHER n-grams, to count as frequent there
+TOGETHER = 1 << 20
+PIECE = 1 << 19  # bytes of text shingled at a time
+FRAGMENTS = 4  # cuts of the order; the last one has the frequent n-grams
 _BITS = tuple(f"b{i}" for i in range(8))
 _SKETCH = 2048  # parity bits of a set; folded to 512 for the join
 _FILTER_BITS = 1 << 23
+_CUTS = np.array([(i << 64) // (FRAGMENTS - 1) for i in range(1, FRAGMENTS - 1)], np.uint64)  # the rest of the order is by hash
 
 
 def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,8 +86,18 @@ def _describe(size: int):
     """A row for each document, and rows (token, often) for n-grams that are frequent among those read together."""
     names = ["doc_id", "n", "k", *_BITS, "sketch", "token", "often"]
 
+    def frequent(seen: list[np.ndarray]) -> pa.RecordBatch:
+        token = np.concatenate(seen) if seen else np.zeros(0, np.uint64)
+        token.sort()
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(token)))
+        common, times = token[first[times >= OFTEN]], times[times >= OFTEN]
+        none = pa.nulls(len(common), pa.int64())
+        return pa.RecordBatch.from_arrays([none] * (3 + len(_BITS)) + [pa.nulls(len(common), pa.list_(pa.int64())), _long(common), pa.array(times.astype(np.int64))], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 8 << 20):
+        seen, held = [], 0
+        for batch in pieces(batches, "text", PIECE):
             bounds, token = shingle_sets(Texts.of(batch.column(1)), size)
             n = np.diff(bounds)
             bit = (mix64(token) & np.uint64(_SKETCH - 1)).astype(np.int64)
@@ -94,10 +110,11 @@ def _describe(size: int):
             whole = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (_SKETCH // 64)), pa.array(sketch.ravel()))
             none = pa.nulls(len(n), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(keys, pa.int64()), *(pa.array(np.ascontiguousarray(bits[:, j])) for j in range(len(_BITS))), whole, none, none], names)
-            common, times = np.unique(token, return_counts=True)
-            common, times = common[times >= OFTEN], times[times >= OFTEN]
-            none = pa.nulls(len(common), pa.int64())
-            yield pa.RecordBatch.from_arrays([none] * (3 + len(_BITS)) + [pa.nulls(len(common), pa.list_(pa.int64())), _long(common), pa.array(times.astype(np.int64))], names)
+            seen, held = [*seen, token], held + len(token)
+            if held >= TOGETHER:
+                yield frequent(seen)
+                seen, held = [], 0
+        yield frequent(seen)
 
     return run
 
@@ -130,17 +147,20 @@ def _front(own: np.ndarray, rank: np.ndarray, n: int) -> np.ndarray:
 
 def _fronts(size: int, least: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             bounds, token = shingle_sets(Texts.of(batch.column(1)), size)
             rank = order.value.rank(token)
-            fronts, keys = [], []
+            fronts, keys = [], {}
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b > a:
+                key = _class_key(token[a:b])
+                if b > a and key not in keys:
                     n = int(b - a)
                     fronts.append(_front(token[a:b], rank[a:b], n - -(-least * n // 100) + 1))
-                    keys.append(np.full(len(fronts[-1]), _class_key(token[a:b]), np.int64))
+                    keys[key] = len(fronts[-1])
             if fronts:
-                yield pa.RecordBatch.from_arrays([_long(np.concatenate(fronts)), pa.array(np.concatenate(keys))], ["token", "k"])
+                found, key = np.concatenate(fronts), np.repeat(np.array(list(keys), np.int64), list(keys.values()))
+                hot = order.value.rank(found) >= 0
+                yield pa.RecordBatch.from_arrays([_long(found), pa.array(key), pa.array(key, mask=~hot)], ["token", "k", "salt"])
 
     return run
 
@@ -149,14 +169,14 @@ def _fragments(size: int, order, wanted):
     """(k, fragment, tokens) of documents that may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             at = ids & (_FILTER_BITS - 1)
             batch = batch.take(pa.array(np.flatnonzero(wanted.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))))
             if not batch.num_rows:
                 continue
             bounds, token = shingle_sets(Texts.of(batch.column(1)), size)
-            fragment = np.where(order.value.rank(token) >= 0, FRAGMENTS - 1, token % np.uint64(FRAGMENTS - 1)).astype(np.int64)
+            fragment = np.where(order.value.rank(token) >= 0, FRAGMENTS - 1, np.searchsorted(_CUTS, token, side="right")).astype(np.int64)
             out: list[tuple[int, int, np.ndarray]] = []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 own, part = token[a:b], fragment[a:b]
@@ -212,13 +232,16 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, order, size: i
     wanted = np.zeros(_FILTER_BITS >> 6, np.int64)
     for r in words:
         wanted[r.w] = r.bits
-    parts = docs.mapInArrow(_fragments(size, order, spark.sparkContext.broadcast(wanted.view(np.uint64))), "k long, fragment int, tokens array<long>")
+    # shingled once, read twice
+    parts = stored(docs.mapInArrow(_fragments(size, order, spark.sparkContext.broadcast(wanted.view(np.uint64))), "k long, fragment int, tokens array<long>"))
     each = pairs.select("a", "b", "n", "n_b").join(parts.select(F.col("k").alias("a"), "fragment", F.col("tokens").alias("x")), "a")
     each = each.join(parts.select(F.col("k").alias("b"), "fragment", F.col("tokens").alias("y")), ["b", "fragment"])
     # a text may be there twice; its fragments count once
     partial = each.groupBy("a", "b", "n", "n_b", "fragment").agg(F.max(F.size(F.array_intersect("x", "y"))).alias("o"))
     overlap = partial.groupBy("a", "b", "n", "n_b").agg(F.sum("o").alias("o"))
-    return cut(overlap.filter(F.col("o") * 100 >= (F.col("n") + F.col("n_b") - F.col("o")) * least).select("a", "b"))
+    linked = cut(overlap.filter(F.col("o") * 100 >= (F.col("n") + F.col("n_b") - F.col("o")) * least).select("a", "b"))
+    discard(parts)
+    return linked
 
 
 def link(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -232,31 +255,37 @@ def link(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> tuple[DataFra
     docs = docs.filter("doc_id IS NOT NULL")
     classes = rows.filter("doc_id IS NOT NULL AND k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), *(F.max(x).alias(x) for x in _BITS))
 
-    fronts = stored(docs.mapInArrow(_fronts(size, least, order), "token long, k long"))
-    shared = fronts.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("token")
-    fronts = stored(fronts.join(shared, "token", "left_semi").distinct())
+    # (token, k, salt); n-grams that no other class has go. Frequent ones stay untried, so that none fills a task: their salt is k
+    fronts = docs.mapInArrow(_fronts(size, least, order), "token long, k long, salt long")
+    group = Window.partitionBy("token", "salt")
+    fronts = fronts.withColumns({"lo": F.min("k").over(group), "hi": F.max("k").over(group)}).filter("lo < hi OR salt IS NOT NULL")
+    fronts = stored(fronts.dropDuplicates(["token", "salt", "k"]).select("token", "k"))
     # n-grams of the front that no other class has: none in the text that others are near copies of
     own = fronts.groupBy("k").agg(F.count("*").alias("found"))
     alone = (F.col("n") - F.ceil(F.col("n") * least / 100) + 1 - F.col("found")).cast("long")
     known = cut(classes.join(own, "k").withColumn("alone", alone).drop("found"))
-    posted = stored(fronts.join(known, "k"))
-
-    kept = ("k", "doc", "n", *_BITS)
-    as_b = lambda df, *more: df.select("token", *(F.col(c).alias(f"{c}_b") for c in (*kept, *more)))
-    hubs = posted.groupBy("token").agg(F.min(F.struct("alone", *kept[1:2], "k", *kept[2:])).alias("h")).select("token", "h.*")
-    named = [F.col("k").alias("a"), "doc", "n", F.col("k_b").alias("b"), "doc_b", "n_b"]
-    pairs = cut(posted.join(as_b(hubs), "token").filter((F.col("k") != F.col("k_b")) & _may_link(least)).select(*named).distinct())
+    posted = stored(fronts.join(known.select("k", "alone"), "k"))
+    discard(fronts)
+
+    side = lambda name, end: known.select(F.col("k").alias(name), *(F.col(c).alias(f"{c}{end}") for c in ("doc", "n", *_BITS)))
+    named = ["a", "doc", "n", "b", "doc_b", "n_b"]
+    hubs = posted.groupBy("token").agg(F.min(F.struct("alone", "k")).alias("h")).select("token", F.col("h.k").alias("b"))
+    met = posted.join(hubs, "token").filter(F.col("k") != F.col("b")).select(F.col("k").alias("a"), "b").distinct()
+    pairs = cut(met.join(side("a", ""), "a").join(side("b", "_b"), "b").filter(_may_link(least)).select(*named))
     links = _verified(docs, rows, pairs, order, size, least)
     roots = cut(components(links))
 
     # n-grams whose classes are all in one component by now have nothing left to link
-    rooted = fronts.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    rooted = posted.drop("alone").join(roots.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     open_ = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    roots_of = posted.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    left = roots_of.join(open_, "token", "left_semi")
-    more = left.join(as_b(left, "root"), "token").filter((F.col("k") < F.col("k_b")) & (F.col("root") != F.col("root_b")) & _may_link(least)).select(*named).distinct()
+    # lengths of linked classes differ by LEAST % at most, so they lie in the same bin of lengths or in the next
+    length_bin = F.floor(F.log(F.col("n")) / (1.001 * math.log(100 / least)) if least < 100 else F.col("n"))
+    left = stored(rooted.join(open_, "token", "left_semi").join(known.drop("alone"), "k").withColumn("bin", length_bin))
+    right = left.select("token", *(F.col(c).alias(f"{c}_b") for c in ("k", "doc", "n", *_BITS, "root")), F.explode(F.array(F.col("bin") - 1, "bin", F.col("bin") + 1)).alias("bin"))
+    more = left.join(right, ["token", "bin"]).filter((F.col("k") < F.col("k_b")) & (F.col("root") != F.col("root_b")) & _may_link(least)).select(F.col("k").alias("a"), "doc", "n", F.col("k_b").alias("b"), "doc_b", "n_b").distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = cut(more.join(done, ["a", "b"], "left_anti"))
+    discard(posted, left)
     if not more.isEmpty():
         links = links.unionByName(_verified(docs, rows, more, order, size, least))
         roots = cut(components(links))
