@@ -12,9 +12,9 @@ distinct SIZE-word shingles (all its words as one if there are fewer; nothing wi
    class has are dropped. A pair must also pass the length bound and a bound on the difference from 512 parity bits, which
    never differ in more places than there are n-grams that only one of the two has; what passes is tested again with 2048
    bits. Where all pairs are compared, both are tested inside the join.
-4. First, each n-gram's classes are compared with one hub among them only. What that links is contracted, and n-grams
-   whose classes are all in one component are dropped, so a large group of near copies costs a number of comparisons
-   proportional to its size. Then all pairs in different components are compared whose lengths lie in the same or in
+4. First, each n-gram has one hub among its classes, and each class is compared with the best of its hubs; what that leaves in
+   different components, with its other hubs. What that links is contracted, and n-grams whose classes are all in one
+   component are dropped, so a large group of near copies costs a number of comparisons proportional to its size. Then all pairs in different components are compared whose lengths lie in the same or in
    neighbouring bins; a link's can't lie further apart. A skewed n-gram's rows are split by AQE's skew join.
 5. The order is cut into FRAGMENTS, ranges of it. A candidate pair's overlap is counted in each fragment separately, from the fragment's
    n-grams of either class, and summed per pair.
@@ -268,12 +268,20 @@ def link(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> tuple[DataFra
     discard(fronts)
 
     side = lambda name, end: known.select(F.col("k").alias(name), *(F.col(c).alias(f"{c}{end}") for c in ("doc", "n", *_BITS)))
-    named = ["a", "doc", "n", "b", "doc_b", "n_b"]
-    hubs = posted.groupBy("token").agg(F.min(F.struct("alone", "k")).alias("h")).select("token", F.col("h.k").alias("b"))
-    met = posted.join(hubs, "token").filter(F.col("k") != F.col("b")).select(F.col("k").alias("a"), "b").distinct()
-    pairs = cut(met.join(side("a", ""), "a").join(side("b", "_b"), "b").filter(_may_link(least)).select(*named))
+    may = lambda met: cut(met.join(side("a", ""), "a").join(side("b", "_b"), "b").filter(_may_link(least)).select("a", "doc", "n", "b", "doc_b", "n_b"))
+    hubs = posted.groupBy("token").agg(F.min(F.struct("alone", "k")).alias("h")).select("token", "h")
+    met = stored(posted.join(hubs, "token").filter(F.col("k") != F.col("h.k")).select(F.col("k").alias("a"), "h").distinct())
+    # each class with the best of its hubs; what that leaves apart, with its other hubs
+    pairs = may(met.groupBy("a").agg(F.min("h").alias("h")).select("a", F.col("h.k").alias("b")))
     links = _verified(docs, rows, pairs, order, size, least)
     roots = cut(components(links))
+    root = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+    apart = met.select("a", F.col("h.k").alias("b")).join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    more = may(apart.select("a", "b").join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    discard(met)
+    if not more.isEmpty():
+        links, pairs = cut(links.unionByName(_verified(docs, rows, more, order, size, least))), pairs.unionByName(more)
+        roots = cut(components(links))
 
     # n-grams whose classes are all in one component by now have nothing left to link
     rooted = posted.drop("alone").join(roots.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
