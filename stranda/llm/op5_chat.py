@@ -5,11 +5,12 @@ The grammar of a formatted conversation, in which level is a digit and role hold
     conversation := "<s>" level turn*
     turn         := "[INST] " role "\\n" body "</s>"
 
-The parser is deterministic: it takes off "<s>" and the level, cuts at each "</s>", takes off "[INST] " and splits at the
-first line feed. Level 0 escapes nothing. Where the turns
-that come back differ from the source (a text holds "</s>", a role a line feed, ...), level 1 escapes "&" and the control
-strings, level 2 "&", "<", "[" and line feeds in roles; the first level that comes back identical is kept. Escapes are
-character references, undone by the parser, so every text survives. `exact` tells that it came back; level 2 always does.
+The parser is deterministic: it takes off "<s>" and the level, which it reads, cuts at each "</s>", takes off "[INST] " and splits
+at the first line feed. Every string of CONTROL is a token of the grammar: a formatted conversation that holds more of them than
+its turns account for is no sentence of it. Level 0 escapes nothing. Where the turns that come back differ from the source, or a
+text or role holds any control string, level 1 escapes "&" and the control strings, level 2 "&", "<", "[" and line feeds in
+roles; the first level that comes back identical is kept. Escapes are character references, undone by the parser, so every text
+survives. `exact` tells that it came back; level 2 always does.
 
 The loss mask is a list of runs (trained, chars) over the formatted text, in order; only bodies of assistant turns are
 trained. Turns are ordered by turn, then role and text (repeated rows stay, as turns of their own); null text or role is
@@ -20,6 +21,8 @@ small rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,8 +49,8 @@ def escape(x: Column, level: int, role: bool = False) -> Column:
     return _replace(x, [("&", "&amp;"), ("<", "&#60;"), ("[", "&#91;"), *([("\n", "&#10;")] if role else [])])
 
 
-def unescape(x: Column, level: int) -> Column:
-    return x if level == 0 else _replace(x, [("&#60;", "<"), ("&#91;", "["), ("&#10;", "\n"), ("&amp;", "&")])
+def unescape(x: Column, level: Column) -> Column:
+    return F.when(level == "0", x).otherwise(_replace(x, [("&#60;", "<"), ("&#91;", "["), ("&#10;", "\n"), ("&amp;", "&")]))
 
 
 def render(turns: Column, level: int) -> Column:
@@ -55,8 +58,14 @@ def render(turns: Column, level: int) -> Column:
     return F.concat(F.lit(f"{BEGIN}{level}"), F.array_join(F.transform(turns, lambda t: F.concat(F.lit(OPEN), escape(t["role"], level, True), F.lit("\n"), escape(t["text"], level), F.lit(CLOSE))), ""))
 
 
-def parse(formatted: Column, level: int) -> Column:
-    """Array of (role, text, body_chars) that a formatted conversation of this level holds."""
+def controls(x: Column) -> Column:
+    """How many control strings x holds."""
+    return F.regexp_count(x, F.lit("|".join(re.escape(c) for c in CONTROL)))
+
+
+def parse(formatted: Column) -> Column:
+    """Array of (role, text, body_chars, role_chars) that a formatted conversation holds; null if it holds a control string amid a turn."""
+    level = F.substr(formatted, F.lit(len(BEGIN) + 1), F.lit(1))
     parts = F.split(F.substr(formatted, F.lit(len(BEGIN) + 2)), CLOSE)
     whole = F.slice(parts, F.lit(1), F.size(parts) - 1)
 
@@ -66,7 +75,8 @@ def parse(formatted: Column, level: int) -> Column:
         role, body = F.substr(x, F.lit(1), F.greatest(at - 1, F.lit(0))), F.substr(x, at + 1)
         return F.struct(unescape(role, level).alias("role"), unescape(body, level).alias("text"), F.length(body).cast("long").alias("body_chars"), F.length(role).cast("long").alias("role_chars"))
 
-    return F.transform(whole, turn)
+    # each turn is opened and closed once
+    return F.when(controls(formatted) == 1 + 2 * F.size(whole), F.transform(whole, turn))
 
 
 def _same(got: Column, turns: Column) -> Column:
@@ -81,8 +91,8 @@ def format_chats(rows: DataFrame) -> DataFrame:
     for level in range(LEVELS):
         last, unset = level == LEVELS - 1, F.lit(True) if level == 0 else F.col("formatted").isNull()
         out = out.withColumn("tried", F.when(unset, render(F.col("turns"), level)))
-        out = out.withColumn("back", F.when(unset, parse(F.col("tried"), level)))
-        out = out.withColumn("same", unset & _same(F.col("back"), F.col("turns")))
+        out = out.withColumn("back", F.when(unset, parse(F.col("tried"))))
+        out = out.withColumn("same", unset & F.coalesce(_same(F.col("back"), F.col("turns")), F.lit(False)))
         take = unset if last else F.col("same")
         before = (lambda c: F.lit(None)) if level == 0 else F.col
         out = out.withColumns({
@@ -122,12 +132,13 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CONTROL_SQL = "text"
 for _c in ("&", *CONTROL):
     _CONTROL_SQL = f"replace({_CONTROL_SQL}, '{_c}', '{'&amp;' if _c == '&' else f'&#{ord(_c[0])};{_c[1:]}'}')"
+_CLASH = "|".join(re.escape(_c) for _c in CONTROL)
 ORACLE = f"""
 WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}'),
 c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
-  bool_or(contains(text, '{CLOSE}')) AS clash, sum(length(role) + {len(OPEN) + 1 + len(CLOSE)}) AS marks, sum(length(text)) AS plain,
+  bool_or(regexp_matches(role || chr(10) || text, '{_CLASH}')) AS clash, sum(length(role) + {len(OPEN) + 1 + len(CLOSE)}) AS marks, sum(length(text)) AS plain,
   sum(length({_CONTROL_SQL})) AS escaped FROM rows GROUP BY conv_id)
 SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
   ({len(BEGIN) + 1} + marks + CASE WHEN clash THEN escaped ELSE plain END)::BIGINT AS formatted_chars, clash::INT AS level, true AS exact FROM c
