@@ -126,16 +126,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, in_set: int
 
 def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", size: int = WINDOW) -> DataFrame:
     """docs, all columns kept, without contaminated documents, or (remove="spans") with hit words and the gaps before them cut."""
-    found = scan(docs, benchmark, size).filter("contaminated").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("spans").alias("_s")).distinct()
-    keyed = docs.withColumn("_t", F.xxhash64(words(F.col("text"))))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h"))
+    found = scan(docs, benchmark, size).filter("contaminated").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "spans").distinct()
+    # all columns travel in one, so that no name can clash
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(words(F.col("text"))).alias("key"))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("d")) & (F.col("key") == F.col("h"))
+    own = {c: F.col(f"row.`{c}`") for c in docs.columns}
     if remove == "documents":
-        return keyed.join(found, same, "left_anti").select(*docs.columns)
-    joined = keyed.join(found, same, "left")
-    parts = F.regexp_extract_all("text", F.lit(f"{_BREAK}*{_WORD}"), F.lit(0))
-    kept = F.filter(parts, lambda x, k: ~F.exists("_s", lambda s: (k + 1 >= s["start"]) & (k + 1 < s["end"])))
-    tail = F.regexp_extract("text", rf"(?<!{_BREAK}){_BREAK}*\z", 0)
-    return joined.withColumn("text", F.when(F.col("_s").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), tail))).select(*docs.columns)
+        return keyed.join(found, same, "left_anti").select(*(v.alias(c) for c, v in own.items()))
+    parts = F.regexp_extract_all(own["text"], F.lit(f"{_BREAK}*{_WORD}"), F.lit(0))
+    kept = F.filter(parts, lambda x, k: ~F.exists("spans", lambda s: (k + 1 >= s["start"]) & (k + 1 < s["end"])))
+    tail = F.regexp_extract(own["text"], rf"(?<!{_BREAK}){_BREAK}*\z", 0)
+    own["text"] = F.when(F.col("spans").isNull(), own["text"]).otherwise(F.concat(F.array_join(kept, ""), tail))
+    return keyed.join(found, same, "left").select(*(v.alias(c) for c, v in own.items()))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
