@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 LEAST = 0.6
+DIRECTORIES = 100_000  # that inherit; broadcast up to so many, joined (and split where skewed, by AQE) beyond
 KEYWORDS = r"(?i)licen[cs]e|copyright|spdx|permission|public domain|warrant|redistribut"
 LICENCE_FILE = r"(?i)^(?:un)?licen[cs]e|^copying|^notice"
 
@@ -120,7 +121,9 @@ def scan(files: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     added = ("license", "score", "basis", "from_dir")
     named = {"_dir": F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", r"/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit("")), "_file": F.coalesce(F.regexp_extract("path", r"[^/]*$", 0).rlike(LICENCE_FILE), F.lit(False))}
-    rows = files.drop(*added).withColumns({"text": text, "_h": F.xxhash64(text), **named})
+    # all other columns travel in one, so that no name can clash
+    kept = [c for c in files.columns if c not in (*added, "text")]
+    rows = files.select("path", text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row")).withColumns({"_h": F.xxhash64("text"), **named})
     speaks = F.col("_file") | F.col("text").rlike(KEYWORDS)
     rows = cut(rows.withColumn("_units", F.when(speaks, _units(F.col("text"), F.split("text", "\n"), F.col("_file")))).drop("text"))
     held = rows.select(F.col("path").alias("_p"), "_h", "_dir", "_file", F.explode("_units").alias("x")).select("_p", "_h", "_dir", "_file", "x.kind", "x.line").withColumn("u", F.xxhash64("line"))
@@ -134,11 +137,14 @@ def scan(files: DataFrame) -> DataFrame:
     ups = F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")), F.array(F.lit(""))))
     above = rows.filter("_dir IS NOT NULL").select("_dir").distinct().select(F.col("_dir").alias("_under"), F.explode(ups).alias("up"))
     nearest = above.join(licensed, "up").groupBy("_under").agg(F.max(F.struct(F.length("up").alias("n"), "up", "_given")).alias("g")).select("_under", F.col("g.up").alias("_up"), F.col("g._given").alias("_given"))
+    # a row for each directory under a licensed one; joined by directory, hot ones would fill a task
+    nearest = cut(nearest)
+    if nearest.count() <= DIRECTORIES:
+        nearest = F.broadcast(nearest)
     out = rows.join(own, rows["path"].eqNullSafe(own["_p"]) & (rows["_h"] == own["_k"]), "left").join(nearest, F.col("_dir") == F.col("_under"), "left")
     basis = F.when(F.col("_license").isNotNull(), F.when(F.col("_file"), "file").otherwise("header")).when(F.col("_given").isNotNull(), "inherited").otherwise("none")
     inherited = F.col("_license").isNull()
-    kept = [c for c in files.columns if c not in (*added, "text")]
-    return out.select(*kept, F.coalesce("_license", "_given").alias("license"), F.col("_score").alias("score"), basis.alias("basis"), F.when(inherited, F.col("_up")).alias("from_dir"))
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in kept), F.coalesce("_license", "_given").alias("license"), F.col("_score").alias("score"), basis.alias("basis"), F.when(inherited, F.col("_up")).alias("from_dir"))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
