@@ -5,7 +5,7 @@ of one kind: a tag with its classes (div.ad, nav, footer, ...). Weights are log-
 label their content themselves, by exactly one <article> (or <main>) element: TRAIN_PAGES of them in the mean, picked by a
 hash. Words weigh their container's log-odds, at most 1 and as a rule positive; tags weigh theirs, but never more than
 -TAG. Tokens seen in no labelled page weigh a prior: 1 for words, -TAG for tags; words in containers whose name or class says
-that they are no content (BOILERPLATE, NAMED) always weigh ASIDE. One linear scan finds the contiguous region of the largest sum; blocks
+that they are no content (BOILERPLATE, NAMED; never html, body, main or what is around the only article) weigh ASIDE. One linear scan finds the contiguous region of the largest sum; blocks
 in it are the text, but for those in containers of negative weight inside it.
 
 White space inside a block is one space, blocks are joined by line feeds, character references are decoded; scripts, styles,
@@ -19,6 +19,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,9 +40,12 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 RAW = frozenset("script style noscript template textarea iframe svg math object canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"body", "head", "html", "option", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "title"}
-BOILERPLATE = frozenset("nav header footer aside form button select option dialog menu label head title".split())
-NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|login|masthead|menu|modal|nav\w*|newsletter|notice|pager|pagination|popup|promo\w*|related|repl(?:y|ies)|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+BOILERPLATE = frozenset("nav header footer aside form button select option dialog menu head title".split())
+# a whole class name, with what describes a part of it: "share-buttons", but neither "share-price" nor "has-sidebar"
+NAMED = re.compile(r"(?:^|\s)(?:[\w]+(?:__|--))?(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus\w*|footer|header|login|masthead|menu|modal|nav\w*|newsletter|notice|pager|pagination|popup|promo\w*|related|repl(?:y|ies)|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:[_-]+(?:\d+|area|bar|block|body|box|buttons?|container|content|form|group|icons?|inner|item|left|links?|list|main|outer|panel|posts?|right|section|slot|text|thread|top|unit|wrap(?:per)?))*(?=\s|$)", re.I)
 CONTENT = frozenset({"article", "main"})
+ROOTS = frozenset({"html", "body", "main"})  # hold the article, whatever their classes say
+LONG_KEY = 80
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?", re.S)
 _CLASS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -50,14 +54,18 @@ _SPACE = re.compile(r"\s+")
 
 def _key(tag: str, attributes: str) -> tuple[str, bool]:
     """(tag with classes, whether it says that it is no content)."""
-    names = " ".join(sorted(a or b or c for a, b, c in _CLASS.findall(attributes))).lower()[:80] if "=" in attributes else ""
-    return (f"{tag}.{names}" if names else tag), tag in BOILERPLATE or bool(names and NAMED.search(names))
+    names = " ".join(sorted(a or b or c for a, b, c in _CLASS.findall(attributes))).lower() if "=" in attributes else ""
+    aside = tag in BOILERPLATE or bool(names and tag not in ROOTS and NAMED.search(names))
+    # long keys are told apart by a checksum
+    short = names if len(names) <= LONG_KEY else f"{names[:LONG_KEY]}#{zlib.crc32(names.encode('utf-8', 'surrogatepass')):08x}"
+    return (f"{tag}.{short}" if short else tag), aside
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, int, str, bool]]:
     """(kind, key, words, text, in boilerplate): kind is "tag", or "text" with the container's key."""
     # of each open element: tag, key, whether it or one around it is boilerplate, the key of the nearest container
     stack: list[tuple[str, str, bool, str]] = []
+    sole = len(re.findall(r"<article[\s>]", page, re.I)) == 1
     open_: Counter[str] = Counter()
 
     def drop(n: int) -> None:
@@ -98,7 +106,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, int, str, bool]]:
             at = (page.find(">", end.end()) + 1 or len(page)) if end else len(page)
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             container = key if tag in BLOCKS and tag != "p" else stack[-1][3] if stack else ""
-            stack.append((tag, key, boilerplate or bool(stack) and stack[-1][2], container))
+            # what is around the main element or the only article can't make it an aside
+            inherits = bool(stack) and stack[-1][2] and tag != "main" and not (sole and tag == "article")
+            stack.append((tag, key, boilerplate or inherits, container))
             open_[tag] += 1
 
 
@@ -116,17 +126,22 @@ class Weights:
         return self.tag.get(key, -TAG)
 
 
-def extract(page: str | None, weights: Weights) -> str:
-    """The text of the page's best contiguous region."""
-    seen = list(tokens(page or ""))
-    best = (0.0, 0, 0)
-    total, start = 0.0, 0
-    for i, (kind, key, words, _, boilerplate) in enumerate(seen):
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """(start, end) of the contiguous region of the largest positive sum; of equal ones the first to end; (0, 0) if there is none."""
+    best, total, start = (0.0, 0, 0), 0.0, 0
+    for i, x in enumerate(scores):
         if total <= 0:
             total, start = 0.0, i
-        total += weights.of_tag(key) * (10 if key.lstrip("/").split(".")[0] in CONTENT and key in weights.tag else 1) if kind == "tag" else words * weights.of_text(key, boilerplate)
+        total += x
         if total > best[0]:
             best = (total, start, i + 1)
+    return best[1:]
+
+
+def extract(page: str | None, weights: Weights) -> str:
+    """The text of the page's best contiguous region."""
+    seen = list(tokens(page or ""))
+    first, end = best_region([weights.of_tag(key) * (10 if key.lstrip("/").split(".")[0] in CONTENT and key in weights.tag else 1) if kind == "tag" else words * weights.of_text(key, boilerplate) for kind, key, words, _, boilerplate in seen])
     out, block = [], []
 
     def close() -> None:
@@ -135,7 +150,7 @@ def extract(page: str | None, weights: Weights) -> str:
             out.append(text)
         block.clear()
 
-    for kind, key, words, text, boilerplate in seen[best[1] : best[2]]:
+    for kind, key, words, text, boilerplate in seen[first:end]:
         if kind == "tag":
             name = key.lstrip("/").split(".")[0]
             if name in BLOCKS:
