@@ -9,7 +9,7 @@
    where the window ends, and what is left of it seeds the next window. So only a shard's last window is padded.
 
 A shard is bounded by its number of documents and by WINDOW ids for each, whatever the corpus holds; copies spread over
-shards, for the hash is of all columns of a piece and of the text. So neighbours are the best of the seed's own shard only, a
+shards, for rows are dealt by a hash of their place. So neighbours are the best of the seed's own shard only, a
 share of the corpus that falls as it grows; README.md has what that costs. Nothing here retrieves over all rests.
 
 Null or empty text: the one id 1. Null doc_id: packed as any other. Repeated rows: each is packed. Ties between
@@ -20,6 +20,7 @@ ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,6 +37,7 @@ END = 1
 SHARD = 1024  # rests in a shard, about
 K1, B = 1.2, 0.75
 VOCABULARY = 1 << 16
+_LONG_BLANK = re.compile(r"\s{10000}")  # the faster library backtracks through white space, and gives up
 
 
 def _default_tokenizer() -> str:
@@ -53,6 +55,8 @@ def encoder(path: str):
         spec = json.load(f)
     if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"].get("add_prefix_space"):
         raise ValueError(f"{path} is no byte-level BPE without a prefix space")
+    if spec.get("normalizer") or spec["pre_tokenizer"]["type"] != "ByteLevel" or not spec["pre_tokenizer"].get("use_regex", True):
+        raise ValueError(f"{path} has a normalizer or words of its own")
     if max(spec["model"]["vocab"].values()) >= VOCABULARY:
         raise ValueError(f"{path} has ids of over 16 bits")
     special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -64,9 +68,19 @@ def encoder(path: str):
     return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special), set(special)
 
 
+@lru_cache(maxsize=2)
+def reference(path: str):
+    """The tokenizer file itself, for texts that the faster library can't take."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def encode(text: str, path: str) -> np.ndarray:
     """Ids of a text without added special tokens, then END; a special token's own string in the text is that token."""
     bpe, special = encoder(path)
+    if _LONG_BLANK.search(text):
+        return np.array([*reference(path).encode(text, add_special_tokens=False).ids, END], "<u2")
     if any(x in text for x in special):
         return np.array([*bpe.encode(text, allowed_special=special), END], "<u2")
     return np.append(bpe.encode_to_numpy(text, disallowed_special=()), np.uint32(END)).astype("<u2")
@@ -209,7 +223,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, shard: int = SHARD) -> D
     idf, mean = statistics(tokens)
     parts = tokens.filter("term IS NULL").drop("term", "n")
     shards = max(1, -(-parts.count() // shard))
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids", "ids_crc32"), F.lit(shards)))
+    # tokens are cut off, so places in their partitions hold; repeated rows spread like others
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(_pack(spark.sparkContext.broadcast(idf), mean), _PIECES)
 
 

@@ -87,3 +87,10 @@ def test_statistics_are_of_whole_documents(spark, want):
     assert max(map(len, ids)) > op.WINDOW and mean == sum(map(len, ids)) / 4
     count = sum(np.isin(np.arange(op.VOCABULARY), x).astype(int) for x in ids)
     assert np.allclose(idf, np.log(1 + (4 - count + 0.5) / (count + 0.5)))
+
+
+def test_long_runs_are_taken_as_the_tokenizer_takes_them():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    for text in (" " * 300_000, "a" + "\n" * 50_000 + "b", " \t" * 20_000 + "x", "a" * 100_000, "7" * 100_000, "!" * 50_000):
+        assert op.encode(text, path).tolist() == [*tok.encode(text, add_special_tokens=False).ids, 1]
