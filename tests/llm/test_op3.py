@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from stranda.llm import op3_language as op
@@ -43,3 +45,27 @@ def test_unknown_languages_and_gibberish_go(spark):
     assert {r.name for r in op.keep(df, model=model).collect()} == set(texts) - {"gibberish", "fi", "el"}
     kept = op.keep(docs, model=model).count()
     assert kept >= 0.98 * docs.count(), kept
+
+
+def test_mixture_equals_brute_force():
+    """EM against the best proportions of a fine grid, and the selected set against all pairs by penalised likelihood."""
+    rng = np.random.default_rng(5)
+    grams = rng.integers(0, op.BUCKETS, 3000)
+    rows = [(lang, -1, 10) for lang in "abc"]
+    for k, lang in enumerate("abc"):
+        own = grams[k * 1000 : (k + 1) * 1000]
+        rows += [(lang, int(b), int(n)) for b, n in zip(*np.unique(own, return_counts=True), strict=True)]
+    model = op.Model(rows)
+    for share in (0.0, 0.2, 0.5, 0.8):
+        text = np.concatenate([rng.choice(grams[:1000], int(400 * share)), rng.choice(grams[1000:2000], 400 - int(400 * share))])
+        bucket, count = np.unique(text, return_counts=True)
+        like = lambda s, i, j: float(count @ np.log(s * model.p[bucket, i] + (1 - s) * model.p[bucket, j]))  # noqa: E731,B023
+        grid = max(np.linspace(0.001, 0.999, 999), key=lambda s: like(s, 0, 1))
+        found, _ = op._em(model.p[bucket][:, [0, 1]], count)
+        assert abs(found[0] - grid) < 0.05  # STEPS are few
+        _, chosen, proportions, total = model._select(bucket, count)
+        single = max(float(count @ np.log(model.p[bucket, i])) for i in range(3))
+        pairs = {(i, j): max(like(s, i, j) for s in np.linspace(0.01, 0.99, 99)) for i in range(3) for j in range(i)}
+        best = max(pairs, key=pairs.get)
+        worth = pairs[best] - single > op.PENALTY * np.log(400) / 2
+        assert (len(chosen) == 2) == worth and (not worth or set(chosen) == set(best)) and abs(proportions.sum() - 1) < 1e-9
