@@ -25,12 +25,12 @@ READS = """SELECT event_id AS uid, 'r' || cast(pid AS string) AS name, 'chr' ||
   CASE event_id % 5 WHEN 0 THEN '32M' WHEN 1 THEN '12M10N20M' WHEN 2 THEN '6S26M' WHEN 3 THEN '16M2D16M' ELSE '10M2I20M' END AS cigar,
   1 + CASE WHEN event_id % 2 = 0 THEN 64 ELSE 128 END + CASE WHEN event_type IN ('view', 'error') THEN 16 ELSE 0 END
     + CASE WHEN event_id % 11 = 0 THEN 256 ELSE 0 END + CASE WHEN event_id % 13 = 0 THEN 1024 ELSE 0 END + CASE WHEN event_id % 97 = 0 THEN 4 ELSE 0 END AS flag,
-  event_id % 61 AS mapq, event_id % 3 + 1 AS nh, translate(md5(cast(event_id AS string)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq
+  event_id % 61 AS mapq, event_id % 3 + 1 AS nh, translate(md5(cast(event_id AS string)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq, md5('q' || cast(event_id AS string)) AS qualhex
   FROM (SELECT event_id, event_type, cast(floor(event_id / 2.0) AS bigint) AS pid, user_id * 20 + cast(floor(value) AS bigint) + 1 AS start_ FROM events) x"""
 VAR = """SELECT p_partkey AS uid, 'chr' || cast(p_partkey % 5 + 1 AS string) AS chrom, p_partkey * 4 + 3 AS pos,
   CASE p_size % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'T' WHEN 2 THEN 'ACG' WHEN 3 THEN 'A' WHEN 4 THEN 'C' ELSE 'G' END AS ref,
   CASE p_size % 6 WHEN 0 THEN 'G' WHEN 1 THEN 'C' WHEN 2 THEN 'A' WHEN 3 THEN 'ATT' WHEN 4 THEN '<DEL>' ELSE 'C,T' END AS alt,
-  CASE p_partkey % 10 WHEN 0 THEN 'LowQual' WHEN 1 THEN '.' ELSE 'PASS' END AS filter_,
+  CASE p_partkey % 10 WHEN 0 THEN 'LowQual' WHEN 1 THEN '.' ELSE 'PASS' END AS filter_, 'DP=' || cast(p_size AS string) || ';SVTYPE=DEL;END=' || cast(p_partkey * 4 + 23 AS string) || ';DB' AS info,
   CASE p_partkey % 7 WHEN 0 THEN './.' WHEN 1 THEN '0/0' WHEN 2 THEN '0/1' WHEN 3 THEN '1/1' WHEN 4 THEN '1|0' WHEN 5 THEN './1' ELSE '1/2' END AS gt FROM part"""
 GENE = f"SELECT gene_id, min(chrom) AS chrom, min(start_) AS start_, max(end_) AS end_, min(strand) AS strand FROM ({EXON}) e GROUP BY gene_id"
 SOURCES = ("part", "lineitem", "orders", "events", "documents")

@@ -112,3 +112,40 @@ def parse(text: Column) -> Column:
 def render(a: Interval) -> Column:
     """SK-08."""
     return F.concat(a.chrom, F.lit(":"), a.start.cast("string"), F.lit("-"), a.end.cast("string"), F.coalesce(F.concat(F.lit(" ("), a.strand, F.lit(")")), F.lit("")))
+
+
+def before(a: Interval, b: Interval) -> Column:
+    """IV-07: a < b by start, then end; null across chromosomes."""
+    return F.when(cs_match(a, b), (a.start < b.start) | ((a.start == b.start) & (a.end < b.end)))
+
+
+def same_start(a: Interval, b: Interval) -> Column:
+    """IV-08."""
+    return cs_match(a, b) & (a.start == b.start)
+
+
+def same_end(a: Interval, b: Interval) -> Column:
+    """IV-08."""
+    return cs_match(a, b) & (a.end == b.end)
+
+
+def hull(a: Interval, b: Interval) -> Column:
+    """IV-13: (start_, end_) around both; null across chromosomes."""
+    return F.when(cs_match(a, b), F.struct(F.least(a.start, b.start).cast("long").alias("start_"), F.greatest(a.end, b.end).cast("long").alias("end_")))
+
+
+def positions(a: Interval) -> Column:
+    """IV-21: array of all positions, empty if there are none."""
+    return F.when(a.start <= a.end, F.sequence(a.start.cast("long"), a.end.cast("long"))).otherwise(F.expr("cast(array() AS array<bigint>)"))
+
+
+def toggle_chr(chrom: Column) -> Column:
+    """IV-22: with the prefix chr where it lacks, without where it is there."""
+    return F.when(chrom.startswith("chr"), F.substr(chrom, F.lit(4))).otherwise(F.concat(F.lit("chr"), chrom))
+
+
+def blocks_inside(blocks: Column, a: Interval, least: float = 0.95) -> Column:
+    """IV-23: whether so large a share of the blocks (array of start_, end_) lies in an interval."""
+    shared = F.aggregate(blocks, F.lit(0).cast("long"), lambda s, b: s + F.greatest(F.lit(0), F.least(b["end_"], a.end) - F.greatest(b["start_"], a.start) + 1))
+    size = F.aggregate(blocks, F.lit(0).cast("long"), lambda s, b: s + b["end_"] - b["start_"] + 1)
+    return shared >= least * size

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,8 +25,8 @@ def gc_fraction(seq: Column) -> Column:
 
 
 def longest_run(seq: Column, letters: str) -> Column:
-    """SQ-05, SQ-06: length of the longest run of any of the letters; 0 without one."""
-    runs = F.regexp_extract_all(seq, F.lit(f"[{letters}]+"), F.lit(0))
+    """SQ-06: length of the longest run of any of the letters; 0 without one."""
+    runs = F.regexp_extract_all(seq, F.lit(f"[{re.escape(letters)}]+"), F.lit(0))
     return F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r))), F.lit(0)).cast("long")
 
 
@@ -54,17 +56,71 @@ def zygosity(gt: Column) -> Column:
     return F.when(F.size(alleles) == 0, pair(0, 0)).when(F.size(alleles) > 1, pair(1, 1)).when(F.get(alleles, 0) == "0", pair(2, 0)).otherwise(pair(2, 1))
 
 
+def complement(seq: Column) -> Column:
+    """SQ-02."""
+    return F.translate(F.regexp_replace(F.upper(seq), "[^ACGTN]", "*"), "ACGT", "TGCA")
+
+
+def count_sites(seq: Column, sites: list[str]) -> Column:
+    """SQ-04: how many of the restriction sites are in it."""
+    return sum((F.contains(seq, F.lit(x)).cast("long") for x in sites), F.lit(0).cast("long"))
+
+
+def longest_homopolymer(seq: Column) -> Column:
+    """SQ-05: length of the longest run of one letter."""
+    runs = F.regexp_extract_all(seq, F.lit(r"(.)\1*"), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r))), F.lit(0)).cast("long")
+
+
+def kmer_positions(seq: Column, kmer: str) -> Column:
+    """SQ-07, SQ-08: array of the 1-based positions of a k-mer, overlapping ones too."""
+    last = F.length(seq) - len(kmer) + 1
+    return F.when(last > 0, F.filter(F.sequence(F.lit(1), last), lambda i: F.substring(seq, i, F.lit(len(kmer))) == kmer)).otherwise(F.expr("cast(array() AS array<int>)"))
+
+
+def wrap(seq: Column, width: int = 80) -> Column:
+    """SQ-10, SK-13: lines of a FASTA record, joined by line feeds."""
+    return F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n")
+
+
+#: fixed values: amino acids of the standard code, codons in the order TTT, TTC, TTA, TTG, TCT, ...
+AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+
+
+def translate(seq: Column) -> Column:
+    """SQ-14: amino acids of the whole codons of an upper-case sequence; X where a letter is unknown."""
+    place = lambda codon, i: F.instr(F.lit("TCAG"), F.substring(codon, i, 1)) - 1
+    index = lambda codon: place(codon, 1) * 16 + place(codon, 2) * 4 + place(codon, 3)
+    codons = F.transform(F.sequence(F.lit(1), F.length(seq) - 2, F.lit(3)), lambda i: F.substring(seq, i, F.lit(3)))
+    acids = F.transform(codons, lambda c: F.when(c.rlike("^[ACGT]{3}$"), F.substring(F.lit(AMINO), index(c) + 1, F.lit(1))).otherwise("X"))
+    return F.when(F.length(seq) >= 3, F.array_join(acids, "")).otherwise("")
+
+
+def clip_lengths(cigar: Column) -> tuple[Column, Column]:
+    """RD-11: soft-clipped bases at the left and at the right end."""
+    number = lambda pattern: F.coalesce(F.nullif(F.regexp_extract(cigar, pattern, 1), F.lit("")).cast("long"), F.lit(0))
+    return number(r"^(?:\d+H)?(\d+)S"), number(r"[^S\d](\d+)S(?:\d+H)?$")
+
+
+def cigar_blocks(start: Column, cigar: Column) -> Column:
+    """As read_blocks, with deletions (op D, read_start of the base behind) beside aligned blocks (op M)."""
+    return _walk(start, cigar, "M=XD")
+
+
 def read_blocks(start: Column, cigar: Column) -> Column:
     """RD-10: array of (start_, end_, read_start) of a CIGAR's aligned blocks (M, =, X); read_start is 1-based in the read."""
+    return F.transform(_walk(start, cigar, "M=X"), lambda b: F.struct(b["start_"].alias("start_"), b["end_"].alias("end_"), b["read_start"].alias("read_start")))
+
+
+def _walk(start: Column, cigar: Column, kept: str) -> Column:
     pattern = F.lit(r"(\d+)([MIDNSHP=X])")
     ops = F.arrays_zip(F.transform(F.regexp_extract_all(cigar, pattern, F.lit(1)), lambda x: x.cast("long")).alias("n"), F.regexp_extract_all(cigar, pattern, F.lit(2)).alias("op"))
-    none = F.expr("cast(array() AS array<struct<start_: bigint, end_: bigint, read_start: bigint>>)")
+    none = F.expr("cast(array() AS array<struct<start_: bigint, end_: bigint, read_start: bigint, op: string>>)")
     first = F.struct(start.cast("long").alias("at"), F.lit(1).cast("long").alias("read"), none.alias("blocks"))
 
     def step(acc: Column, x: Column) -> Column:
-        both = x["op"].isin("M", "=", "X")
-        block = F.array(F.struct(acc["at"].alias("start_"), (acc["at"] + x["n"] - 1).alias("end_"), acc["read"].alias("read_start")))
+        block = F.array(F.struct(acc["at"].alias("start_"), (acc["at"] + x["n"] - 1).alias("end_"), acc["read"].alias("read_start"), F.when(x["op"] == "D", "D").otherwise("M").alias("op")))
         moved = lambda c, ops: acc[c] + F.when(x["op"].isin(*ops), x["n"]).otherwise(F.lit(0))
-        return F.struct(moved("at", "M=XDN").alias("at"), moved("read", "M=XIS").alias("read"), F.when(both, F.concat(acc["blocks"], block)).otherwise(acc["blocks"]).alias("blocks"))
+        return F.struct(moved("at", "M=XDN").alias("at"), moved("read", "M=XIS").alias("read"), F.when(x["op"].isin(*kept), F.concat(acc["blocks"], block)).otherwise(acc["blocks"]).alias("blocks"))
 
     return F.aggregate(ops, first, step, lambda acc: acc["blocks"])

@@ -39,3 +39,37 @@ def tile_counts(df: DataFrame, size: int) -> DataFrame:
     """IJ-10: (chrom, tile, n) for each tile that an interval touches; an interval counts in each of its tiles."""
     at = lambda c: F.floor((F.col(c) - 1) / size)
     return df.filter("start_ <= end_").select("chrom", F.explode(F.sequence(at("start_"), at("end_"))).alias("tile")).groupBy("chrom", "tile").agg(F.count("*").alias("n"))
+
+
+def depth(blocks: DataFrame, tile: int = TILE) -> DataFrame:
+    """RD-10: runs (chrom, start_, end_, depth) of equal depth above 0, of intervals chrom, start_, end_.
+
+    Each interval is +1 where it begins and -1 behind its end; the changes are summed by position, then run up inside tiles,
+    with what is open at each tile's left edge carried over, so no chromosome is one task."""
+    ends = blocks.filter("start_ <= end_").select("chrom", F.explode(F.array(F.struct(F.col("start_").cast("long").alias("pos"), F.lit(1).cast("long").alias("d")), F.struct((F.col("end_") + 1).cast("long").alias("pos"), F.lit(-1).cast("long").alias("d")))).alias("x"))
+    change = ends.groupBy("chrom", F.col("x.pos").alias("pos")).agg(F.sum("x.d").alias("d")).withColumn("tile", F.floor(F.col("pos") / tile))
+    before = Window.partitionBy("chrom").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
+    carried = change.groupBy("chrom", "tile").agg(F.sum("d").alias("all")).select("chrom", "tile", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("open"), F.lead("tile").over(Window.partitionBy("chrom").orderBy("tile")).alias("next"))
+    inside = Window.partitionBy("chrom", "tile").orderBy("pos")
+    run = change.withColumns({"run": F.sum("d").over(inside), "behind": F.lead("pos").over(inside)})
+    first = change.groupBy("chrom", "tile").agg(F.min("pos").alias("first"))
+    # a tile's last run lasts until the first change in the next tile that has one
+    edges = carried.join(first.select("chrom", F.col("tile").alias("next"), F.col("first").alias("edge")), ["chrom", "next"], "left").drop("next")
+    all_ = run.join(edges, ["chrom", "tile"]).select("chrom", F.col("pos").alias("start_"), (F.coalesce("behind", "edge") - 1).alias("end_"), (F.col("run") + F.col("open")).alias("depth"))
+    return all_.filter("depth > 0")
+
+
+def grouped(df: DataFrame, by: list[str], key: list[str], adjacent: bool = False) -> DataFrame:
+    """IJ-08, overlap: df's rows, each with the group (group_start, group_end) of overlapping intervals it is in."""
+    from .joins import overlap_pairs
+
+    groups = merge(df, by, adjacent).select(*by, "start_", "end_")
+    pairs = overlap_pairs(df, groups, stranded="strand" in by)
+    return pairs.select(*df.columns, F.col("r_start_").alias("group_start"), F.col("r_end_").alias("group_end"))
+
+
+def tiles(df: DataFrame, size: int) -> DataFrame:
+    """IJ-11: (chrom, tile, start_, end_) up to each chromosome's last position, whether anything is there or not."""
+    lengths = df.groupBy("chrom").agg(F.max("end_").alias("length"))
+    each = lengths.select("chrom", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))).alias("tile"))
+    return each.select("chrom", "tile", (F.col("tile") * size + 1).alias("start_"), F.least((F.col("tile") + 1) * size, "length").alias("end_"))

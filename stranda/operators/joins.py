@@ -31,8 +31,20 @@ def overlap_pairs(left: DataFrame, right: DataFrame, bin_size: int = BIN, strand
 
 def matched(left: DataFrame, right: DataFrame, how: str, key: list[str], bin_size: int = BIN) -> DataFrame:
     """IJ-03 (left_anti), IJ-04 (left_semi): rows of left without, with, an overlap; key tells left's rows apart."""
-    found = overlap_pairs(left.select(*key, "chrom", "start_", "end_"), right.select("chrom", "start_", "end_"), bin_size).select(*key).distinct()
-    return left.join(found, key, how)
+    a, b = binned(left, bin_size), binned(right.select("chrom", "start_", "end_"), bin_size).select(F.col("chrom").alias("r_chrom"), F.col("start_").alias("r_start_"), F.col("end_").alias("r_end_"), F.col("bin").alias("r_bin"))
+    on = (F.col("chrom") == F.col("r_chrom")) & (F.col("bin") == F.col("r_bin")) & (F.col("start_") <= F.col("r_end_")) & (F.col("r_start_") <= F.col("end_"))
+    # any bin decides, so no pairs are made
+    found = a.join(b, on, "left_semi")
+    if how == "left_semi":
+        return found.drop("bin").dropDuplicates(key)
+    return left.join(found.select(*key).distinct(), key, how)
+
+
+def closest(left: DataFrame, right: DataFrame, key: list[str], *ties: str, bin_size: int = BIN) -> DataFrame:
+    """IJ-22: of all that overlaps a row of left, the one with the least difference of starts and ends, then by `ties` (columns of right)."""
+    pairs = overlap_pairs(left, right, bin_size)
+    off = (F.abs(F.col("start_") - F.col("r_start_")) + F.abs(F.col("end_") - F.col("r_end_"))).cast("long")
+    return pairs.groupBy(*key).agg(F.min(F.struct(off.alias("off"), *(F.col(f"r_{c}").alias(c) for c in ties))).alias("best")).select(*key, "best.*")
 
 
 def annotate(left: DataFrame, right: DataFrame, key: list[str], *aggregates: Column, bin_size: int = BIN) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def introns(exons: DataFrame) -> DataFrame:
     """TX-07: gaps between consecutive exons of a transcript, numbered from 1; empty ones are left out and not numbered."""
-    order = Window.partitionBy("tx_id").orderBy("start_", "end_")
+    order = Window.partitionBy("tx_id").orderBy("start_", *(["rnk"] if "rnk" in exons.columns else ["end_"]))
     gap = exons.select("tx_id", "chrom", "strand", (F.col("end_") + 1).alias("start_"), (F.lead("start_").over(order) - 1).alias("end_")).filter("start_ <= end_")
     return gap.withColumn("n", F.row_number().over(Window.partitionBy("tx_id").orderBy("start_")).cast("long"))
 
@@ -46,3 +46,33 @@ def bed12(exons: DataFrame) -> DataFrame:
     join = lambda f: F.concat(F.array_join(F.transform("b", lambda x: f(x).cast("string")), ","), F.lit(","))
     start = (F.col("s") - 1).cast("string")
     return agg.select("tx_id", F.concat_ws("\t", "chrom", start, F.col("e").cast("string"), F.col("tx_id").cast("string"), F.lit("0"), F.coalesce("strand", F.lit(".")), start, F.col("e").cast("string"), F.lit("0,0,0"), F.size("b").cast("string"), join(lambda x: x["end_"] - x["start_"] + 1), join(lambda x: x["start_"] - F.col("s"))).alias("line"))
+
+
+def spliced(pieces: DataFrame) -> DataFrame:
+    """SQ-12: (tx_id, seq) of (tx_id, strand, start_, seq) pieces: joined in genomic order, the reverse complement on -."""
+    from ..functions.sequence import reverse_complement
+
+    joined = pieces.groupBy("tx_id").agg(F.min("strand").alias("strand"), F.array_sort(F.collect_list(F.struct("start_", "seq"))).alias("p"))
+    whole = F.array_join(F.transform("p", lambda x: x["seq"]), "")
+    return joined.select("tx_id", F.when(F.col("strand") == "-", reverse_complement(whole)).otherwise(whole).alias("seq"))
+
+
+def to_genomic(exons: DataFrame, first: int, last: int) -> DataFrame:
+    """SQ-16, SQ-17: blocks (tx_id, start_, end_) of the spliced positions first to last (1-based, from the 5' end)."""
+    r = ranked(exons)
+    size = F.col("end_") - F.col("start_") + 1
+    lo, hi = F.greatest(F.lit(first) - F.col("offset"), F.lit(1)), F.least(F.lit(last) - F.col("offset"), size)
+    minus = F.col("strand") == "-"
+    cut = r.withColumns({"lo": lo, "hi": hi}).filter("lo <= hi")
+    return cut.select("tx_id", F.when(minus, F.col("end_") - F.col("hi") + 1).otherwise(F.col("start_") + F.col("lo") - 1).alias("start_"), F.when(minus, F.col("end_") - F.col("lo") + 1).otherwise(F.col("start_") + F.col("hi") - 1).alias("end_"))
+
+
+def interval_to_spliced(exons: DataFrame, intervals: DataFrame) -> DataFrame:
+    """SQ-15: (tx_id, q_start, q_end, rel_start, rel_end): spliced positions before an interval's ends; introns count nothing."""
+    size = F.col("end_") - F.col("start_") + 1
+    clamp = lambda x: F.greatest(F.lit(0), F.least(x, size))
+    minus = F.col("strand") == "-"
+    before = F.when(minus, clamp(F.col("end_") - F.col("q_end"))).otherwise(clamp(F.col("q_start") - F.col("start_")))
+    until = F.when(minus, clamp(F.col("end_") - F.col("q_start") + 1)).otherwise(clamp(F.col("q_end") - F.col("start_") + 1))
+    both = intervals.join(exons, "tx_id")
+    return both.groupBy("tx_id", "q_start", "q_end").agg((F.sum(before) + 1).cast("long").alias("rel_start"), F.sum(until).cast("long").alias("rel_end"))

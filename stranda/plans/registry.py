@@ -2,33 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..fixtures import EXON, FEAT, GENE, IV, READS, SIGNAL, VAR, fixture
+from ..fixtures import EXON, FEAT, GENE, IV, READS, SIGNAL, VAR
 from ..functions import interval as iv
 from ..functions import sequence as sq
 from ..operators import islands, joins, transcripts
+from ..operators import reads as reads_ops
+from . import intervals, reads, transcriptome  # noqa: F401  (they register their queries)
+from .base import ALL as _ALL
+from .base import OVER as _OVER
+from .base import WITH as _WITH
+from .base import get as _get
+from .base import query as _query
 
-_ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
-
-
-def _query(name: str, sql: str):
-    def add(f):
-        _ALL[name] = (f, sql)
-        return f
-
-    return add
-
-
-def _get(*sqls: str):
-    return lambda spark, sf_dir: [fixture(spark, sf_dir, s) for s in sqls]
-
-
-_WITH = f"WITH f AS ({FEAT}), i AS ({IV}), g AS ({GENE}), s AS ({SIGNAL}), r AS ({READS}), v AS ({VAR}), e AS ({EXON}) "
-_OVER = "f.chrom = i.chrom AND f.start_ <= i.end_ AND i.start_ <= f.end_ AND f.start_ <= f.end_"
 _CENTS = "cast(round({}.score * 100) AS bigint)"
 
 
@@ -136,9 +124,7 @@ def flanks(spark, sf_dir):
 @_query("tx_introns", _WITH + "SELECT * FROM (SELECT tx_id, cast(row_number() OVER (PARTITION BY tx_id ORDER BY start_) AS bigint) AS n, start_, end_ FROM (SELECT tx_id, end_ + 1 AS start_, lead(start_) OVER (PARTITION BY tx_id ORDER BY start_, rnk) - 1 AS end_ FROM e) a WHERE start_ <= end_) b")
 def introns(spark, sf_dir):
     """TX-07: empty introns are left out and not numbered."""
-    exon = _get(EXON)(spark, sf_dir)[0]
-    gap = exon.select("tx_id", (F.col("end_") + 1).alias("start_"), (F.lead("start_").over(Window.partitionBy("tx_id").orderBy("start_", "rnk")) - 1).alias("end_")).filter("start_ <= end_")
-    return gap.select("tx_id", F.row_number().over(Window.partitionBy("tx_id").orderBy("start_")).cast("long").alias("n"), "start_", "end_")
+    return transcripts.introns(_get(EXON)(spark, sf_dir)[0]).select("tx_id", "n", "start_", "end_")
 
 
 @_query("tx_genes", _WITH + "SELECT gene_id, chrom, cast(start_ AS bigint) AS start_, cast(end_ AS bigint) AS end_, strand FROM g")
@@ -168,8 +154,8 @@ _BLOCKS = "SELECT *, unnest(CASE cigar WHEN '32M' THEN [[0, 31, 1]] WHEN '12M10N
 def depth(spark, sf_dir):
     """RD-10: coverage of positions by aligned blocks."""
     reads = _get(READS)(spark, sf_dir)[0].filter(F.col("flag").bitwiseAND(F.lit(3844)) == 0)
-    blocks = reads.select("chrom", F.explode(sq.read_blocks(F.col("start_"), F.col("cigar"))).alias("b"))
-    return blocks.select("chrom", F.explode(F.sequence("b.start_", "b.end_")).alias("pos")).groupBy("chrom", "pos").agg(F.count("*").alias("depth"))
+    blocks = reads.select("chrom", F.explode(sq.read_blocks(F.col("start_"), F.col("cigar"))).alias("b")).select("chrom", "b.start_", "b.end_")
+    return islands.depth(blocks).select("chrom", F.explode(F.sequence("start_", "end_")).alias("pos"), "depth")
 
 
 @_query("rd_pairs", _WITH + "SELECT name, chrom, cast(min(start_) AS bigint) AS start_, cast(max(end_) AS bigint) AS end_, count(*) AS n FROM r WHERE flag & 3844 = 0 GROUP BY name, chrom")
@@ -246,11 +232,10 @@ def pileup(spark, sf_dir):
     return each.groupBy("chrom", "pos", F.substring("seq", F.col("read_start") + F.col("k"), F.lit(1)).alias("base")).agg(F.count("*").alias("n"))
 
 
-@_query("rd_downsample", _WITH + "SELECT chrom, least(count(*), 50) AS n FROM r GROUP BY chrom")
+@_query("rd_downsample", _WITH + "SELECT uid, chrom FROM r QUALIFY row_number() OVER (PARTITION BY chrom ORDER BY md5(uid::VARCHAR), uid) <= 50")
 def downsample(spark, sf_dir):
-    """RD-13: at most 50 reads of each chromosome, by a hash; counted here, for engines hash differently."""
-    w = Window.partitionBy("chrom").orderBy(F.xxhash64("uid"), "uid")
-    return _get(READS)(spark, sf_dir)[0].withColumn("i", F.row_number().over(w)).filter("i <= 50").groupBy("chrom").agg(F.count("*").alias("n"))
+    """RD-13: at most 50 reads of each chromosome, by a hash."""
+    return reads_ops.downsample(_get(READS)(spark, sf_dir)[0], "uid", ["chrom"], 50).select("uid", "chrom")
 
 
 @_query("tx_counts", _WITH + "SELECT gene_id, count(DISTINCT tx_id) AS n_tx, count(*) AS n_exons FROM e GROUP BY gene_id")
@@ -261,8 +246,10 @@ def tx_counts(spark, sf_dir):
 
 @_query("ag_norm_max", _WITH + "SELECT uid, round(score / max(score) OVER (PARTITION BY chrom), 6) AS share FROM f")
 def norm_max(spark, sf_dir):
-    """AG-08."""
-    return _get(FEAT)(spark, sf_dir)[0].select("uid", F.round(F.col("score") / F.max("score").over(Window.partitionBy("chrom")), 6).alias("share"))
+    """AG-08: the maxima, a row for each group, are joined back, so that no group is one task."""
+    feat = _get(FEAT)(spark, sf_dir)[0]
+    most = feat.groupBy("chrom").agg(F.max("score").alias("most"))
+    return feat.join(most, "chrom").select("uid", F.round(F.col("score") / F.col("most"), 6).alias("share"))
 
 
 @_query("ag_collapse", _WITH + "SELECT chrom, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM f GROUP BY chrom")
