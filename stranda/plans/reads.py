@@ -1,0 +1,209 @@
+"""Queries of reads (RD), conversions (TL), variants (VC) and of the text formats they come in (SC, SK)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..fixtures import EXON, FEAT, READS, SIGNAL, VAR
+from ..functions import interval as iv
+from ..functions import sequence as sq
+from ..operators import joins
+from ..operators import reads as ops
+from ..sources import text
+from .base import WITH, get, query
+
+_GOOD = "(flag & 3844) = 0"
+_HEX = "0123456789abcdef"
+
+
+def _reference(pos):
+    return F.substring(F.lit("ACGT"), (pos * 7 % 4 + 1).cast("int"), F.lit(1))
+
+
+def _reads(spark, sf_dir) -> DataFrame:
+    """Good reads with base qualities."""
+    quals = F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: ((F.instr(F.lit(_HEX), F.substring("qualhex", i, F.lit(1))) - 1) * 2 + 5).cast("int"))
+    return get(READS)(spark, sf_dir)[0].filter(_GOOD).withColumn("quals", quals)
+
+
+_OPS = "CASE cigar WHEN '32M' THEN [[0, 31, 1, 0]] WHEN '12M10N20M' THEN [[0, 11, 1, 0], [22, 41, 13, 0]] WHEN '6S26M' THEN [[0, 25, 7, 0]] WHEN '16M2D16M' THEN [[0, 15, 1, 0], [16, 17, 17, 1], [18, 33, 17, 0]] ELSE [[0, 9, 1, 0], [10, 29, 13, 0]] END"
+_BASES = f"""SELECT *, substr('ACGT', (pos * 7 % 4)::INT + 1, 1) AS ref, CASE WHEN d = 1 THEN '-' ELSE substr(seq, rp, 1) END AS alt, CASE WHEN d = 0 THEN (instr('{_HEX}', substr(qualhex, rp, 1)) - 1) * 2 + 5 END AS quality
+FROM (SELECT *, start_ + b[1] + k AS pos, (b[3] + k)::INT AS rp, b[4] AS d FROM (SELECT *, unnest(range(0, b[2] - b[1] + 1)) AS k FROM (SELECT *, unnest({_OPS}) AS b FROM r WHERE flag & 3844 = 0) x) y) z"""
+_BASED = WITH + f", b AS (SELECT * FROM ({_BASES}) q WHERE quality IS NULL OR quality >= 20) "
+
+
+def _bases(spark, sf_dir) -> DataFrame:
+    return ops.bases(_reads(spark, sf_dir), _reference, 20)
+
+
+@query("rd_pileup_quality", _BASED + "SELECT chrom, pos, ref, alt, count(*) AS n, count(*) FILTER (flag & 16 <> 0) AS n_reverse FROM b GROUP BY chrom, pos, ref, alt")
+def pileup(spark, sf_dir):
+    """RD-10 by base quality, with deletions and strands."""
+    return _bases(spark, sf_dir).groupBy("chrom", "pos", "ref", "alt").agg(F.count("*").alias("n"), F.count_if(F.col("flag").bitwiseAND(F.lit(16)) != 0).alias("n_reverse"))
+
+
+@query("rd_mismatches", _BASED + "SELECT uid, count(*) FILTER (alt NOT IN (ref, '-')) AS mismatches, count(*) FILTER (alt = '-') AS deleted FROM b GROUP BY uid")
+def mismatches(spark, sf_dir):
+    """RD-06."""
+    off = ~F.col("alt").isin("-") & (F.col("alt") != F.col("ref"))
+    return _bases(spark, sf_dir).groupBy("uid").agg(F.count_if(off).alias("mismatches"), F.count_if(F.col("alt") == "-").alias("deleted"))
+
+
+@query("rd_mismatch_profile", _BASED + "SELECT ref, alt, strand, n, round(n / sum(n) OVER (PARTITION BY ref, strand), 6) AS prob FROM (SELECT ref, alt, CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS strand, count(*) AS n FROM b WHERE alt <> '-' GROUP BY ALL) x")
+def mismatch_profile(spark, sf_dir):
+    """RD-16, RD-17, TL-05."""
+    found = _bases(spark, sf_dir).withColumn("strand", F.when(F.col("flag").bitwiseAND(F.lit(16)) != 0, "-").otherwise("+"))
+    return ops.mismatch_profile(found).withColumn("prob", F.round("prob", 6))
+
+
+@query("rd_tag_filter", WITH + "SELECT chrom, CASE WHEN flag & 3844 <> 0 THEN 'flag' WHEN nh IN (2, 3) THEN 'tag' ELSE 'kept' END AS label, count(*) AS n FROM r GROUP BY ALL")
+def tag_filter(spark, sf_dir):
+    """RD-03, RD-05, UD-06."""
+    label = F.when(~F.expr(_GOOD), "flag").when(ops.tag_label(F.col("nh"), [2, 3]), "tag").otherwise("kept")
+    return get(READS)(spark, sf_dir)[0].groupBy("chrom", label.alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("rd_deduplicated", WITH + "SELECT min(uid) AS uid, chrom, start_, end_ FROM r WHERE flag & 3844 = 0 GROUP BY chrom, start_, end_, flag & 16, cigar")
+def deduplicated(spark, sf_dir):
+    """RD-09."""
+    reads = get(READS)(spark, sf_dir)[0].filter(_GOOD).withColumn("reverse", F.col("flag").bitwiseAND(F.lit(16)))
+    return ops.deduplicate(reads, ["chrom", "start_", "end_", "reverse", "cigar"], "uid").select("uid", "chrom", "start_", "end_")
+
+
+@query("rd_soft_clips", WITH + "SELECT uid, CASE WHEN cigar = '6S26M' THEN 6 ELSE 0 END::BIGINT AS left_clip, 0::BIGINT AS right_clip, CASE WHEN cigar = '6S26M' THEN substr(seq, 7) ELSE seq END AS trimmed FROM r")
+def soft_clips(spark, sf_dir):
+    """RD-11."""
+    left, right = sq.clip_lengths(F.col("cigar"))
+    df = get(READS)(spark, sf_dir)[0].withColumns({"left_clip": left, "right_clip": right})
+    return df.select("uid", "left_clip", "right_clip", F.substr("seq", (F.col("left_clip") + 1).cast("int"), (F.length("seq") - F.col("left_clip") - F.col("right_clip")).cast("int")).alias("trimmed"))
+
+
+@query("rd_covered", WITH + "SELECT chrom, min(start_)::BIGINT AS start_, max(end_)::BIGINT AS end_, count(*) AS n, count(*) FILTER (flag & 4 <> 0) AS unmapped, bool_or(flag & 1 <> 0) AS paired FROM r GROUP BY chrom")
+def covered(spark, sf_dir):
+    """RD-07, RD-12, RD-14, LS-02."""
+    flag = lambda bit: F.col("flag").bitwiseAND(F.lit(bit)) != 0
+    return get(READS)(spark, sf_dir)[0].groupBy("chrom").agg(F.min("start_").cast("long").alias("start_"), F.max("end_").cast("long").alias("end_"), F.count("*").alias("n"), F.count_if(flag(4)).alias("unmapped"), F.bool_or(flag(1)).alias("paired"))
+
+
+@query("rd_feature_counts", WITH + "SELECT f.uid, count(r.uid) AS n, count(r.uid) FILTER (f.strand = CASE WHEN r.flag & 16 <> 0 THEN '-' ELSE '+' END) AS n_strand, count(r.uid) FILTER (r.nh = 1) AS n_unique FROM f LEFT JOIN r ON f.chrom = r.chrom AND f.start_ <= r.end_ AND r.start_ <= f.end_ AND f.start_ <= f.end_ AND r.flag & 3844 = 0 GROUP BY f.uid")
+def feature_counts(spark, sf_dir):
+    """RD-18, IJ-18."""
+    feat, reads = get(FEAT, READS)(spark, sf_dir)
+    reads = reads.filter(_GOOD).select("chrom", "start_", "end_", "nh", F.when(F.col("flag").bitwiseAND(F.lit(16)) != 0, "-").otherwise("+").alias("strand"))
+    found = joins.annotate(feat, reads, ["uid"], F.count("*").alias("n"), F.count_if(F.col("strand") == F.col("r_strand")).alias("n_strand"), F.count_if(F.col("r_nh") == 1).alias("n_unique"))
+    return found.select("uid", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "n_strand", "n_unique")))
+
+
+@query("rd_aligned_to", WITH + "SELECT f.uid AS feature, r.uid FROM f JOIN r ON f.chrom = r.chrom AND f.start_ <= r.end_ AND r.start_ <= f.end_ AND f.start_ <= f.end_ AND r.flag & 3844 = 0 WHERE list_sum(list_transform(" + _OPS.replace("cigar", "r.cigar") + ", lambda x: CASE WHEN x[4] = 1 THEN 0 ELSE greatest(0, least(r.start_ + x[2], f.end_) - greatest(r.start_ + x[1], f.start_) + 1) END)) >= 0.95 * list_sum(list_transform(" + _OPS.replace("cigar", "r.cigar") + ", lambda x: CASE WHEN x[4] = 1 THEN 0 ELSE x[2] - x[1] + 1 END))")
+def aligned_to(spark, sf_dir):
+    """IV-23, IV-24: reads of which 95 % of the aligned bases lie in a feature."""
+    feat, reads = get(FEAT, READS)(spark, sf_dir)
+    reads = reads.filter(_GOOD).select("uid", "chrom", "start_", "end_", sq.read_blocks(F.col("start_"), F.col("cigar")).alias("blocks"))
+    pairs = joins.overlap_pairs(feat.select(F.col("uid").alias("feature"), "chrom", "start_", "end_", "strand"), reads)
+    return pairs.filter(iv.blocks_inside(F.col("r_blocks"), iv.Interval.of())).select("feature", F.col("r_uid").alias("uid"))
+
+
+_MINUS = "(flag & 16 <> 0) <> (flag & 128 <> 0)"
+_TAGGED = _BASED + f", t AS (SELECT uid, chrom, nh, count(*) FILTER (ref = CASE WHEN {_MINUS} THEN 'A' ELSE 'T' END) AS xt, count(*) FILTER (ref = CASE WHEN {_MINUS} THEN 'A' ELSE 'T' END AND alt = CASE WHEN {_MINUS} THEN 'G' ELSE 'C' END) AS xc FROM b ANTI JOIN (SELECT chrom, pos FROM v WHERE (ref = 'T' AND alt = 'C') OR (ref = 'A' AND alt = 'G')) m ON m.chrom = b.chrom AND m.pos = b.pos GROUP BY ALL) "
+
+
+def _tagged(spark, sf_dir) -> DataFrame:
+    snp = "(ref = 'T' AND alt = 'C') OR (ref = 'A' AND alt = 'G')"
+    masked = get(VAR)(spark, sf_dir)[0].filter(snp).select("chrom", "pos").distinct()
+    return ops.tag_tc(_bases(spark, sf_dir).join(masked, ["chrom", "pos"], "left_anti"), ["uid", "chrom", "nh"])
+
+
+@query("tl_tag_tc", _TAGGED + "SELECT uid, xt, xc FROM t WHERE xc >= 1")
+def tag_tc(spark, sf_dir):
+    """TL-01, TL-02, VC-05: conversions of each read, positions of T>C variants left out; reads with one at least."""
+    return _tagged(spark, sf_dir).filter("xc >= 1").select("uid", "xt", "xc")
+
+
+@query("tl_density", _TAGGED + "SELECT chrom, xt, xc, count(*) AS n, round(sum(1.0 / nh), 6) AS weighted FROM t GROUP BY chrom, xt, xc")
+def density(spark, sf_dir):
+    """TL-01: reads by convertible and converted bases, each once or by its number of hits."""
+    return _tagged(spark, sf_dir).groupBy("chrom", "xt", "xc").agg(F.count("*").alias("n"), F.round(F.sum(F.lit(1.0) / F.col("nh")), 6).alias("weighted"))
+
+
+@query("tl_quantise", WITH + "SELECT uid, least(9, greatest(0, ceil((score - lo) / ((hi - lo) / 10)) - 1))::BIGINT AS bin FROM f, (SELECT min(score) AS lo, max(score) AS hi FROM f) x")
+def quantise(spark, sf_dir):
+    """TL-06."""
+    return ops.quantise(get(FEAT)(spark, sf_dir)[0], "score").select("uid", "bin")
+
+
+@query("tl_prune_tags", WITH + "SELECT uid, 'NH:' || nh AS tags FROM r")
+def prune_tags(spark, sf_dir):
+    """TL-03: only the listed tags stay."""
+    tags = F.create_map(F.lit("NH"), F.col("nh").cast("string"), F.lit("MQ"), F.col("mapq").cast("string"))
+    kept = F.map_filter(tags, lambda k, v: k.isin("NH"))
+    return get(READS)(spark, sf_dir)[0].select("uid", F.array_join(F.transform(F.map_entries(kept), lambda x: F.concat_ws(":", x["key"], x["value"])), ",").alias("tags"))
+
+
+# --- text formats: lines are written from the tables, read by the readers' expressions, and compared with the tables
+
+
+@query("sc_bed", WITH + "SELECT chrom, start_::BIGINT AS start_, end_::BIGINT AS end_, strand, uid::VARCHAR AS name, floor(score)::INT AS score FROM f")
+def bed(spark, sf_dir):
+    """SC-01, SC-09, SK-05."""
+    lines = text.bed_lines(get(FEAT)(spark, sf_dir)[0].withColumns({"name": F.col("uid"), "score": F.floor("score")}))
+    return text.bed_rows(lines).select("chrom", "start_", "end_", "strand", "name", "score")
+
+
+@query("sc_bedgraph", WITH + "SELECT chrom, start_::BIGINT AS start_, end_::BIGINT AS end_, '+' AS strand, value FROM s")
+def bedgraph(spark, sf_dir):
+    """SC-08."""
+    lines = get(SIGNAL)(spark, sf_dir)[0].select(F.concat_ws("\t", "chrom", (F.col("start_") - 1).cast("string"), F.col("end_").cast("string"), F.col("value").cast("string")).alias("value"))
+    return text.bedgraph_rows(lines, strand="+")
+
+
+@query("sc_gff", WITH + "SELECT chrom, start_::BIGINT AS start_, end_::BIGINT AS end_, strand, 'exon' AS feature_type, 'tx' || tx_id AS parent, tx_type AS kind FROM e")
+def gff(spark, sf_dir):
+    """SC-13, SC-20, SK-07."""
+    lines = text.gff_lines(get(EXON)(spark, sf_dir)[0].withColumns({"feature_type": F.lit("exon"), "Parent": F.concat(F.lit("tx"), "tx_id"), "kind": F.col("tx_type"), "note": F.lit(None).cast("string")}), "Parent", "kind", "note")
+    return text.gff_rows(lines).select("chrom", "start_", "end_", "strand", "feature_type", F.col("attrs.Parent").alias("parent"), F.col("attrs.kind").alias("kind"))
+
+
+@query("sc_gtf", WITH + "SELECT uid, replace(name, '#', '-') AS name, 'two words' AS note FROM f")
+def gtf(spark, sf_dir):
+    """SC-20, GTF: quotes go."""
+    line = F.concat(F.lit('id "'), F.col("uid"), F.lit('"; gene_name "'), F.replace("name", F.lit("#"), F.lit("-")), F.lit('"; note "two words";'))
+    df = get(FEAT)(spark, sf_dir)[0].select(text.parse_attributes(line, gtf=True).alias("a"))
+    return df.select(F.col("a.id").cast("long").alias("uid"), F.col("a.gene_name").alias("name"), F.col("a.note").alias("note"))
+
+
+@query("sc_vcf", WITH + """SELECT uid::VARCHAR AS id, chrom, CASE WHEN alt = '<DEL>' THEN pos WHEN length(ref) > length(alt) THEN pos + 1 ELSE pos END::BIGINT AS start_,
+  CASE WHEN alt = '<DEL>' THEN pos + 20 WHEN length(ref) > length(alt) THEN pos + length(ref) - 1 ELSE pos END::BIGINT AS end_,
+  CASE WHEN alt = '<DEL>' THEN 'SV' WHEN length(ref) > length(alt) THEN 'DEL' WHEN alt = 'ATT' THEN 'INS' ELSE 'SNP' END AS kind, gt, split_part(substr(info, 4), ';', 1) AS dp, 'true' AS db FROM v WHERE filter_ <> 'LowQual'""")
+def vcf(spark, sf_dir):
+    """SC-12, VC-02, VC-03, VC-04."""
+    v = get(VAR)(spark, sf_dir)[0]
+    lines = v.select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.col("uid").cast("string"), "ref", "alt", F.lit("50"), "filter_", "info", F.lit("GT:DP"), F.concat("gt", F.lit(":7"))).alias("value"))
+    got = text.vcf_rows(lines)
+    return got.select("id", "chrom", "start_", "end_", "kind", F.get("genotypes", 0).alias("gt"), F.col("info.DP").alias("dp"), F.col("info.DB").alias("db"))
+
+
+@query("vc_called", WITH + "SELECT chrom, count(*) AS n, count(*) FILTER (filter_ = 'LowQual') AS failed, count(*) FILTER (gt = './.') AS no_call, count(*) FILTER (filter_ <> 'LowQual' AND gt <> './.') AS kept FROM v GROUP BY chrom")
+def called(spark, sf_dir):
+    """VC-04: filters and their counts."""
+    failed, none = F.col("filter_") == "LowQual", sq.zygosity(F.col("gt"))["called"] + sq.zygosity(F.col("gt"))["zyg"] == 0
+    return get(VAR)(spark, sf_dir)[0].groupBy("chrom").agg(F.count("*").alias("n"), F.count_if(failed).alias("failed"), F.count_if(none).alias("no_call"), F.count_if(~failed & ~none).alias("kept"))
+
+
+@query("sc_sam", WITH + "SELECT name, flag::INT AS flag, chrom, start_::BIGINT AS start_, end_::BIGINT AS end_, CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS strand, mapq::INT AS mapq, seq, nh::VARCHAR AS nh FROM r")
+def sam(spark, sf_dir):
+    """SC-18, SK-14."""
+    lines = text.sam_lines(get(READS)(spark, sf_dir)[0].withColumns({"qual": F.lit("*"), "tags": F.create_map(F.lit("NH"), F.col("nh").cast("string"))}))
+    return text.sam_rows(lines).select("name", "flag", "chrom", "start_", "end_", "strand", "mapq", "seq", F.col("tags.NH").alias("nh"))
+
+
+@query("sk_tsv", WITH + "SELECT uid || chr(9) || coalesce(strand, 'NA') || chr(9) || name || ',NA' AS value FROM f")
+def tsv(spark, sf_dir):
+    """SK-13."""
+    return text.tsv_lines(get(FEAT)(spark, sf_dir)[0].withColumn("list", F.array("name", F.lit(None).cast("string"))), "uid", "strand", "list")
+
+
+@query("sk_block_cigar", WITH + "SELECT uid, CASE cigar WHEN '6S26M' THEN '26M' WHEN '16M2D16M' THEN '16M2N16M' WHEN '10M2I20M' THEN '10M0N20M' ELSE cigar END AS cigar FROM r")
+def block_cigar(spark, sf_dir):
+    """SK-14: the CIGAR of a read's aligned blocks."""
+    return get(READS)(spark, sf_dir)[0].select("uid", text.blocks_cigar(sq.read_blocks(F.col("start_"), F.col("cigar"))).alias("cigar"))

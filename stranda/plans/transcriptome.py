@@ -1,0 +1,153 @@
+"""Queries of transcriptome building (TX) and of sequences (SQ)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..fixtures import EXON, GENE, READS
+from ..functions import sequence as sq
+from ..operators import annotation, transcripts
+from ..sources import text
+from .base import WITH, get, query
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    """GFF3 lines of genes, transcripts and exons: some genes are missing, some too short, some transcripts are missing."""
+    gene, exon = get(GENE, EXON)(spark, sf_dir)
+    strand = lambda df: df.withColumn("strand", F.col("strand"))
+    named = lambda kind, c: F.concat(F.lit(kind), F.col(c))
+    genes = strand(gene.filter("gene_id % 7 <> 0")).withColumns({"end_": F.when(F.col("gene_id") % 10 == 3, F.col("end_") - 200).otherwise(F.col("end_")), "feature_type": F.lit("gene"), "ID": named("g", "gene_id"), "gene_type": F.when(F.col("gene_id") % 4 == 0, "pseudogene").when(F.col("gene_id") % 4 == 1, "coding,known")})
+    tx = exon.filter("tx_id % 11 <> 0").groupBy("tx_id").agg(F.min("gene_id").alias("gene_id"), F.min("chrom").alias("chrom"), F.min("start_").alias("start_"), F.max("end_").alias("end_"), F.min("strand").alias("strand"))
+    tx = tx.withColumns({"feature_type": F.lit("mRNA"), "ID": named("t", "tx_id"), "Parent": named("g", "gene_id")})
+    parts = exon.withColumns({"feature_type": F.lit("exon"), "Parent": named("t", "tx_id")})
+    return text.gff_lines(genes, "ID", "gene_type").unionByName(text.gff_lines(tx, "ID", "Parent")).unionByName(text.gff_lines(parts, "Parent"))
+
+
+def _built(spark, sf_dir) -> annotation.Built:
+    keep = annotation.Filter(not_chroms=["chr5"], fields={"gene": {"gene_type": (["coding", "other"], True)}})
+    return annotation.build(text.gff_rows(_lines(spark, sf_dir)), annotation.FLAVOURS["generic"], keep)
+
+
+_BUILD = WITH + """, gl AS (SELECT gene_id, chrom, start_ AS s, CASE WHEN gene_id % 10 = 3 THEN end_ - 200 ELSE end_ END AS e, CASE WHEN chrom = 'chr5' THEN 'chrom' WHEN gene_id % 4 = 0 THEN 'gene_type' END AS label FROM g WHERE gene_id % 7 <> 0),
+tl AS (SELECT tx_id, min(gene_id) AS gene_id, min(chrom) AS chrom, min(start_) AS s, max(end_) AS e FROM e WHERE tx_id % 11 <> 0 GROUP BY tx_id),
+tk AS (SELECT tl.*, gl.gene_id IS NULL AS missing, CASE WHEN tl.chrom = 'chr5' THEN 'chrom' WHEN gl.label IS NOT NULL THEN 'parent_filtered' WHEN gl.gene_id IS NOT NULL AND NOT (gl.s <= tl.s AND tl.e <= gl.e) THEN 'not_enveloped' ELSE 'kept' END AS label FROM tl LEFT JOIN gl USING (gene_id)),
+gk AS (SELECT gl.*, coalesce(label, CASE WHEN gene_id NOT IN (SELECT gene_id FROM tk WHERE label = 'kept') THEN 'empty' END, 'kept') AS final FROM gl),
+made AS (SELECT gene_id, min(s) AS s, max(e) AS e FROM tk WHERE missing AND label = 'kept' GROUP BY gene_id),
+pk AS (SELECT e.*, CASE WHEN e.chrom = 'chr5' THEN 'chrom' WHEN tk.tx_id IS NULL THEN 'orphan' ELSE 'kept' END AS label FROM e LEFT JOIN (SELECT * FROM tk WHERE label = 'kept') tk ON e.tx_id = tk.tx_id) """
+
+
+@query("tx_build", _BUILD + """SELECT 'gene' AS kind, 'g' || gene_id AS id, NULL AS parent, s::BIGINT AS start_, e::BIGINT AS end_ FROM gk WHERE final = 'kept' UNION ALL SELECT 'gene', 'g' || gene_id, NULL, s, e FROM made
+  UNION ALL SELECT 'transcript', 't' || tx_id, 'g' || gene_id, s, e FROM tk WHERE label = 'kept'
+  UNION ALL SELECT 'part', 't' || tx_id || '_exon_' || (row_number() OVER (PARTITION BY tx_id ORDER BY start_, end_) - 1), 't' || tx_id, start_, end_ FROM pk WHERE label = 'kept'""")
+def build(spark, sf_dir):
+    """TX-01 to TX-06, TX-11, TX-14."""
+    return _built(spark, sf_dir).features.select("kind", "id", "parent", "start_", "end_")
+
+
+@query("tx_build_log", _BUILD + """SELECT 'gene' AS kind, final AS label, count(*) AS n FROM gk GROUP BY final UNION ALL SELECT 'gene', 'made', count(*) FROM made HAVING count(*) > 0
+  UNION ALL SELECT 'transcript', label, count(*) FROM tk GROUP BY label UNION ALL SELECT 'part', label, count(*) FROM pk GROUP BY label""")
+def build_log(spark, sf_dir):
+    """TX-13."""
+    return _built(spark, sf_dir).log
+
+
+@query("tx_descendants", _BUILD + """SELECT 't' || tx_id AS id FROM tk WHERE label = 'kept' AND gene_id IN (1, 2, 14) UNION ALL SELECT 'g' || gene_id FROM gk WHERE final = 'kept' AND gene_id IN (1, 2, 14) UNION ALL SELECT 'g' || gene_id FROM made WHERE gene_id IN (1, 2, 14)""")
+def descendants(spark, sf_dir):
+    """TX-15, TX-17."""
+    return annotation.descendants(_built(spark, sf_dir).features, ["g1", "g2", "g14"]).filter("kind <> 'part'").select("id")
+
+
+@query("tx_enveloped", _BUILD + "SELECT count(*) AS n FROM gk WHERE false")
+def enveloped(spark, sf_dir):
+    """TX-09: how many features lie outside their parent."""
+    return annotation.outside_parent(_built(spark, sf_dir).features).agg(F.count("*").alias("n"))
+
+
+_PIECE = "list_aggregate(list_transform(range(start_, end_ + 1), lambda p: substr('ACGT', (p * 7 % 4)::INT + 1, 1)), 'string_agg', '')"
+_SPLICED = WITH + f", sp AS (SELECT tx_id, CASE WHEN min(strand) = '-' THEN translate(reverse(string_agg({_PIECE}, '' ORDER BY start_)), 'ACGT', 'TGCA') ELSE string_agg({_PIECE}, '' ORDER BY start_) END AS seq FROM e GROUP BY tx_id) "
+
+
+def _spliced(spark, sf_dir) -> DataFrame:
+    """Exons cut from a reference that is given by position."""
+    exon = get(EXON)(spark, sf_dir)[0]
+    base = lambda p: F.substring(F.lit("ACGT"), (p * 7 % 4 + 1).cast("int"), F.lit(1))
+    return transcripts.spliced(exon.select("tx_id", "strand", "start_", F.array_join(F.transform(F.sequence("start_", "end_"), base), "").alias("seq")))
+
+
+@query("seq_spliced", _SPLICED + "SELECT tx_id, seq FROM sp")
+def spliced(spark, sf_dir):
+    """SQ-12, SQ-13."""
+    return _spliced(spark, sf_dir)
+
+
+_CODE = sq.AMINO
+_AT = "(instr('TCAG', substr(seq, i, 1)) - 1) * 16 + (instr('TCAG', substr(seq, i + 1, 1)) - 1) * 4 + instr('TCAG', substr(seq, i + 2, 1))"
+
+
+@query("seq_translated", _SPLICED + f"SELECT tx_id, coalesce(string_agg(substr('{_CODE}', ({_AT})::INT, 1), '' ORDER BY i), '') AS protein FROM sp LEFT JOIN (SELECT unnest(range(1, 1000, 3)) AS i) n ON i + 2 <= length(seq) GROUP BY tx_id")
+def translated(spark, sf_dir):
+    """SQ-12, SQ-14."""
+    return _spliced(spark, sf_dir).select("tx_id", sq.translate(F.col("seq")).alias("protein"))
+
+
+@query("seq_rna_mod3", WITH + "SELECT tx_id, (sum(end_ - start_ + 1) % 3)::BIGINT AS rest FROM e GROUP BY tx_id")
+def mod3(spark, sf_dir):
+    """SQ-20."""
+    return get(EXON)(spark, sf_dir)[0].groupBy("tx_id").agg((F.sum(F.col("end_") - F.col("start_") + 1) % 3).alias("rest"))
+
+
+@query("seq_splice_sites", WITH + "SELECT substr('ACGT', (s * 7 % 4)::INT + 1, 1) || substr('ACGT', ((s + 1) * 7 % 4)::INT + 1, 1) AS first_two, substr('ACGT', ((e - 1) * 7 % 4)::INT + 1, 1) || substr('ACGT', (e * 7 % 4)::INT + 1, 1) AS last_two, count(*) AS n FROM (SELECT end_ + 1 AS s, lead(start_) OVER (PARTITION BY tx_id ORDER BY start_, rnk) - 1 AS e FROM e) x WHERE s + 3 <= e GROUP BY ALL")
+def splice_sites(spark, sf_dir):
+    """SQ-19."""
+    base = lambda p: F.substring(F.lit("ACGT"), (p * 7 % 4 + 1).cast("int"), F.lit(1))
+    gap = transcripts.introns(get(EXON)(spark, sf_dir)[0]).filter("start_ + 3 <= end_")
+    s, e = F.col("start_"), F.col("end_")
+    return gap.groupBy(F.concat(base(s), base(s + 1)).alias("first_two"), F.concat(base(e - 1), base(e)).alias("last_two")).agg(F.count("*").alias("n"))
+
+
+_RANKED = "SELECT *, coalesce(sum(end_ - start_ + 1) OVER (PARTITION BY tx_id ORDER BY CASE WHEN strand = '-' THEN -end_ ELSE start_ END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM e"
+
+
+@query("seq_aligned_blocks", WITH + f"SELECT tx_id, (CASE WHEN strand = '-' THEN end_ - hi + 1 ELSE start_ + lo - 1 END)::BIGINT AS start_, (CASE WHEN strand = '-' THEN end_ - lo + 1 ELSE start_ + hi - 1 END)::BIGINT AS end_ FROM (SELECT *, greatest(11 - off, 1) AS lo, least(60 - off, end_ - start_ + 1) AS hi FROM ({_RANKED}) x) y WHERE lo <= hi")
+def aligned_blocks(spark, sf_dir):
+    """SQ-16, SQ-17: genomic blocks of the spliced positions 11 to 60."""
+    out = transcripts.to_genomic(get(EXON)(spark, sf_dir)[0], 11, 60)
+    return out.select("tx_id", F.col("start_").cast("long").alias("start_"), F.col("end_").cast("long").alias("end_"))
+
+
+_CLAMP = "greatest(0, least({}, end_ - start_ + 1))"
+
+
+@query("seq_rel_interval", WITH + f"SELECT tx_id, q_start, q_end, (sum(CASE WHEN strand = '-' THEN {_CLAMP.format('end_ - q_end')} ELSE {_CLAMP.format('q_start - start_')} END) + 1)::BIGINT AS rel_start, sum(CASE WHEN strand = '-' THEN {_CLAMP.format('end_ - q_start + 1')} ELSE {_CLAMP.format('q_end - start_ + 1')} END)::BIGINT AS rel_end FROM (SELECT *, min(start_) OVER (PARTITION BY tx_id) + 20 AS q_start, max(end_) OVER (PARTITION BY tx_id) - 20 AS q_end FROM e) x GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY tx_id, q_start, q_end"))
+def rel_interval(spark, sf_dir):
+    """SQ-15 for intervals, introns too."""
+    exon = get(EXON)(spark, sf_dir)[0]
+    inner = exon.groupBy("tx_id").agg((F.min("start_") + 20).alias("q_start"), (F.max("end_") - 20).alias("q_end"))
+    return transcripts.interval_to_spliced(exon.select("tx_id", "strand", "start_", "end_"), inner)
+
+
+@query("seq_measures", WITH + "SELECT uid, translate(seq, 'ACGT', 'TGCA') AS complement, (contains(seq, 'GATC')::INT + contains(seq, 'CCGG')::INT)::BIGINT AS n_sites, greatest(list_max(list_transform(regexp_extract_all(seq, 'A+'), lambda x: length(x))), list_max(list_transform(regexp_extract_all(seq, 'C+'), lambda x: length(x))), list_max(list_transform(regexp_extract_all(seq, 'G+'), lambda x: length(x))), list_max(list_transform(regexp_extract_all(seq, 'T+'), lambda x: length(x))))::BIGINT AS longest, round(length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq), 6) AS gc FROM r")
+def measures(spark, sf_dir):
+    """SQ-02, SQ-03, SQ-04, SQ-05."""
+    s = F.col("seq")
+    return get(READS)(spark, sf_dir)[0].select("uid", sq.complement(s).alias("complement"), sq.count_sites(s, ["GATC", "CCGG"]).alias("n_sites"), sq.longest_homopolymer(s).alias("longest"), F.round(sq.gc_fraction(s), 6).alias("gc"))
+
+
+@query("seq_kmer_positions", WITH + "SELECT uid, kmer, i AS pos FROM r, (SELECT unnest(['ACAC', 'GTGT']) AS kmer) k, (SELECT unnest(range(1, 30)) AS i) n WHERE substr(seq, i::INT, 4) = kmer")
+def kmer_positions(spark, sf_dir):
+    """SQ-07, SQ-08, SQ-21: a k-mer and its reverse complement, overlapping matches too."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kmer"), sq.kmer_positions(F.col("seq"), k).alias("at")) for k in ("ACAC", "GTGT"))))
+    return get(READS)(spark, sf_dir)[0].select("uid", each.alias("x")).select("uid", "x.kmer", F.explode("x.at").alias("pos")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("seq_windows", WITH + "SELECT uid, k AS n, rpad(substr(seq, (k * 7 + 1)::INT, 10), 10, 'N') AS w FROM r, (SELECT unnest(range(0, 5)) AS k) x WHERE k <= ceil((32 - 10) / 7.0)")
+def windows(spark, sf_dir):
+    """SQ-09, SC-06."""
+    return get(READS)(spark, sf_dir)[0].select("uid", F.posexplode(sq.windows(F.col("seq"), 10, 7)).alias("n", "w")).select("uid", F.col("n").cast("long").alias("n"), "w")
+
+
+@query("seq_fasta", WITH + "SELECT uid, '>r' || uid || chr(10) || substr(seq, 1, 12) || chr(10) || substr(seq, 13, 12) || chr(10) || substr(seq, 25) AS record, 'NNN' || substr(seq, 1, 6) || 'NNNN' AS padded FROM r")
+def fasta(spark, sf_dir):
+    """SQ-10, SK-13."""
+    return get(READS)(spark, sf_dir)[0].select("uid", F.concat(F.lit(">r"), F.col("uid").cast("string"), F.lit("\n"), sq.wrap(F.col("seq"), 12)).alias("record"), sq.pad_n(F.substring("seq", 1, 6), 13).alias("padded"))
