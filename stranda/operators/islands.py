@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TILE = 1 << 16
@@ -11,28 +14,44 @@ TILE = 1 << 16
 def merge(df: DataFrame, by: list[str], adjacent: bool = False, tile: int = TILE) -> DataFrame:
     """IJ-06: merged intervals (by..., start_, end_, n members); empty ones are left out.
 
-    In two phases, so that a chromosome isn't one task: intervals that begin in one tile are merged with each other, then
-    these islands, far fewer, with those of other tiles."""
-    first = _islands(df.filter("start_ <= end_").select(*by, "start_", "end_", F.lit(1).cast("long").alias("n"), F.floor(F.col("start_") / tile).alias("tile")), [*by, "tile"], adjacent)
-    return _islands(first, by, adjacent).select(*by, "start_", "end_", "n")
-
-
-def _islands(df: DataFrame, by: list[str], adjacent: bool) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy("start_", "end_")
-    reach = F.max("end_").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    Sorted only inside tiles: how far the tiles before reach is carried over, a row for each tile, so no chromosome is one task."""
+    df = df.filter("start_ <= end_").select(*by, "start_", "end_", F.floor(F.col("start_") / tile).alias("tile"))
+    df = _carry(df, by, F.max("end_"), F.max, "_open")
+    order = ["start_", "end_"]
+    inside = Window.partitionBy(*by, "tile").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.greatest(F.max("end_").over(inside), "_open")
     new = F.when(reach.isNull() | (F.col("start_") > reach + int(adjacent)), 1).otherwise(0)
-    marked = df.withColumn("_new", new)
-    numbered = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*by, "_island").agg(F.min("start_").alias("start_"), F.max("end_").alias("end_"), F.sum("n").alias("n")).drop("_island")
-
-
-def compact(df: DataFrame) -> DataFrame:
-    """IJ-20: runs of adjacent intervals with equal values, by chromosome."""
-    order = Window.partitionBy("chrom").orderBy("start_", "end_")
-    same = (F.lag("end_").over(order) + 1 == F.col("start_")) & F.lag("value").over(order).eqNullSafe(F.col("value"))
+    return _numbered(df.withColumn("_new", new), by, order).groupBy(*by, "_run").agg(F.min("start_").alias("start_"), F.max("end_").alias("end_"), F.count("*").alias("n")).drop("_run")
+
+
+def _carry(df: DataFrame, by: list[str], each: Column, over: Callable[[str], Column], name: str) -> DataFrame:
+    """df with `name`: over all tiles before a row's tile, what `over` makes of each tile's aggregate; null in the first."""
+    before = Window.partitionBy(*by).orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
+    tiles = df.groupBy(*by, "tile").agg(each.alias("_x")).withColumn(name, over("_x").over(before)).drop("_x")
+    keys = [*by, "tile"]
+    tiles = tiles.select(*(F.col(c).alias(f"_key_{c}") for c in keys), name)
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in keys))
+    return df.join(tiles, same).drop(*(f"_key_{c}" for c in keys))
+
+
+def _numbered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Numbers runs in `_run`; a row with _new = 1 begins one."""
+    df = _carry(df, by, F.sum("_new"), F.sum, "_before")
+    inside = Window.partitionBy(*by, "tile").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("_run", F.coalesce("_before", F.lit(0)) + F.sum("_new").over(inside))
+
+
+def compact(df: DataFrame, tile: int = TILE) -> DataFrame:
+    """IJ-20: runs of adjacent intervals with equal values, by chromosome; sorted only inside tiles, as merge."""
+    df = df.select("chrom", "start_", "end_", "value", F.floor(F.col("start_") / tile).alias("tile"))
+    last = F.max(F.struct("start_", "end_", "value"))
+    df = _carry(df, ["chrom"], last, F.max, "_left")
+    order = Window.partitionBy("chrom", "tile").orderBy("start_", "end_")
+    left = F.coalesce(F.lag(F.struct("start_", "end_", "value")).over(order), F.col("_left"))
+    df = df.withColumn("_l", left)
+    same = (F.col("_l.end_") + 1 == F.col("start_")) & F.col("_l.value").eqNullSafe(F.col("value"))
     marked = df.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
-    numbered = marked.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("chrom", "_run").agg(F.min("start_").alias("start_"), F.max("end_").alias("end_"), F.first("value").alias("value")).drop("_run")
+    return _numbered(marked, ["chrom"], ["start_", "end_"]).groupBy("chrom", "_run").agg(F.min("start_").alias("start_"), F.max("end_").alias("end_"), F.first("value").alias("value")).drop("_run")
 
 
 def tile_counts(df: DataFrame, size: int) -> DataFrame:

@@ -89,7 +89,7 @@ def merge_stranded(spark, sf_dir):
 @_query("ij_compact", _WITH + "SELECT chrom, min(start_) AS start_, max(end_) AS end_, min(value) AS value FROM (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY start_ ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN lag(end_) OVER w + 1 = start_ AND lag(value) OVER w = value THEN 0 ELSE 1 END AS new FROM s WINDOW w AS (PARTITION BY chrom ORDER BY start_)) a) b GROUP BY chrom, run")
 def compact(spark, sf_dir):
     """IJ-20."""
-    return islands.compact(_get(SIGNAL)(spark, sf_dir)[0])
+    return islands.compact(_get(SIGNAL)(spark, sf_dir)[0], tile=1000)
 
 
 @_query("ij_tile_counts", _WITH + "SELECT chrom, tile, count(*) AS n FROM (SELECT chrom, unnest(range(cast(floor((start_ - 1) / 100.0) AS bigint), cast(floor((end_ - 1) / 100.0) AS bigint) + 1)) AS tile FROM i) x GROUP BY chrom, tile")
