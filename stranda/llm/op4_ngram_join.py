@@ -166,26 +166,28 @@ def _fronts(size: int, least: int, order):
 
 
 def _fragments(size: int, order, wanted):
-    """(k, fragment, tokens) of documents that may be wanted."""
+    """(k, fragment, tokens, of_a, of_b) of documents that may be wanted, as the first or the second of a pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PIECE):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             at = ids & (_FILTER_BITS - 1)
-            batch = batch.take(pa.array(np.flatnonzero(wanted.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))))
+            of = (wanted.value[:, at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            chosen = np.flatnonzero(of.any(axis=0))
+            batch, of = batch.take(pa.array(chosen)), of[:, chosen]
             if not batch.num_rows:
                 continue
             bounds, token = shingle_sets(Texts.of(batch.column(1)), size)
             fragment = np.where(order.value.rank(token) >= 0, FRAGMENTS - 1, np.searchsorted(_CUTS, token, side="right")).astype(np.int64)
-            out: list[tuple[int, int, np.ndarray]] = []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            out: list[tuple[int, int, np.ndarray, bool, bool]] = []
+            for a, b, of_a, of_b in zip(bounds[:-1], bounds[1:], *of, strict=True):
                 own, part = token[a:b], fragment[a:b]
-                out += [(_class_key(own), f, own[part == f]) for f in range(FRAGMENTS if b > a else 0)]
+                out += [(_class_key(own), f, own[part == f], of_a, of_b) for f in range(FRAGMENTS if b > a else 0)]
             out = [x for x in out if len(x[2])]
             if out:
                 offsets = np.concatenate([[0], np.cumsum([len(x[2]) for x in out])]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(offsets), _long(np.concatenate([x[2] for x in out])))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), tokens], ["k", "fragment", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), tokens, *(pa.array([x[i] for x in out], pa.bool_()) for i in (3, 4))], ["k", "fragment", "tokens", "of_a", "of_b"])
 
     return run
 
@@ -227,15 +229,18 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, order, size: i
     spark = docs.sparkSession
     pairs = cut(_differ_little(rows, pairs, least))
     bit = F.col("doc").bitwiseAND(F.lit(_FILTER_BITS - 1))
-    involved = pairs.select("doc").unionByName(pairs.select(F.col("doc_b").alias("doc")))
-    words = involved.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(doc & 63 AS int))")).alias("bits")).collect()  # at most _FILTER_BITS / 64 rows
-    wanted = np.zeros(_FILTER_BITS >> 6, np.int64)
+    side = lambda doc, second: pairs.select(F.col(doc).alias("doc"), F.lit(second).alias("second"))
+    mask = lambda which: F.expr(f"bit_or(if({which}, shiftleft(1L, cast(doc & 63 AS int)), 0L))")
+    involved = side("doc", False).unionByName(side("doc_b", True)).groupBy(F.shiftright(bit, 6).alias("w"))
+    words = involved.agg(mask("NOT second").alias("of_a"), mask("second").alias("of_b")).collect()  # at most _FILTER_BITS / 64 rows
+    wanted = np.zeros((2, _FILTER_BITS >> 6), np.int64)
     for r in words:
-        wanted[r.w] = r.bits
-    # shingled once, read twice
-    parts = stored(docs.mapInArrow(_fragments(size, order, spark.sparkContext.broadcast(wanted.view(np.uint64))), "k long, fragment int, tokens array<long>"))
-    each = pairs.select("a", "b", "n", "n_b").join(parts.select(F.col("k").alias("a"), "fragment", F.col("tokens").alias("x")), "a")
-    each = each.join(parts.select(F.col("k").alias("b"), "fragment", F.col("tokens").alias("y")), ["b", "fragment"])
+        wanted[:, r.w] = r.of_a, r.of_b
+    # shingled once, read twice: the fragments of pairs' first classes, then of their second ones
+    schema = "k long, fragment int, tokens array<long>, of_a boolean, of_b boolean"
+    parts = stored(docs.mapInArrow(_fragments(size, order, spark.sparkContext.broadcast(wanted.view(np.uint64))), schema))
+    each = pairs.select("a", "b", "n", "n_b").join(parts.filter("of_a").select(F.col("k").alias("a"), "fragment", F.col("tokens").alias("x")), "a")
+    each = each.join(parts.filter("of_b").select(F.col("k").alias("b"), "fragment", F.col("tokens").alias("y")), ["b", "fragment"])
     # a text may be there twice; its fragments count once
     partial = each.groupBy("a", "b", "n", "n_b", "fragment").agg(F.max(F.size(F.array_intersect("x", "y"))).alias("o"))
     overlap = partial.groupBy("a", "b", "n", "n_b").agg(F.sum("o").alias("o"))
