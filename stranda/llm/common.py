@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -167,11 +168,16 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables of stored(), once all that was made of them is written."""
+    """Deletes tables of stored(), once all that was made of them is written, and frees the shuffle files of the steps up to here.
+
+    Spark's cleaner deletes a shuffle when the driver collects what refers to it, which on a large heap may be after the whole job."""
     for df in tables:
         for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        gc.collect()  # Python's handles of frames are in cycles, and hold their plans
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def components(links: DataFrame) -> DataFrame:
