@@ -215,19 +215,20 @@ def _frequent(described: DataFrame) -> _Order:
     return _Order(*(hot.column(c).to_numpy().astype(np.int64) for c in ("token", "often")))
 
 
-def _differ_little(rows: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
-    """pairs (a, doc, n, b, doc_b, n_b) without those whose whole sketches differ in more bits than linked sets can."""
-    sketch = rows.select("k", "doc_id", "sketch")
-    x, y = (sketch.select(F.col("k").alias(k), F.col("doc_id").alias(d), F.col("sketch").alias(s)) for k, d, s in (("a", "doc", "x"), ("b", "doc_b", "y")))
+def _differ_little(classes: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """pairs (a, doc, n, b, doc_b, n_b) without those whose whole sketches differ in more bits than linked sets can.
+
+    classes has one row for each k, so copies don't multiply the pairs."""
+    x, y = (classes.select(F.col("k").alias(k), F.col("sketch").alias(s)) for k, s in (("a", "x"), ("b", "y")))
     differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, z: s + z)
     near = differ * (100 + least) <= (F.col("n") + F.col("n_b")) * (100 - least)
-    return pairs.join(x, ["a", "doc"]).join(y, ["b", "doc_b"]).filter(near).select(*pairs.columns).distinct()
+    return pairs.join(x, "a").join(y, "b").filter(near).select(*pairs.columns).distinct()
 
 
-def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, order, size: int, least: int) -> DataFrame:
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, order, size: int, least: int) -> DataFrame:
     """The linked ones of candidate pairs (a, doc, n, b, doc_b, n_b): overlaps counted by fragment, then summed."""
     spark = docs.sparkSession
-    pairs = cut(_differ_little(rows, pairs, least))
+    pairs = cut(_differ_little(classes, pairs, least))
     bit = F.col("doc").bitwiseAND(F.lit(_FILTER_BITS - 1))
     side = lambda doc, second: pairs.select(F.col(doc).alias("doc"), F.lit(second).alias("second"))
     mask = lambda which: F.expr(f"bit_or(if({which}, shiftleft(1L, cast(doc & 63 AS int)), 0L))")
@@ -236,14 +237,14 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, order, size: i
     wanted = np.zeros((2, _FILTER_BITS >> 6), np.int64)
     for r in words:
         wanted[:, r.w] = r.of_a, r.of_b
-    # shingled once, read twice: the fragments of pairs' first classes, then of their second ones
+    # shingled once, read twice: the fragments of pairs' first classes, then of their second ones. A class has one row for
+    # each fragment, or its copies would multiply its pairs; it is written as such, for AQE splits joins of plain exchanges only
     schema = "k long, fragment int, tokens array<long>, of_a boolean, of_b boolean"
-    parts = stored(docs.mapInArrow(_fragments(size, order, spark.sparkContext.broadcast(wanted.view(np.uint64))), schema))
+    found = docs.mapInArrow(_fragments(size, order, spark.sparkContext.broadcast(wanted.view(np.uint64))), schema)
+    parts = stored(found.groupBy("k", "fragment").agg(F.first("tokens").alias("tokens"), F.max("of_a").alias("of_a"), F.max("of_b").alias("of_b")))
     each = pairs.select("a", "b", "n", "n_b").join(parts.filter("of_a").select(F.col("k").alias("a"), "fragment", F.col("tokens").alias("x")), "a")
     each = each.join(parts.filter("of_b").select(F.col("k").alias("b"), "fragment", F.col("tokens").alias("y")), ["b", "fragment"])
-    # a text may be there twice; its fragments count once
-    partial = each.groupBy("a", "b", "n", "n_b", "fragment").agg(F.max(F.size(F.array_intersect("x", "y"))).alias("o"))
-    overlap = partial.groupBy("a", "b", "n", "n_b").agg(F.sum("o").alias("o"))
+    overlap = each.groupBy("a", "b", "n", "n_b").agg(F.sum(F.size(F.array_intersect("x", "y"))).alias("o"))
     linked = cut(overlap.filter(F.col("o") * 100 >= (F.col("n") + F.col("n_b") - F.col("o")) * least).select("a", "b"))
     discard(parts)
     return linked
@@ -258,7 +259,8 @@ def link(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> tuple[DataFra
     rows = described.filter("n IS NOT NULL")
     order = spark.sparkContext.broadcast(_frequent(described))
     docs = docs.filter("doc_id IS NOT NULL")
-    classes = rows.filter("doc_id IS NOT NULL AND k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), *(F.max(x).alias(x) for x in _BITS))
+    worded = rows.filter("doc_id IS NOT NULL AND k IS NOT NULL")
+    classes = stored(worded.groupBy("k").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), *(F.max(x).alias(x) for x in _BITS), F.first("sketch").alias("sketch")))
 
     # (token, k, salt); n-grams that no other class has go. Frequent ones stay untried, so that none fills a task: their salt is k
     fronts = docs.mapInArrow(_fronts(size, least, order), "token long, k long, salt long")
@@ -268,7 +270,7 @@ def link(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> tuple[DataFra
     # n-grams of the front that no other class has: none in the text that others are near copies of
     own = fronts.groupBy("k").agg(F.count("*").alias("found"))
     alone = (F.col("n") - F.ceil(F.col("n") * least / 100) + 1 - F.col("found")).cast("long")
-    known = cut(classes.join(own, "k").withColumn("alone", alone).drop("found"))
+    known = cut(classes.drop("sketch").join(own, "k").withColumn("alone", alone).drop("found"))
     posted = stored(fronts.join(known.select("k", "alone"), "k"))
     discard(fronts)
 
@@ -278,14 +280,14 @@ def link(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> tuple[DataFra
     met = stored(posted.join(hubs, "token").filter(F.col("k") != F.col("h.k")).select(F.col("k").alias("a"), "h").distinct())
     # each class with the best of its hubs; what that leaves apart, with its other hubs
     pairs = may(met.groupBy("a").agg(F.min("h").alias("h")).select("a", F.col("h.k").alias("b")))
-    links = _verified(docs, rows, pairs, order, size, least)
+    links = _verified(docs, classes, pairs, order, size, least)
     roots = cut(components(links))
     root = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
     apart = met.select("a", F.col("h.k").alias("b")).join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     more = may(apart.select("a", "b").join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     discard(met)
     if not more.isEmpty():
-        links, pairs = cut(links.unionByName(_verified(docs, rows, more, order, size, least))), pairs.unionByName(more)
+        links, pairs = cut(links.unionByName(_verified(docs, classes, more, order, size, least))), pairs.unionByName(more)
         roots = cut(components(links))
 
     # n-grams whose classes are all in one component by now have nothing left to link
@@ -300,8 +302,9 @@ def link(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> tuple[DataFra
     more = cut(more.join(done, ["a", "b"], "left_anti"))
     discard(posted, left)
     if not more.isEmpty():
-        links = links.unionByName(_verified(docs, rows, more, order, size, least))
+        links = links.unionByName(_verified(docs, classes, more, order, size, least))
         roots = cut(components(links))
+    discard(classes)
     return rows.select("doc_id", "n", "k"), roots
 
 
