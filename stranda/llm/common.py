@@ -198,3 +198,10 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now
+
+
+def crc32_sql(number: str) -> str:
+    """DuckDB SQL for the CRC-32 of a whole number's decimal digits."""
+    digits = f"list_transform(range(1, length({number}::VARCHAR) + 1), lambda i: ascii(substr({number}::VARCHAR, i, 1))::BIGINT)"
+    bits = "list_reduce(range(0, 8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, d))"
+    return f"xor(list_reduce({digits}, lambda c, d: {bits}, 4294967295::BIGINT), 4294967295)"

@@ -1,8 +1,8 @@
 """The subpackage's queries and SQL, as __spark_entry__ takes them."""
 
-from . import op1_rules, op2_kdtree, op3_language, op4_ngram_join, op5_chat, op6_decontaminate, op7_licenses, op8_pii, op9_html, op10_packing
+from . import op1_rules, op2_kdtree, op3_language, op4_ngram_join, op5_chat, op6_decontaminate, op7_licenses, op8_pii, op9_html, op10_packing, op11_runs
 
-_MODULES = (op1_rules, op2_kdtree, op3_language, op4_ngram_join, op5_chat, op6_decontaminate, op7_licenses, op8_pii, op9_html, op10_packing)
+_MODULES = (op1_rules, op2_kdtree, op3_language, op4_ngram_join, op5_chat, op6_decontaminate, op7_licenses, op8_pii, op9_html, op10_packing, op11_runs)
 
 
 def queries() -> dict:
