@@ -141,18 +141,25 @@ def _remove(digest: bool):
     return remove
 
 
+def _spread_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """A join with an aggregate by the same keys. Dealt by a hash of them too, so that the aggregate passes a shuffle of its own
+    and the rows of a hot key on the left can be split over tasks."""
+    deal = F.xxhash64(*keys)
+    return left.withColumn("deal", deal).join(right.withColumn("deal", deal), ["deal", *keys]).drop("deal")
+
+
 def _found(texts: DataFrame) -> DataFrame:
     """For each row with a block that others share: whole (blocks of a lesser doc_id) and ask (blocks whose windows are to be checked)."""
     blocks = texts.mapInArrow(_blocks, _BLOCK)
     shared = blocks.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("anchor")
-    blocks = stored(blocks.join(shared, "anchor"))
+    blocks = stored(_spread_join(blocks, shared, ["anchor"]))
     index = blocks.groupBy("anchor", "content").agg(F.min("doc").alias("least"))
     # an anchor with one block has nothing more to check, nor has one whose blocks are all of one document
     mixed = index.groupBy("anchor").agg((F.min("least") < F.max("least")).alias("mixed"))
-    index = index.join(mixed, "anchor")
+    index = _spread_join(index, mixed, ["anchor"])
     kind = F.struct("anchor", "start", "windows", "place")
     looked_up = blocks.join(index, ["anchor", "content"]).filter("doc > least OR mixed").groupBy(*ROW)
-    pick = lambda when: F.array_distinct(F.collect_list(F.when(F.expr(when), kind)))
+    pick = lambda when: F.collect_set(F.when(F.expr(when), kind))
     return stored(looked_up.agg(pick("doc > least").alias("whole"), pick("doc = least").alias("ask")))
 
 
@@ -165,7 +172,7 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     # the three uses of the texts share one shuffle
     asked = texts.join(found.filter("size(ask) > 0").select(*ROW, "ask"), ROW).select(*ROW, "text", "ask").mapInArrow(_windows, _WINDOW)
     least = asked.groupBy("anchor", "place", "content").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
-    windows = asked.join(least, ["anchor", "place", "content"]).filter("doc > least").groupBy(*ROW).agg(F.array_distinct(F.collect_list("start")).alias("windows"))
+    windows = _spread_join(asked, least, ["anchor", "place", "content"]).filter("doc > least").groupBy(*ROW).agg(F.collect_set("start").alias("windows"))
     joined = texts.join(found.select(*ROW, "whole"), ROW, "left").join(windows, ROW, "left").select(*ROW, "text", "whole", "windows")
     return joined.mapInArrow(_remove(digest), "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept string")
 
