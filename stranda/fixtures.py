@@ -33,6 +33,10 @@ VAR = """SELECT p_partkey AS uid, 'chr' || cast(p_partkey % 5 + 1 AS string) AS
   CASE p_partkey % 10 WHEN 0 THEN 'LowQual' WHEN 1 THEN '.' ELSE 'PASS' END AS filter_, 'DP=' || cast(p_size AS string) || ';SVTYPE=DEL;END=' || cast(p_partkey * 4 + 23 AS string) || ';DB' AS info,
   CASE p_partkey % 7 WHEN 0 THEN './.' WHEN 1 THEN '0/0' WHEN 2 THEN '0/1' WHEN 3 THEN '1/1' WHEN 4 THEN '1|0' WHEN 5 THEN './1' ELSE '1/2' END AS gt FROM part"""
 GENE = f"SELECT gene_id, min(chrom) AS chrom, min(start_) AS start_, max(end_) AS end_, min(strand) AS strand FROM ({EXON}) e GROUP BY gene_id"
+GENOME = """SELECT chrom, j * 32 AS at_, seq FROM (SELECT 'chr' || cast(p_partkey % 5 + 1 AS string) AS chrom, cast(floor(p_partkey / 5.0) AS bigint) AS j,
+  translate(md5('g' || cast(p_partkey AS string)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM part) x WHERE j % 37 <> 5"""
+#: the exons, each gene moved to one of 40 places of the genome
+NEAR = f"SELECT gene_id, tx_id, rnk, chrom, strand, start_ - gene_id * 1800 - cast(floor(gene_id / 40.0) AS bigint) * 8000 AS start_, end_ - gene_id * 1800 - cast(floor(gene_id / 40.0) AS bigint) * 8000 AS end_ FROM ({EXON}) e"
 SOURCES = ("part", "lineitem", "orders", "events", "documents")
 
 

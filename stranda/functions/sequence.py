@@ -43,8 +43,10 @@ def pad_n(seq: Column, length: int) -> Column:
 
 
 def windows(seq: Column, width: int, step: int) -> Column:
-    """SQ-09: array of windows (step at most width), the last filled up with N; none for an empty sequence."""
-    n = F.when(F.length(seq) <= width, 1).otherwise(F.ceil((F.length(seq) - width) / step) + 1).cast("int")
+    """SQ-09: array of windows, the last filled up with N; it needs a letter of its own. None for an empty sequence."""
+    full = F.floor((F.length(seq) - width) / step) + 1
+    more = ((full - 1) * step + width < F.length(seq)) & (full * step < F.length(seq))
+    n = F.when(F.length(seq) <= width, 1).otherwise(full + more.cast("int")).cast("int")
     at = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.rpad(F.substring(seq, i * step + 1, F.lit(width)), width, "N"))
     return F.when(F.length(seq) > 0, at).otherwise(F.expr("cast(array() AS array<string>)"))
 
@@ -72,10 +74,22 @@ def longest_homopolymer(seq: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r))), F.lit(0)).cast("long")
 
 
-def kmer_positions(seq: Column, kmer: str) -> Column:
-    """SQ-07, SQ-08: array of the 1-based positions of a k-mer, overlapping ones too."""
+def kmer_positions(seq: Column, kmer: str, overlapping: bool = False) -> Column:
+    """SQ-07: array of the 1-based positions of a k-mer; from the left, matches that don't overlap, or all of them."""
     last = F.length(seq) - len(kmer) + 1
-    return F.when(last > 0, F.filter(F.sequence(F.lit(1), last), lambda i: F.substring(seq, i, F.lit(len(kmer))) == kmer)).otherwise(F.expr("cast(array() AS array<int>)"))
+    all_ = F.when(last > 0, F.filter(F.sequence(F.lit(1), last), lambda i: F.substring(seq, i, F.lit(len(kmer))) == kmer)).otherwise(F.expr("cast(array() AS array<int>)"))
+    borders = any(kmer.startswith(kmer[i:]) for i in range(1, len(kmer)))
+    if overlapping or not borders:  # it can't overlap itself
+        return all_
+    apart = lambda taken, i: F.when(F.coalesce(i - F.element_at(taken, -1) >= len(kmer), F.lit(True)), F.concat(taken, F.array(i))).otherwise(taken)
+    return F.aggregate(all_, F.expr("cast(array() AS array<int>)"), lambda taken, i: F.when(F.size(taken) == 0, F.array(i)).otherwise(apart(taken, i)))
+
+
+def kmer_search(seq: Column, kmers: list[str], both_strands: bool = False) -> Column:
+    """SQ-07: map of each k-mer to its positions, those of its reverse complement behind them."""
+    turned = lambda k: k[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    places = lambda k: F.concat(kmer_positions(seq, k), kmer_positions(seq, turned(k))) if both_strands else kmer_positions(seq, k)
+    return F.create_map(*(x for k in kmers for x in (F.lit(k), places(k))))
 
 
 def wrap(seq: Column, width: int = 80) -> Column:

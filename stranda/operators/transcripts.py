@@ -48,15 +48,6 @@ def bed12(exons: DataFrame) -> DataFrame:
     return agg.select("tx_id", F.concat_ws("\t", "chrom", start, F.col("e").cast("string"), F.col("tx_id").cast("string"), F.lit("0"), F.coalesce("strand", F.lit(".")), start, F.col("e").cast("string"), F.lit("0,0,0"), F.size("b").cast("string"), join(lambda x: x["end_"] - x["start_"] + 1), join(lambda x: x["start_"] - F.col("s"))).alias("line"))
 
 
-def spliced(pieces: DataFrame) -> DataFrame:
-    """SQ-12: (tx_id, seq) of (tx_id, strand, start_, seq) pieces: joined in genomic order, the reverse complement on -."""
-    from ..functions.sequence import reverse_complement
-
-    joined = pieces.groupBy("tx_id").agg(F.min("strand").alias("strand"), F.array_sort(F.collect_list(F.struct("start_", "seq"))).alias("p"))
-    whole = F.array_join(F.transform("p", lambda x: x["seq"]), "")
-    return joined.select("tx_id", F.when(F.col("strand") == "-", reverse_complement(whole)).otherwise(whole).alias("seq"))
-
-
 def to_genomic(exons: DataFrame, first: int, last: int) -> DataFrame:
     """SQ-16, SQ-17: blocks (tx_id, start_, end_) of the spliced positions first to last (1-based, from the 5' end)."""
     r = ranked(exons)

@@ -10,7 +10,7 @@ from ..functions import interval as iv
 from ..functions import sequence as sq
 from ..operators import islands, joins, transcripts
 from ..operators import reads as reads_ops
-from . import intervals, reads, transcriptome  # noqa: F401  (they register their queries)
+from . import genome, intervals, reads, transcriptome  # noqa: F401  (they register their queries)
 from .base import ALL as _ALL
 from .base import OVER as _OVER
 from .base import WITH as _WITH

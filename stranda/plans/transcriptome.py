@@ -64,48 +64,12 @@ def enveloped(spark, sf_dir):
     return annotation.outside_parent(_built(spark, sf_dir).features).agg(F.count("*").alias("n"))
 
 
-_PIECE = "list_aggregate(list_transform(range(start_, end_ + 1), lambda p: substr('ACGT', (p * 7 % 4)::INT + 1, 1)), 'string_agg', '')"
-_SPLICED = WITH + f", sp AS (SELECT tx_id, CASE WHEN min(strand) = '-' THEN translate(reverse(string_agg({_PIECE}, '' ORDER BY start_)), 'ACGT', 'TGCA') ELSE string_agg({_PIECE}, '' ORDER BY start_) END AS seq FROM e GROUP BY tx_id) "
-
-
-def _spliced(spark, sf_dir) -> DataFrame:
-    """Exons cut from a reference that is given by position."""
-    exon = get(EXON)(spark, sf_dir)[0]
-    base = lambda p: F.substring(F.lit("ACGT"), (p * 7 % 4 + 1).cast("int"), F.lit(1))
-    return transcripts.spliced(exon.select("tx_id", "strand", "start_", F.array_join(F.transform(F.sequence("start_", "end_"), base), "").alias("seq")))
-
-
-@query("seq_spliced", _SPLICED + "SELECT tx_id, seq FROM sp")
-def spliced(spark, sf_dir):
-    """SQ-12, SQ-13."""
-    return _spliced(spark, sf_dir)
-
-
-_CODE = sq.AMINO
-_AT = "(instr('TCAG', substr(seq, i, 1)) - 1) * 16 + (instr('TCAG', substr(seq, i + 1, 1)) - 1) * 4 + instr('TCAG', substr(seq, i + 2, 1))"
-
-
-@query("seq_translated", _SPLICED + f"SELECT tx_id, coalesce(string_agg(substr('{_CODE}', ({_AT})::INT, 1), '' ORDER BY i), '') AS protein FROM sp LEFT JOIN (SELECT unnest(range(1, 1000, 3)) AS i) n ON i + 2 <= length(seq) GROUP BY tx_id")
-def translated(spark, sf_dir):
-    """SQ-12, SQ-14."""
-    return _spliced(spark, sf_dir).select("tx_id", sq.translate(F.col("seq")).alias("protein"))
-
-
 @query("seq_rna_mod3", WITH + "SELECT tx_id, (sum(end_ - start_ + 1) % 3)::BIGINT AS rest FROM e GROUP BY tx_id")
 def mod3(spark, sf_dir):
     """SQ-20."""
     return get(EXON)(spark, sf_dir)[0].groupBy("tx_id").agg((F.sum(F.col("end_") - F.col("start_") + 1) % 3).alias("rest"))
 
 
-@query("seq_splice_sites", WITH + "SELECT substr('ACGT', (s * 7 % 4)::INT + 1, 1) || substr('ACGT', ((s + 1) * 7 % 4)::INT + 1, 1) AS first_two, substr('ACGT', ((e - 1) * 7 % 4)::INT + 1, 1) || substr('ACGT', (e * 7 % 4)::INT + 1, 1) AS last_two, count(*) AS n FROM (SELECT end_ + 1 AS s, lead(start_) OVER (PARTITION BY tx_id ORDER BY start_, rnk) - 1 AS e FROM e) x WHERE s + 3 <= e GROUP BY ALL")
-def splice_sites(spark, sf_dir):
-    """SQ-19."""
-    base = lambda p: F.substring(F.lit("ACGT"), (p * 7 % 4 + 1).cast("int"), F.lit(1))
-    gap = transcripts.introns(get(EXON)(spark, sf_dir)[0]).filter("start_ + 3 <= end_")
-    s, e = F.col("start_"), F.col("end_")
-    return gap.groupBy(F.concat(base(s), base(s + 1)).alias("first_two"), F.concat(base(e - 1), base(e)).alias("last_two")).agg(F.count("*").alias("n"))
-
-
 _RANKED = "SELECT *, coalesce(sum(end_ - start_ + 1) OVER (PARTITION BY tx_id ORDER BY CASE WHEN strand = '-' THEN -end_ ELSE start_ END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM e"
 
 
@@ -134,16 +98,9 @@ def measures(spark, sf_dir):
     return get(READS)(spark, sf_dir)[0].select("uid", sq.complement(s).alias("complement"), sq.count_sites(s, ["GATC", "CCGG"]).alias("n_sites"), sq.longest_homopolymer(s).alias("longest"), F.round(sq.gc_fraction(s), 6).alias("gc"))
 
 
-@query("seq_kmer_positions", WITH + "SELECT uid, kmer, i AS pos FROM r, (SELECT unnest(['ACAC', 'GTGT']) AS kmer) k, (SELECT unnest(range(1, 30)) AS i) n WHERE substr(seq, i::INT, 4) = kmer")
-def kmer_positions(spark, sf_dir):
-    """SQ-07, SQ-08, SQ-21: a k-mer and its reverse complement, overlapping matches too."""
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kmer"), sq.kmer_positions(F.col("seq"), k).alias("at")) for k in ("ACAC", "GTGT"))))
-    return get(READS)(spark, sf_dir)[0].select("uid", each.alias("x")).select("uid", "x.kmer", F.explode("x.at").alias("pos")).withColumn("pos", F.col("pos").cast("long"))
-
-
 @query("seq_windows", WITH + "SELECT uid, k AS n, rpad(substr(seq, (k * 7 + 1)::INT, 10), 10, 'N') AS w FROM r, (SELECT unnest(range(0, 5)) AS k) x WHERE k <= ceil((32 - 10) / 7.0)")
 def windows(spark, sf_dir):
-    """SQ-09, SC-06."""
+    """SQ-09."""
     return get(READS)(spark, sf_dir)[0].select("uid", F.posexplode(sq.windows(F.col("seq"), 10, 7)).alias("n", "w")).select("uid", F.col("n").cast("long").alias("n"), "w")
 
 
