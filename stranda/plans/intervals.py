@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..fixtures import EXON, FEAT, GENE, IV, SIGNAL
+from ..fixtures import EXON, FEAT, GENE, IV, SIGNAL, VAR
 from ..functions import interval as iv
 from ..operators import islands, joins
+from ..sources import regions
 from .base import OVER, WITH, get, query
 
 _B = {c: f"{c}b" for c in ("chrom", "start_", "end_", "strand", "score")}
@@ -206,3 +207,25 @@ def set_overlap(spark, sf_dir):
 def duplicate_names(spark, sf_dir):
     """TX-20."""
     return get(FEAT)(spark, sf_dir)[0].filter("chrom = 'chr1'").groupBy("name").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+@query("ij_annotate_sides", WITH + "SELECT g.gene_id, " + ", ".join(
+    f"coalesce({c}, '') AS {c}" for c in ("feats", "signals", "variants")
+) + """ FROM g LEFT JOIN (SELECT gene_id, string_agg(uid, ',' ORDER BY f.start_, f.end_, uid) AS feats FROM g JOIN f ON f.chrom = g.chrom AND f.start_ <= g.end_ AND g.start_ <= f.end_ AND f.start_ <= f.end_ GROUP BY gene_id) a USING (gene_id)
+LEFT JOIN (SELECT gene_id, string_agg(s.start_ || ':' || value::BIGINT, ',' ORDER BY s.start_, s.end_) AS signals FROM g JOIN s ON s.chrom = g.chrom AND s.start_ <= g.end_ AND g.start_ <= s.end_ GROUP BY gene_id) b USING (gene_id)
+LEFT JOIN (SELECT gene_id, string_agg(alt, ',' ORDER BY pos, alt) AS variants FROM g JOIN v ON v.chrom = g.chrom AND v.pos BETWEEN g.start_ AND g.end_ AND v.chrom <> 'chr3' GROUP BY gene_id) c USING (gene_id)""")
+def annotate_sides(spark, sf_dir):
+    """IJ-01, IJ-18 with three labelled sides, one without a chromosome."""
+    gene, feat, signal, var = get(GENE, FEAT, SIGNAL, VAR)(spark, sf_dir)
+    sides = {"feats": feat.select("chrom", "start_", "end_", "uid"), "signals": signal, "variants": var.filter("chrom <> 'chr3'").select("chrom", F.col("pos").alias("start_"), F.col("pos").alias("end_"), "alt")}
+    out = joins.annotate_sides(gene.select("gene_id", "chrom", "start_", "end_"), sides, ["gene_id"])
+    text = lambda c, f: F.array_join(F.transform(c, lambda m: f(m).cast("string")), ",").alias(c)
+    return out.select("gene_id", text("feats", lambda m: m["uid"]), text("signals", lambda m: F.concat_ws(":", m["start_"], m["value"].cast("long"))), text("variants", lambda m: m["alt"]))
+
+
+@query("sc_region", WITH + "SELECT uid FROM f WHERE chrom = 'chr2' AND start_ <= 3000 AND end_ >= 250 AND start_ <= end_")
+def region(spark, sf_dir):
+    """SC-03, SC-07: lines with 0-based starts and other names of chromosomes."""
+    lines = get(FEAT)(spark, sf_dir)[0].select(F.concat_ws("\t", "uid", (F.col("start_") - 1).cast("string"), F.col("end_").cast("string"), F.substring("chrom", 4, 9)).alias("value"))
+    rows = regions.tsv_rows(lines, (3, 1, 2), (1, 0), "chr2:250-3000", {str(i): f"chr{i}" for i in range(1, 6)})
+    return rows.select(F.get("fields", 0).cast("long").alias("uid"))
