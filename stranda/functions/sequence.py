@@ -138,3 +138,32 @@ def _walk(start: Column, cigar: Column, kept: str) -> Column:
         return F.struct(moved("at", "M=XDN").alias("at"), moved("read", "M=XIS").alias("read"), F.when(x["op"].isin(*kept), F.concat(acc["blocks"], block)).otherwise(acc["blocks"]).alias("blocks"))
 
     return F.aggregate(ops, first, step, lambda acc: acc["blocks"])
+
+
+def md_mismatches(start: Column, cigar: Column, md: Column, seq: Column, quals: Column | None = None, least_quality: int = 0) -> Column:
+    """RD-06 without a reference: array of (offset: 0-based in the read, pos, ref, alt) by the tags MD and CIGAR, in the read's order.
+
+    MD counts aligned bases and names the reference's letter at each mismatch; deleted letters (^) are none of them, nor are
+    clips and insertions, which the CIGAR places. quals is an array of int; bases below least_quality are left out."""
+    tokens = F.regexp_extract_all(F.upper(md), F.lit(r"(\d+|\^[A-Z]+|[A-Z])"), F.lit(1))
+    none = F.expr("cast(array() AS array<struct<nth: bigint, ref: string>>)")
+
+    def step(acc: Column, x: Column) -> Column:
+        number, deleted = x.rlike(r"^\d"), F.startswith(x, F.lit("^"))
+        seen = acc["seen"] + F.when(number, x.try_cast("long")).when(deleted, F.lit(0)).otherwise(F.lit(1))
+        found = F.when(number | deleted, acc["found"]).otherwise(F.concat(acc["found"], F.array(F.struct(acc["seen"].alias("nth"), x.alias("ref")))))
+        return F.struct(seen.alias("seen"), found.alias("found"))
+
+    named = F.aggregate(tokens, F.struct(F.lit(0).cast("long").alias("seen"), none.alias("found")), step, lambda acc: acc["found"])
+    blocks = read_blocks(start, cigar)
+    size = lambda b: b["end_"] - b["start_"] + 1
+    before = lambda i: F.aggregate(F.slice(blocks, F.lit(1), i), F.lit(0).cast("long"), lambda n, b: n + size(b))
+    counted = F.transform(blocks, lambda b, i: F.struct(b.alias("b"), before(i).alias("before")))
+
+    def placed(m: Column) -> Column:
+        x = F.get(F.filter(counted, lambda c: (c["before"] <= m["nth"]) & (m["nth"] < c["before"] + size(c["b"]))), 0)
+        off = x["b"]["read_start"] - 1 + m["nth"] - x["before"]
+        return F.struct(off.alias("offset"), (x["b"]["start_"] + m["nth"] - x["before"]).alias("pos"), m["ref"].alias("ref"), F.substr(seq, (off + 1).cast("int"), F.lit(1)).alias("alt"))
+
+    out = F.transform(named, placed)
+    return out if quals is None else F.filter(out, lambda m: F.get(quals, m["offset"].cast("int")) >= least_quality)

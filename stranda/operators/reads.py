@@ -21,7 +21,7 @@ def downsample(reads: DataFrame, key: str, by: list[str], most: int) -> DataFram
 
 
 def deduplicate(reads: DataFrame, at: list[str], key: str) -> DataFrame:
-    """RD-09: of reads (or pairs) at one place, the one with the least key."""
+    """RD-09: of reads alike in `at` (for PCR duplicates: chrom, start_, seq), the one with the least key. Pairs: mates.without_duplicates()."""
     kept = reads.groupBy(*at).agg(F.min(key).alias(key))
     return reads.join(kept.select(key), key, "left_semi")
 

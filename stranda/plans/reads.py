@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..fixtures import EXON, FEAT, READS, SIGNAL, VAR
 from ..functions import interval as iv
 from ..functions import sequence as sq
-from ..operators import joins
+from ..operators import joins, mates
 from ..operators import reads as ops
 from ..sources import text
 from .base import WITH, get, query
@@ -64,11 +64,49 @@ def tag_filter(spark, sf_dir):
     return get(READS)(spark, sf_dir)[0].groupBy("chrom", label.alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("rd_deduplicated", WITH + "SELECT min(uid) AS uid, chrom, start_, end_ FROM r WHERE flag & 3844 = 0 GROUP BY chrom, start_, end_, flag & 16, cigar")
+# reads with few different starts and sequences, and some mates elsewhere
+_COPIED = "SELECT uid, name, CASE WHEN uid % 18 = 1 THEN 'chr9' ELSE chrom END AS chrom, cast(floor(start_ / 400.0) AS bigint) * 400 AS start_, end_ + 400 AS end_, flag, CASE WHEN uid % 4 < 2 THEN 'ACGT' WHEN uid % 4 = 2 THEN '*' ELSE substr(seq, 1, 2) END AS seq FROM r WHERE uid % 23 <> 0"
+_MATED = WITH + f""", c AS ({_COPIED}), o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY chrom, start_, uid) AS k, count(*) OVER (PARTITION BY name) AS n FROM c),
+m AS (SELECT name, CASE WHEN max(n) = 1 THEN 'orphan' WHEN min(chrom) <> max(chrom) THEN 'discordant' ELSE 'pair' END AS kind, min(chrom) AS chrom, min(start_) AS start_, max(end_) AS end_, CASE WHEN min(flag) FILTER (k = 1) & 16 <> 0 THEN '-' ELSE '+' END AS strand,
+  min(uid) FILTER (flag & 128 = 0) AS r1, min(uid) FILTER (flag & 128 <> 0) AS r2, coalesce(nullif(min(seq) FILTER (flag & 128 = 0), '*'), '') AS s1, coalesce(nullif(min(seq) FILTER (flag & 128 <> 0), '*'), '') AS s2, min(start_) FILTER (k = 1) AS at_start, min(uid) FILTER (k = 1) AS at_uid FROM o GROUP BY name) """
+
+
+def _mated(spark, sf_dir) -> DataFrame:
+    r = get(READS)(spark, sf_dir)[0].filter("uid % 23 <> 0")
+    seq = F.when(F.col("uid") % 4 < 2, "ACGT").when(F.col("uid") % 4 == 2, "*").otherwise(F.substring("seq", 1, 2))
+    few = r.select("uid", "name", F.when(F.col("uid") % 18 == 1, "chr9").otherwise(F.col("chrom")).alias("chrom"), (F.floor(F.col("start_") / 400) * 400).alias("start_"), (F.col("end_") + 400).alias("end_"), "flag", seq.alias("seq"))
+    return mates.pairs(few, ["chrom", "start_", "uid"])
+
+
+@query("rd_mates", _MATED + "SELECT name, kind, CASE WHEN kind <> 'discordant' THEN chrom END AS chrom, CASE WHEN kind <> 'discordant' THEN start_ END AS start_, CASE WHEN kind <> 'discordant' THEN end_ END AS end_, CASE WHEN kind <> 'discordant' THEN strand END AS strand, r1, r2 FROM m")
+def mated(spark, sf_dir):
+    """RD-08: pairs, orphans and discordant mates."""
+    return _mated(spark, sf_dir).select("name", "kind", "chrom", "start_", "end_", "strand", F.col("r1.uid").alias("r1"), F.col("r2.uid").alias("r2"))
+
+
+@query("rd_mates_deduplicated", _MATED + "SELECT name FROM m WHERE kind = 'discordant' OR s1 || s2 = '' UNION ALL SELECT arg_min(name, at_uid + 1e9 * at_start) FROM m WHERE kind <> 'discordant' AND s1 || s2 <> '' GROUP BY chrom, start_, s1, s2")
+def mates_deduplicated(spark, sf_dir):
+    """RD-09 of pairs."""
+    return mates.without_duplicates(_mated(spark, sf_dir)).select("name")
+
+
+@query("rd_deduplicated", WITH + f", c AS ({_COPIED}) SELECT min(uid) AS uid, chrom, start_, seq FROM c GROUP BY chrom, start_, seq")
 def deduplicated(spark, sf_dir):
-    """RD-09."""
-    reads = get(READS)(spark, sf_dir)[0].filter(_GOOD).withColumn("reverse", F.col("flag").bitwiseAND(F.lit(16)))
-    return ops.deduplicate(reads, ["chrom", "start_", "end_", "reverse", "cigar"], "uid").select("uid", "chrom", "start_", "end_")
+    """RD-09 of single reads: by place and sequence."""
+    reads = _mated(spark, sf_dir).select(F.explode(F.array_compact(F.array("r1", "r2"))).alias("r")).select("r.*")
+    return ops.deduplicate(reads, ["chrom", "start_", "seq"], "uid").select("uid", "chrom", "start_", "seq")
+
+
+_MD = "CASE cigar WHEN '32M' THEN '10A21' WHEN '12M10N20M' THEN '5C8G17' WHEN '6S26M' THEN '0G25' WHEN '16M2D16M' THEN '15T0^AC10T5' ELSE '9A19C0' END"
+_OFF = "CASE cigar WHEN '32M' THEN [[10, 10, 65]] WHEN '12M10N20M' THEN [[5, 5, 67], [14, 24, 71]] WHEN '6S26M' THEN [[6, 0, 71]] WHEN '16M2D16M' THEN [[15, 15, 84], [26, 28, 84]] ELSE [[9, 9, 65], [31, 29, 67]] END"
+
+
+@query("rd_md_mismatches", WITH + f"SELECT * FROM (SELECT uid, x[1]::BIGINT AS off, (start_ + x[2])::BIGINT AS pos, chr(x[3]::INT) AS ref, substr(seq, (x[1] + 1)::INT, 1) AS alt FROM (SELECT *, unnest({_OFF}) AS x FROM r WHERE flag & 3844 = 0) y WHERE (instr('{_HEX}', substr(qualhex, (x[1] + 1)::INT, 1)) - 1) * 2 + 5 >= 20) z")
+def md_mismatches(spark, sf_dir):
+    """RD-06 by the tag MD, in the row."""
+    reads = _reads(spark, sf_dir).withColumn("md", F.expr(_MD))
+    found = sq.md_mismatches(F.col("start_"), F.col("cigar"), F.col("md"), F.col("seq"), F.col("quals"), 20)
+    return reads.select("uid", F.explode(found).alias("m")).select("uid", F.col("m.offset").alias("off"), "m.pos", "m.ref", "m.alt")
 
 
 @query("rd_soft_clips", WITH + "SELECT uid, CASE WHEN cigar = '6S26M' THEN 6 ELSE 0 END::BIGINT AS left_clip, 0::BIGINT AS right_clip, CASE WHEN cigar = '6S26M' THEN substr(seq, 7) ELSE seq END AS trimmed FROM r")
@@ -164,6 +202,23 @@ def gff(spark, sf_dir):
     return text.gff_rows(lines).select("chrom", "start_", "end_", "strand", "feature_type", F.col("attrs.Parent").alias("parent"), F.col("attrs.kind").alias("kind"))
 
 
+@query("sc_gff_escaped", WITH + "SELECT uid, 'a;b=' || name || ',50%' AS note FROM f WHERE uid % 2 = 0")
+def gff_escaped(spark, sf_dir):
+    """SC-13, SK-07: reserved characters, and only some types."""
+    rows = get(FEAT)(spark, sf_dir)[0].withColumns({"feature_type": F.when(F.col("uid") % 2 == 0, "gene").otherwise("exon"), "ID": F.col("uid"), "note": F.concat(F.lit("a;b="), "name", F.lit(",50%"))})
+    got = text.gff_rows(text.gff_lines(rows, "ID", "note"), types=["gene"], decode=True)
+    return got.select(F.col("attrs.ID").cast("long").alias("uid"), F.col("attrs.note").alias("note"))
+
+
+@query("vc_samples", WITH + "SELECT uid, gt, '7' AS dp FROM v WHERE filter_ <> 'LowQual' AND gt <> './.'")
+def samples(spark, sf_dir):
+    """VC-03, VC-04: one of two samples, its FORMAT fields, rows in which it has a call."""
+    v = get(VAR)(spark, sf_dir)[0]
+    lines = v.select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.col("uid").cast("string"), "ref", "alt", F.lit("50"), "filter_", F.lit("DP=1;DP=2"), F.lit("GT:DP"), F.lit("0/1:3"), F.concat("gt", F.lit(":7"))).alias("value"))
+    got = text.vcf_rows(lines, samples=[1], only_called=True)
+    return got.select(F.col("id").cast("long").alias("uid"), F.get("fields", 0)["GT"].alias("gt"), F.get("fields", 0)["DP"].alias("dp"))
+
+
 @query("sc_gtf", WITH + "SELECT uid, replace(name, '#', '-') AS name, 'two words' AS note FROM f")
 def gtf(spark, sf_dir):
     """SC-20, GTF: quotes go."""
