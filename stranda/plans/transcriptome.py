@@ -17,7 +17,7 @@ def _lines(spark, sf_dir) -> DataFrame:
     gene, exon = get(GENE, EXON)(spark, sf_dir)
     strand = lambda df: df.withColumn("strand", F.col("strand"))
     named = lambda kind, c: F.concat(F.lit(kind), F.col(c))
-    genes = strand(gene.filter("gene_id % 7 <> 0")).withColumns({"end_": F.when(F.col("gene_id") % 10 == 3, F.col("end_") - 200).otherwise(F.col("end_")), "feature_type": F.lit("gene"), "ID": named("g", "gene_id"), "gene_type": F.when(F.col("gene_id") % 4 == 0, "pseudogene").when(F.col("gene_id") % 4 == 1, "coding,known")})
+    genes = strand(gene.filter("gene_id % 7 <> 0")).withColumns({"end_": F.when(F.col("gene_id") % 10 == 3, F.col("end_") - 200).otherwise(F.col("end_")), "feature_type": F.lit("gene"), "ID": named("g", "gene_id"), "gene_type": F.when(F.col("gene_id") % 4 == 0, F.array(F.lit("pseudogene"))).when(F.col("gene_id") % 4 == 1, F.array(F.lit("coding"), F.lit("known")))})
     tx = exon.filter("tx_id % 11 <> 0").groupBy("tx_id").agg(F.min("gene_id").alias("gene_id"), F.min("chrom").alias("chrom"), F.min("start_").alias("start_"), F.max("end_").alias("end_"), F.min("strand").alias("strand"))
     tx = tx.withColumns({"feature_type": F.lit("mRNA"), "ID": named("t", "tx_id"), "Parent": named("g", "gene_id")})
     parts = exon.withColumns({"feature_type": F.lit("exon"), "Parent": named("t", "tx_id")})
@@ -26,7 +26,7 @@ def _lines(spark, sf_dir) -> DataFrame:
 
 def _built(spark, sf_dir) -> annotation.Built:
     keep = annotation.Filter(not_chroms=["chr5"], fields={"gene": {"gene_type": (["coding", "other"], True)}})
-    return annotation.build(text.gff_rows(_lines(spark, sf_dir)), annotation.FLAVOURS["generic"], keep)
+    return annotation.build(text.gff_rows(_lines(spark, sf_dir)), annotation.FLAVOURS["generic", "gff"], keep)
 
 
 _BUILD = WITH + """, gl AS (SELECT gene_id, chrom, start_ AS s, CASE WHEN gene_id % 10 = 3 THEN end_ - 200 ELSE end_ END AS e, CASE WHEN chrom = 'chr5' THEN 'chrom' WHEN gene_id % 4 = 0 THEN 'gene_type' END AS label FROM g WHERE gene_id % 7 <> 0),
@@ -41,7 +41,7 @@ pk AS (SELECT e.*, CASE WHEN e.chrom = 'chr5' THEN 'chrom' WHEN tk.tx_id IS NULL
   UNION ALL SELECT 'transcript', 't' || tx_id, 'g' || gene_id, s, e FROM tk WHERE label = 'kept'
   UNION ALL SELECT 'part', 't' || tx_id || '_exon_' || (row_number() OVER (PARTITION BY tx_id ORDER BY start_, end_) - 1), 't' || tx_id, start_, end_ FROM pk WHERE label = 'kept'""")
 def build(spark, sf_dir):
-    """TX-01 to TX-06, TX-11, TX-14."""
+    """TX-01 to TX-04, TX-06, TX-11, TX-14."""
     return _built(spark, sf_dir).features.select("kind", "id", "parent", "start_", "end_")
 
 
@@ -58,10 +58,44 @@ def descendants(spark, sf_dir):
     return annotation.descendants(_built(spark, sf_dir).features, ["g1", "g2", "g14"]).filter("kind <> 'part'").select("id")
 
 
-@query("tx_enveloped", _BUILD + "SELECT count(*) AS n FROM gk WHERE false")
+@query("tx_enveloped", WITH + """, p AS (SELECT *, CASE WHEN gene_id % 3 = 0 THEN start_ + 60 ELSE start_ END AS s, CASE WHEN gene_id % 5 = 0 THEN end_ - 60 ELSE end_ END AS e FROM g)
+SELECT 'x' || tx_id || '_' || rnk AS id, 'g' || gene_id AS parent FROM e JOIN p USING (gene_id) WHERE e.start_ < p.s OR e.end_ > p.e""")
 def enveloped(spark, sf_dir):
-    """TX-09: how many features lie outside their parent."""
-    return annotation.outside_parent(_built(spark, sf_dir).features).agg(F.count("*").alias("n"))
+    """TX-09: features outside their parent, of genes some of which were cut at one end."""
+    gene, exon = get(GENE, EXON)(spark, sf_dir)
+    cut = {"start_": F.when(F.col("gene_id") % 3 == 0, F.col("start_") + 60).otherwise(F.col("start_")), "end_": F.when(F.col("gene_id") % 5 == 0, F.col("end_") - 60).otherwise(F.col("end_"))}
+    place = ["id", "parent", "chrom", "start_", "end_"]
+    genes = gene.withColumns(cut).withColumns({"id": F.concat(F.lit("g"), "gene_id"), "parent": F.lit(None).cast("string")}).select(*place)
+    exons = exon.withColumns({"id": F.concat(F.lit("x"), "tx_id", F.lit("_"), "rnk"), "parent": F.concat(F.lit("g"), "gene_id")}).select(*place)
+    return annotation.outside_parent(genes.unionByName(exons))
+
+
+@query("tx_nearest_attribute", WITH + """, x AS (SELECT 'x' || tx_id || '_' || rnk AS id, 't' || tx_id AS t, 'g' || gene_id AS g, tx_id, gene_id, rnk FROM e),
+n AS (SELECT id, CASE WHEN rnk % 5 = 0 THEN id WHEN tx_id % 3 = 0 THEN t WHEN gene_id % 2 = 0 THEN g END AS owner FROM x UNION ALL
+  SELECT DISTINCT t, CASE WHEN tx_id % 3 = 0 THEN t WHEN gene_id % 2 = 0 THEN g END FROM x UNION ALL SELECT DISTINCT g, CASE WHEN gene_id % 2 = 0 THEN g END FROM x)
+SELECT id, owner, 'v' || owner AS value FROM n WHERE owner IS NOT NULL""")
+def nearest_attribute(spark, sf_dir):
+    """TX-18, TX-19: values of exons, else of their transcripts, else of their genes."""
+    e = get(EXON)(spark, sf_dir)[0].select(F.concat(F.lit("x"), "tx_id", F.lit("_"), "rnk").alias("x"), F.concat(F.lit("t"), "tx_id").alias("t"), F.concat(F.lit("g"), "gene_id").alias("g"), "tx_id", "gene_id", "rnk")
+    level = lambda i, up, has: e.select(F.col(i).alias("id"), (F.col(up) if up else F.lit(None).cast("string")).alias("parent"), F.expr(has).alias("has")).distinct()
+    all_ = level("x", "t", "rnk % 5 = 0").unionByName(level("t", "g", "tx_id % 3 = 0")).unionByName(level("g", None, "gene_id % 2 = 0"))
+    return annotation.find_attribute(all_, all_.filter("has").select("id", F.concat(F.lit("v"), "id").alias("value")))
+
+
+@query("tx_flavours", WITH + """, m AS (SELECT tx_id, min(gene_id) AS gene_id, min(chrom) AS chrom, min(start_) AS s, max(end_) AS e FROM e GROUP BY tx_id),
+t AS (SELECT *, ['mRNA', 'ncRNA', 'lnc_RNA', 'tRNA', 'pseudogene', 'snRNA', 'odd'][tx_id % 7 + 1] AS raw FROM m),
+u AS (SELECT * FROM t WHERE raw NOT IN ('odd', 'pseudogene'))
+SELECT 'transcript' AS kind, tx_id::VARCHAR AS id, raw AS raw_type, NULL AS gene_name, s::BIGINT AS start_, e::BIGINT AS end_ FROM u
+UNION ALL SELECT 'gene', gene_id::VARCHAR, NULL, CASE WHEN gene_id % 3 = 0 THEN 'renamed' ELSE 'n' || gene_id END, min(s), max(e) FROM u GROUP BY gene_id
+UNION ALL SELECT 'custom', tx_id::VARCHAR, 'odd', NULL, s, e FROM t WHERE raw = 'odd'""")
+def flavours(spark, sf_dir):
+    """TX-01, TX-03, TX-05, TX-14: types of UCSC's GTF, genes made and named by an alias table, a custom type; pseudogenes are none of its types."""
+    tx = get(EXON)(spark, sf_dir)[0].groupBy("tx_id").agg(F.min("gene_id").alias("gene_id"), F.min("chrom").alias("chrom"), F.min("start_").alias("start_"), F.max("end_").alias("end_"), F.min("strand").alias("strand"))
+    raw = F.element_at(F.array(*map(F.lit, ("mRNA", "ncRNA", "lnc_RNA", "tRNA", "pseudogene", "snRNA", "odd"))), (F.col("tx_id") % 7 + 1).cast("int"))
+    info = F.create_map(F.lit("transcript_id"), F.col("tx_id").cast("string"), F.lit("gene_id"), F.col("gene_id").cast("string"), F.lit("gene_name"), F.concat(F.lit("n"), "gene_id"))
+    names = tx.filter("gene_id % 3 = 0").select(F.concat(F.lit("n"), "gene_id").alias("alias"), F.lit("renamed").alias("name")).distinct()
+    built = annotation.build(tx.withColumns({"feature_type": raw, "attrs": info}), annotation.FLAVOURS["ucsc", "gtf"], custom=["odd"], names=names)
+    return built.features.select("kind", "id", "raw_type", "gene_name", "start_", "end_")
 
 
 @query("seq_rna_mod3", WITH + "SELECT tx_id, (sum(end_ - start_ + 1) % 3)::BIGINT AS rest FROM e GROUP BY tx_id")

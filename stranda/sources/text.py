@@ -169,9 +169,12 @@ def bed_lines(df: DataFrame) -> DataFrame:
 
 
 def gff_lines(df: DataFrame, *attributes: str) -> DataFrame:
-    """SK-07: GFF3 lines of chrom, source, feature_type, start_, end_, score, strand, phase; attributes are columns, null ones left out, GFF3's separators in them escaped."""
+    """SK-07: GFF3 lines of chrom, source, feature_type, start_, end_, score, strand, phase; attributes are columns, null ones left out, GFF3's separators in them
+    escaped; an array's items are joined by commas."""
     dot = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(".")) if c in df.columns else F.lit(".")
-    info = F.concat_ws(";", *(F.concat(F.lit(f"{a}="), escape(F.col(a).cast("string"))) for a in attributes))
+    kinds = dict(df.dtypes)
+    value = lambda a: F.array_join(F.transform(a, lambda x: escape(x.cast("string"))), ",") if kinds[a].startswith("array") else escape(F.col(a).cast("string"))
+    info = F.concat_ws(";", *(F.concat(F.lit(f"{a}="), value(a)) for a in attributes))
     return df.select(F.concat_ws("\t", "chrom", dot("source"), "feature_type", F.col("start_").cast("string"), F.col("end_").cast("string"), dot("score"), dot("strand"), dot("phase"), info).alias("value"))
 
 
