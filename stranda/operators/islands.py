@@ -92,3 +92,28 @@ def tiles(df: DataFrame, size: int) -> DataFrame:
     lengths = df.groupBy("chrom").agg(F.max("end_").alias("length"))
     each = lengths.select("chrom", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))).alias("tile"))
     return each.select("chrom", "tile", (F.col("tile") * size + 1).alias("start_"), F.least((F.col("tile") + 1) * size, "length").alias("end_"))
+
+
+def neighbours(df: DataFrame, id_: str, chroms: list[str] | None = None, max_dist: int | None = None, tile: int = TILE) -> DataFrame:
+    """IJ-19: (id, prev, next): the ids before and behind each interval in the order of chromosomes (as in chroms, else by name), starts, ends and
+    ids; neighbours on other chromosomes count, unless max_dist is set: then those farther away, or elsewhere, are null.
+
+    Sorted inside tiles; a tile hands on its first and last interval, so only a row for each tile is sorted in one place."""
+    rank = F.array_position(F.array(*map(F.lit, chroms)), F.col("chrom")) if chroms else F.lit(0)
+    rows = df.select(F.col(id_).alias("id"), "chrom", "start_", "end_", rank.alias("_rank"), F.floor(F.col("start_") / tile).alias("_tile"))
+    order = ["start_", "end_", "id"]
+    one = F.struct(*order, "chrom")
+    inside = Window.partitionBy("_rank", "chrom", "_tile").orderBy(*order)
+    rows = rows.withColumns({"_prev": F.lag(one).over(inside), "_next": F.lead(one).over(inside)})
+    along = Window.partitionBy(F.lit(0)).orderBy("_rank", "chrom", "_tile")
+    ends = rows.groupBy("_rank", "chrom", "_tile").agg(F.min(one).alias("_first"), F.max(one).alias("_last"))
+    ends = ends.select("_rank", "chrom", "_tile", F.lag("_last").over(along).alias("_before"), F.lead("_first").over(along).alias("_after"))
+    both = rows.join(ends, ["_rank", "chrom", "_tile"]).withColumns({"_prev": F.coalesce("_prev", "_before"), "_next": F.coalesce("_next", "_after")})
+
+    def near(side: str) -> Column:
+        if max_dist is None:
+            return F.col(f"{side}.id")
+        gap = F.greatest(F.col("start_") - F.col(f"{side}.end_"), F.col(f"{side}.start_") - F.col("end_"), F.lit(0))
+        return F.when((F.col(f"{side}.chrom") == F.col("chrom")) & (gap <= max_dist), F.col(f"{side}.id"))
+
+    return both.select("id", near("_prev").alias("prev"), near("_next").alias("next"))

@@ -98,11 +98,20 @@ def tile_counts(spark, sf_dir):
     return islands.tile_counts(_get(IV)(spark, sf_dir)[0], 100)
 
 
-@_query("ij_gene_triples", _WITH + "SELECT gene_id, lag(gene_id) OVER w AS prev_id, lead(gene_id) OVER w AS next_id FROM g WINDOW w AS (PARTITION BY chrom ORDER BY start_, end_, gene_id)")
+@_query("ij_gene_triples", _WITH + "SELECT gene_id, lag(gene_id) OVER w AS prev_id, lead(gene_id) OVER w AS next_id FROM g WINDOW w AS (ORDER BY chrom, start_, end_, gene_id)")
 def gene_triples(spark, sf_dir):
     """IJ-19."""
-    w = Window.partitionBy("chrom").orderBy("start_", "end_", "gene_id")
-    return _get(GENE)(spark, sf_dir)[0].select("gene_id", F.lag("gene_id").over(w).alias("prev_id"), F.lead("gene_id").over(w).alias("next_id"))
+    return islands.neighbours(_get(GENE)(spark, sf_dir)[0], "gene_id").toDF("gene_id", "prev_id", "next_id")
+
+
+_GAP = "greatest(0, start_ - {0}.end_, {0}.start_ - end_) <= 3000"
+
+
+@_query("ij_gene_triples_near", _WITH + f"SELECT gene_id, CASE WHEN p.chrom = chrom AND {_GAP.format('p')} THEN p.gene_id END AS prev_id, CASE WHEN q.chrom = chrom AND {_GAP.format('q')} THEN q.gene_id END AS next_id FROM (SELECT *, lag(g) OVER w AS p, lead(g) OVER w AS q FROM g WINDOW w AS (ORDER BY chrom DESC, start_, end_, gene_id)) x")
+def gene_triples_near(spark, sf_dir):
+    """IJ-19 within a distance, chromosomes in an order of their own."""
+    found = islands.neighbours(_get(GENE)(spark, sf_dir)[0], "gene_id", [f"chr{i}" for i in range(5, 0, -1)], max_dist=3000, tile=10_000)
+    return found.toDF("gene_id", "prev_id", "next_id")
 
 
 @_query("iv_predicates", _WITH + "SELECT f.uid, i.l_orderkey, i.l_linenumber, i.l_suppkey, i.l_partkey, f.start_ <= f.end_ AND f.start_ <= i.end_ AND i.start_ <= f.end_ AS overlaps, f.start_ <= i.start_ AND f.end_ >= i.end_ AS envelops, f.end_ + 1 = i.start_ OR i.end_ + 1 = f.start_ AS adjacent, cast(CASE WHEN f.start_ <= f.end_ AND f.start_ <= i.end_ AND i.start_ <= f.end_ THEN 0 WHEN i.start_ > f.end_ THEN i.start_ - f.end_ ELSE i.end_ - f.start_ END AS bigint) AS distance FROM f JOIN i ON f.uid = i.l_partkey AND f.chrom = i.chrom")
