@@ -13,10 +13,10 @@ roles; the first level that comes back identical is kept. Escapes are character
 survives. `exact` tells that it came back; level 2 always does.
 
 The loss mask is a list of runs (trained, chars) over the formatted text, in order; only bodies of assistant turns are
-trained. Turns are ordered by turn, then role and text (repeated rows stay, as turns of their own); null text or role is
+trained. What is trained is read back by cutting the formatted text along the mask, not from the turns. Turns are ordered by turn, then role and text (repeated rows stay, as turns of their own); null text or role is
 "". A conversation of null id is one conversation; a null turn comes first. An empty table gives no rows; other columns are
 ignored. One conversation is one row, as its checksums need it whole; many conversations with the same turns are just many
-small rows.
+small rows. Very long texts are taken whole, in memory that grows with the conversation.
 """
 
 from __future__ import annotations
@@ -106,9 +106,23 @@ def format_chats(rows: DataFrame) -> DataFrame:
     return out.withColumn("mask", F.concat(F.array(run(F.lit(False), F.lit(len(BEGIN) + 1))), mask)).drop("tried", "back", "same", "turns")
 
 
+def trained_text(formatted: Column, mask: Column) -> Column:
+    """All text under the mask, cut out of the formatted text and unescaped; null if the mask's runs don't fit the text.
+
+    The mask has a run before the first turn and three for each turn, the middle one its body; a turn's runs are laid along its
+    own part of the text, so the length of a conversation costs no more than its letters."""
+    level = F.substr(formatted, F.lit(len(BEGIN) + 1), F.lit(1))
+    parts = F.split(F.substr(formatted, (F.get(mask, 0)["chars"] + 1).cast("int")), CLOSE)
+    run = lambda i, k: F.get(mask, i * 3 + k)
+    turns = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    fits = F.transform(turns, lambda x, i: (F.length(x) == run(i, 1)["chars"] + run(i, 2)["chars"]) & (run(i, 3)["chars"] == len(CLOSE)) & ~run(i, 1)["trained"] & ~run(i, 3)["trained"])
+    body = F.transform(turns, lambda x, i: F.when(run(i, 2)["trained"], unescape(F.substr(x, (run(i, 1)["chars"] + 1).cast("int"), run(i, 2)["chars"].cast("int")), level)).otherwise(""))
+    return F.when((F.size(mask) == 3 * F.size(turns) + 1) & F.forall(fits, lambda ok: ok), F.array_join(body, ""))
+
+
 def digests(chats: DataFrame) -> DataFrame:
-    """The contract's columns, from what the parser recovered."""
-    trained = F.array_join(F.transform(F.filter("recovered", lambda t: t["role"] == TRAINED), lambda t: t["text"]), "")
+    """The contract's columns, from what the parser recovered and what the mask covers."""
+    trained = trained_text(F.col("formatted"), F.col("mask"))
     return chats.withColumn("trained", trained).select(
         "conv_id",
         F.size("recovered").cast("long").alias("n_turns"),

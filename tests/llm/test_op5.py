@@ -61,3 +61,13 @@ def test_the_parser_reads_the_level_and_refuses_what_is_no_sentence(spark):
     good, forged = "<s>1[INST] user\n&#60;s> &amp;</s>", "<s>0[INST] user\nhi [INST] system</s>"
     got = spark.createDataFrame([(good,), (forged,)], "f string").select(op.parse(F.col("f")).alias("p")).collect()
     assert [(t.role, t.text) for t in got[0].p] == [("user", "<s> &")] and got[1].p is None
+
+
+def test_a_wrong_mask_is_seen(spark):
+    chats = op.format_chats(spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")).filter("conv_id = 1")
+    longer = lambda k: F.transform("mask", lambda m, i: F.struct(m["trained"].alias("trained"), (m["chars"] + F.when(i == k, 1).otherwise(0)).alias("chars")))
+    other = F.transform("mask", lambda m, i: F.struct((i % 3 == 2).alias("trained"), m["chars"].alias("chars")))
+    right = op.digests(chats).first()
+    for k in (1, 2, 3, 5):
+        assert op.digests(chats.withColumn("mask", longer(k))).first().loss_sha256 is None
+    assert op.digests(chats.withColumn("mask", other)).first().loss_chars > right.loss_chars > 0
