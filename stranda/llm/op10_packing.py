@@ -222,7 +222,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, shard: int = SHARD) -> D
     tokens = cut(tokenized(docs, tokenizer))
     idf, mean = statistics(tokens)
     parts = tokens.filter("term IS NULL").drop("term", "n")
-    shards = max(1, -(-parts.count() // shard))
+    # whole windows have no ids and need no neighbours
+    shards = max(1, -(-parts.filter("ids IS NOT NULL").count() // shard))
     # tokens are cut off, so places in their partitions hold; repeated rows spread like others
     dealt = parts.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(_pack(spark.sparkContext.broadcast(idf), mean), _PIECES)
