@@ -64,19 +64,27 @@ def sequences(found: DataFrame) -> DataFrame:
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One digest for each run of rows of equal keys, of their lists joined by commas; holds no list beyond its row."""
-    key, sha = None, hashlib.sha256()
-    row = lambda k, s: pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in k] + [pa.array([s.hexdigest()])], [*NODE, "ends_sha256"])
+    key, sha, done = None, hashlib.sha256(), []
+
+    def rows() -> pa.RecordBatch:
+        columns = list(zip(*done))
+        done.clear()
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3])], [*NODE, "ends_sha256"])
+
     for batch in batches:
         for *k, ids in zip(*(c.to_pylist() for c in batch.columns)):
             if k != key:
                 if key:
-                    yield row(key, sha)
+                    done.append((*key, sha.hexdigest()))
                 key, sha = k, hashlib.sha256()
             else:
                 sha.update(b",")
             sha.update(ids.encode())
+        if done:
+            yield rows()
     if key:
-        yield row(key, sha)
+        done.append((*key, sha.hexdigest()))
+        yield rows()
 
 
 def end_lists(found: DataFrame) -> DataFrame:
