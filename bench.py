@@ -8,7 +8,8 @@ from pyspark.sql import SparkSession
 
 from stranda.plans import registry
 
-NAMES = ("ag_mean_len", "ag_mean_by_chrom", "ag_filter_len", "ag_type_counts", "ij_weighted_score", "ij_overlap_inner", "ij_merge", "ij_tile_counts", "tx_introns", "rd_depth", "seq_functions")
+NAMES = ("ag_mean_len", "ag_mean_by_chrom", "ag_filter_len", "ag_type_counts", "ij_weighted_score", "ij_overlap_inner", "ij_merge", "ij_tile_counts", "tx_introns", "rd_depth", "seq_functions",
+         "ij_annotate_sides", "ij_gene_triples", "seq_fetch", "seq_spliced", "seq_genome_windows", "seq_genome_kmers", "rd_mates", "rd_mates_deduplicated", "rd_md_mismatches", "tx_nearest_attribute", "tx_flavours")
 
 
 def main() -> None:

@@ -155,15 +155,20 @@ def md_mismatches(start: Column, cigar: Column, md: Column, seq: Column, quals:
         return F.struct(seen.alias("seen"), found.alias("found"))
 
     named = F.aggregate(tokens, F.struct(F.lit(0).cast("long").alias("seen"), none.alias("found")), step, lambda acc: acc["found"])
-    blocks = read_blocks(start, cigar)
     size = lambda b: b["end_"] - b["start_"] + 1
-    before = lambda i: F.aggregate(F.slice(blocks, F.lit(1), i), F.lit(0).cast("long"), lambda n, b: n + size(b))
-    counted = F.transform(blocks, lambda b, i: F.struct(b.alias("b"), before(i).alias("before")))
+    empty = F.expr("cast(array() AS array<struct<start_: bigint, read_start: bigint, first: bigint, last: bigint>>)")
 
-    def placed(m: Column) -> Column:
-        x = F.get(F.filter(counted, lambda c: (c["before"] <= m["nth"]) & (m["nth"] < c["before"] + size(c["b"]))), 0)
-        off = x["b"]["read_start"] - 1 + m["nth"] - x["before"]
-        return F.struct(off.alias("offset"), (x["b"]["start_"] + m["nth"] - x["before"]).alias("pos"), m["ref"].alias("ref"), F.substr(seq, (off + 1).cast("int"), F.lit(1)).alias("alt"))
+    def count(acc: Column, b: Column) -> Column:
+        block = F.struct(b["start_"].alias("start_"), b["read_start"].alias("read_start"), acc["n"].alias("first"), (acc["n"] + size(b) - 1).alias("last"))
+        return F.struct((acc["n"] + size(b)).alias("n"), F.concat(acc["blocks"], F.array(block)).alias("blocks"))
 
-    out = F.transform(named, placed)
+    # each block with the aligned bases before it; in an array of one, so that it is worked out once for a read
+    counted = F.aggregate(read_blocks(start, cigar), F.struct(F.lit(0).cast("long").alias("n"), empty.alias("blocks")), count, lambda acc: acc["blocks"])
+
+    def placed(blocks: Column, m: Column) -> Column:
+        inside = F.filter(blocks, lambda c: (c["first"] <= m["nth"]) & (m["nth"] <= c["last"]))
+        return F.get(F.transform(inside, lambda x: F.struct((x["read_start"] - 1 + m["nth"] - x["first"]).alias("offset"), (x["start_"] + m["nth"] - x["first"]).alias("pos"), m["ref"].alias("ref"))), 0)
+
+    found = F.get(F.transform(F.array(counted), lambda blocks: F.transform(named, lambda m: placed(blocks, m))), 0)
+    out = F.transform(found, lambda x: F.struct(x["offset"].alias("offset"), x["pos"].alias("pos"), x["ref"].alias("ref"), F.substr(seq, (x["offset"] + 1).cast("int"), F.lit(1)).alias("alt")))
     return out if quals is None else F.filter(out, lambda m: F.get(quals, m["offset"].cast("int")) >= least_quality)

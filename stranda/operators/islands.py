@@ -14,14 +14,21 @@ TILE = 1 << 16
 def merge(df: DataFrame, by: list[str], adjacent: bool = False, tile: int = TILE) -> DataFrame:
     """IJ-06: merged intervals (by..., start_, end_, n members); empty ones are left out.
 
-    Sorted only inside tiles: how far the tiles before reach is carried over, a row for each tile, so no chromosome is one task."""
+    One sort inside tiles makes a row for each island of a tile; how far the tiles before reach, and where what reaches in began, is
+    carried over in a row for each tile, so no chromosome is one task and islands meet across tiles without another sort."""
+    touch = int(adjacent)
     df = df.filter("start_ <= end_").select(*by, "start_", "end_", F.floor(F.col("start_") / tile).alias("tile"))
-    df = _carry(df, by, F.max("end_"), F.max, "_open")
-    order = ["start_", "end_"]
-    inside = Window.partitionBy(*by, "tile").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.greatest(F.max("end_").over(inside), "_open")
-    new = F.when(reach.isNull() | (F.col("start_") > reach + int(adjacent)), 1).otherwise(0)
-    return _numbered(df.withColumn("_new", new), by, order).groupBy(*by, "_run").agg(F.min("start_").alias("start_"), F.max("end_").alias("end_"), F.count("*").alias("n")).drop("_run")
+    inside = Window.partitionBy(*by, "tile").orderBy("start_", "end_")
+    reach = F.max("end_").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("_new", F.when(reach.isNull() | (F.col("start_") > reach + touch), 1).otherwise(0))
+    df = df.withColumn("_run", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    local = df.groupBy(*by, "tile", "_run").agg(F.min("start_").alias("start_"), F.max("end_").alias("end_"), F.count("*").alias("n"))
+    # a tile's islands are apart, so those that what comes in reaches are its first ones; the last that begins anew is handed on
+    local = _carry(local, by, F.max("end_"), F.max, "_open")
+    anew = F.col("_open").isNull() | (F.col("start_") > F.col("_open") + touch)
+    local = local.withColumn("_begin", F.when(anew, F.col("start_")))
+    local = _carry(local, by, F.max("_begin"), F.max, "_from")
+    return local.groupBy(*by, F.coalesce("_begin", "_from").alias("_at")).agg(F.min("start_").alias("start_"), F.max("end_").alias("end_"), F.sum("n").alias("n")).drop("_at")
 
 
 def _carry(df: DataFrame, by: list[str], each: Column, over: Callable[[str], Column], name: str) -> DataFrame:

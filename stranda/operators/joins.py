@@ -29,25 +29,30 @@ def _bin(place: Column, at: Column, bin_size: int) -> Column:
     return F.floor(place / F.call_function("shiftleft", F.lit(bin_size).cast("long"), at * (FACTOR.bit_length() - 1)))
 
 
+def _at(place: Column) -> Column:
+    """The level of a place."""
+    return place % LEVELS
+
+
 def _levels(df: DataFrame) -> Column:
     """The levels of a side, at most LEVELS numbers, as a scalar."""
     return df.agg(F.collect_set("_level").alias("x")).scalar()
 
 
 def _sides(left: DataFrame, right: DataFrame, bin_size: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides (with _s, _e) with a row for each place in which they may meet: `by` (0: left is as wide as right or wider, 1: right is wider), level, bin."""
+    """Both sides (with _s, _e) with a row for each bin in which they may meet, and its place: the level, or LEVELS more where right is wider."""
     left, right = (df.withColumn("_level", level(F.col("_s"), F.col("_e"), bin_size)) for df in (left, right))
     of_left, of_right = _levels(left.select("_level")), _levels(right.select("_level"))
     own, other = F.col("_level"), F.col("_other")
-    place = lambda by, m: F.struct(F.lit(by).alias("by"), m.cast("int").alias("level"))
-    # plain conditions, no lambdas, so that all of it is compiled
-    wider = lambda by, least: [F.when(F.array_contains(other, m) & (least(F.lit(m))), place(by, F.lit(m))) for m in range(LEVELS)]
-    at_left = F.array(place(0, own), *wider(1, lambda m: m > own))
-    at_right = F.array(F.when(own > F.array_min(other), place(1, own)), *wider(0, lambda m: m >= own))
+    none = F.lit(-1)
+    # plain numbers and conditions, no lambdas, so that all of it is compiled
+    wider = lambda by, least: [F.when(F.array_contains(other, m) & least(m), F.lit(by * LEVELS + m)).otherwise(none) for m in range(LEVELS)]
+    at_left = F.array(own, *wider(1, lambda m: own < m))
+    at_right = F.array(F.when(own > F.array_min(other), own + LEVELS).otherwise(none), *wider(0, lambda m: own <= m))
 
     def spread(df: DataFrame, levels: Column, at: Column) -> DataFrame:
-        each = df.withColumn("_other", levels).withColumn("_at", F.explode(at)).filter("_at IS NOT NULL").select("*", "_at.by", "_at.level").drop("_at", "_other", "_level")
-        return each.withColumn("bin", F.explode(F.sequence(_bin(F.col("_s"), F.col("level"), bin_size), _bin(F.col("_e"), F.col("level"), bin_size))))
+        each = df.withColumn("_other", levels).withColumn("place", F.explode(at)).filter("place >= 0").drop("_other", "_level")
+        return each.withColumn("bin", F.explode(F.sequence(_bin(F.col("_s"), _at(F.col("place")), bin_size), _bin(F.col("_e"), _at(F.col("place")), bin_size))))
 
     return spread(left, of_right, at_left), spread(right, of_left, at_right)
 
@@ -58,7 +63,7 @@ def _meeting(left: DataFrame, right: DataFrame, bin_size: int, within: int = 0)
     a, b = _sides(ends(left, within), ends(right, 0), bin_size)
     b = b.select(*(F.col(c).alias(f"r_{c}") for c in b.columns))
     on = (F.col("chrom") == F.col("r_chrom")) & (F.col("_s") <= F.col("r__e")) & (F.col("r__s") <= F.col("_e"))
-    for c in ("by", "level", "bin"):
+    for c in ("place", "bin"):
         on &= F.col(c) == F.col(f"r_{c}")
     return a, b, on
 
@@ -68,7 +73,7 @@ def overlap_pairs(left: DataFrame, right: DataFrame, bin_size: int = BIN, strand
 
     Both sides have chrom, start_, end_ (and strand). A pair counts in the bin where the later of the two begins."""
     a, b, on = _meeting(left, right, bin_size, within)
-    on &= F.col("bin") == _bin(F.greatest("_s", "r__s"), F.col("level"), bin_size)
+    on &= F.col("bin") == _bin(F.greatest("_s", "r__s"), _at(F.col("place")), bin_size)
     if stranded:
         on &= F.col("strand").eqNullSafe(F.col("r_strand"))
     return a.join(b, on).select(*left.columns, *(f"r_{c}" for c in right.columns))

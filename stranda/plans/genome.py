@@ -21,10 +21,11 @@ def _genome(spark, sf_dir) -> DataFrame:
     return genome.chunked(get(GENOME)(spark, sf_dir)[0].withColumnRenamed("at_", "at"), SIZE)
 
 
-@query("seq_fetch", _WHOLE + f"SELECT uid, CASE WHEN e < s THEN '' ELSE {_CUT.format(s='s', e='e')} END AS seq FROM (SELECT uid, chrom, start_ - 40 AS s, end_ * 2 AS e FROM f) q JOIN w USING (chrom)")
+@query("seq_fetch", _WHOLE + f"SELECT uid, CASE WHEN e < s THEN '' ELSE {_CUT.format(s='s', e='e')} END AS seq FROM (SELECT uid, chrom, start_ - 40 + CASE WHEN uid % 50 = 0 THEN 10000000 ELSE 0 END AS s, end_ + uid % 3 * 300 + CASE WHEN uid % 50 = 0 THEN 10000000 ELSE 0 END AS e FROM f) q JOIN w USING (chrom)")
 def fetch(spark, sf_dir):
-    """SQ-13: intervals that may begin before the first base or end behind the last."""
-    feat = get(FEAT)(spark, sf_dir)[0].withColumns({"start_": F.col("start_") - 40, "end_": F.col("end_") * 2})
+    """SQ-13: intervals that may begin before the first base or lie behind the last."""
+    far = F.when(F.col("uid") % 50 == 0, 10_000_000).otherwise(0)
+    feat = get(FEAT)(spark, sf_dir)[0].withColumns({"start_": F.col("start_") - 40 + far, "end_": F.col("end_") + F.col("uid") % 3 * 300 + far})
     return genome.fetch(feat, _genome(spark, sf_dir), ["uid"], SIZE)
 
 
