@@ -124,3 +124,40 @@ def neighbours(df: DataFrame, id_: str, chroms: list[str] | None = None, max_dis
         return F.when((F.col(f"{side}.chrom") == F.col("chrom")) & (gap <= max_dist), F.col(f"{side}.id"))
 
     return both.select("id", near("_prev").alias("prev"), near("_next").alias("next"))
+
+
+def groups(df: DataFrame, strategy: str, members: list[str], by: list[str] | None = None, adjacent: bool = False) -> DataFrame:
+    """IJ-08: one row for each group of intervals: by (chrom, if not given; chrom and strand keep strands apart), start_ and end_ of its hull, n, and
+    members, a sorted array of (start_, end_, and the columns named).
+
+    strategy: start, end or both (alike in these, wherever they stand in the table) or overlap (chains of overlapping intervals, or
+    touching ones with adjacent). A group's array is as long as the group: for numbers alone, group by the same keys."""
+    by = by or ["chrom"]
+    own = {"start": ["start_"], "end": ["end_"], "both": ["start_", "end_"], "overlap": ["group_start", "group_end"]}
+    if strategy not in own:
+        raise ValueError(f"unknown strategy {strategy}")
+    rows = df.select(*by, "start_", "end_", *members)
+    if strategy == "overlap":
+        rows = grouped(rows, by, members, adjacent)
+    listed = F.array_sort(F.collect_list(F.struct("start_", "end_", *members)))
+    keys = [*by, *(F.col(c).alias(f"_{c}") for c in own[strategy])]
+    out = rows.groupBy(*keys).agg(F.min("start_").alias("start_"), F.max("end_").alias("end_"), F.count("*").alias("n"), listed.alias("members"))
+    return out.select(*by, "start_", "end_", "n", "members")
+
+
+#: LS-03: what holds between a value and the one before
+STEPS: dict[str, Callable[[Column, Column], Column]] = {
+    "inc": lambda x, before: x > before,
+    "dec": lambda x, before: x < before,
+    "inceq": lambda x, before: x >= before,
+    "deceq": lambda x, before: x <= before,
+    "inc1": lambda x, before: x == before + 1,
+    "dec1": lambda x, before: x == before - 1,
+    "eq": lambda x, before: x == before,
+}
+
+
+def steps(df: DataFrame, by: list[str], order: list[str], column: str, modes: list[str]) -> DataFrame:
+    """LS-03: by, and for each mode of STEPS whether all values of a column follow it in an order; true for one value."""
+    rows = df.select(*by, F.col(column).alias("_x"), F.lag(column).over(Window.partitionBy(*by).orderBy(*order)).alias("_before"))
+    return rows.groupBy(*by).agg(*(F.coalesce(F.bool_and(STEPS[m](F.col("_x"), F.col("_before"))), F.lit(True)).alias(m) for m in modes))

@@ -77,6 +77,31 @@ def group_start(spark, sf_dir):
     return get(IV)(spark, sf_dir)[0].groupBy("chrom", "start_").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first_key"), F.max("end_").cast("long").alias("last_end"))
 
 
+_MEMBERS = "string_agg(start_ || '-' || end_ || ':' || {0}, ',' ORDER BY start_, end_, {0}) AS members"
+
+
+def _listed(df, column: str):
+    return df.withColumn("members", F.array_join(F.transform("members", lambda m: F.concat(m["start_"].cast("string"), F.lit("-"), m["end_"].cast("string"), F.lit(":"), m[column].cast("string"))), ","))
+
+
+@query("ij_group_end", WITH + f"SELECT chrom, min(start_)::BIGINT AS start_, end_::BIGINT AS end_, count(*) AS n, {_MEMBERS.format('uid')} FROM f GROUP BY chrom, end_")
+def group_end(spark, sf_dir):
+    """IJ-08, end, with members."""
+    return _listed(islands.groups(get(FEAT)(spark, sf_dir)[0], "end", ["uid"]), "uid")
+
+
+@query("ij_group_both", WITH + f"SELECT chrom, strand, start_::BIGINT AS start_, end_::BIGINT AS end_, count(*) AS n, {_MEMBERS.format('l_orderkey')} FROM i GROUP BY chrom, strand, start_, end_")
+def group_both(spark, sf_dir):
+    """IJ-08, both ends, strands apart."""
+    return _listed(islands.groups(get(IV)(spark, sf_dir)[0], "both", ["l_orderkey"], by=["chrom", "strand"]), "l_orderkey")
+
+
+@query("ls_steps", WITH + "SELECT tx_id, " + ", ".join(f"coalesce(bool_and({c}), true) AS {m}" for m, c in {"dec": "start_ < before", "inceq": "start_ >= before", "dec1": "start_ = before - 1", "eq": "start_ = before"}.items()) + " FROM (SELECT tx_id, start_, lag(start_) OVER (PARTITION BY tx_id ORDER BY rnk) AS before FROM e) x GROUP BY tx_id")
+def steps(spark, sf_dir):
+    """LS-03: the modes that ls_monotone has not."""
+    return islands.steps(get(EXON)(spark, sf_dir)[0], ["tx_id"], ["rnk"], "start_", ["dec", "inceq", "dec1", "eq"])
+
+
 @query("ij_group_overlap", WITH + "SELECT chrom, uid, min(start_) OVER w AS group_start, max(end_) OVER w AS group_end FROM (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY start_, end_, uid ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN start_ > coalesce(max(end_) OVER (PARTITION BY chrom ORDER BY start_, end_, uid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS new FROM f WHERE start_ <= end_) a) b WINDOW w AS (PARTITION BY chrom, island)")
 def group_overlap(spark, sf_dir):
     """IJ-08, overlap."""
