@@ -24,14 +24,14 @@ def merge(df: DataFrame, by: list[str], adjacent: bool = False, tile: int = TILE
     df = df.withColumn("_run", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     local = df.groupBy(*by, "tile", "_run").agg(F.min("start_").alias("start_"), F.max("end_").alias("end_"), F.count("*").alias("n"))
     # a tile's islands are apart, so those that what comes in reaches are its first ones; the last that begins anew is handed on
-    local = _carry(local, by, F.max("end_"), F.max, "_open")
+    local = carry(local, by, F.max("end_"), F.max, "_open")
     anew = F.col("_open").isNull() | (F.col("start_") > F.col("_open") + touch)
     local = local.withColumn("_begin", F.when(anew, F.col("start_")))
-    local = _carry(local, by, F.max("_begin"), F.max, "_from")
+    local = carry(local, by, F.max("_begin"), F.max, "_from")
     return local.groupBy(*by, F.coalesce("_begin", "_from").alias("_at")).agg(F.min("start_").alias("start_"), F.max("end_").alias("end_"), F.sum("n").alias("n")).drop("_at")
 
 
-def _carry(df: DataFrame, by: list[str], each: Column, over: Callable[[str], Column], name: str) -> DataFrame:
+def carry(df: DataFrame, by: list[str], each: Column, over: Callable[[str], Column], name: str) -> DataFrame:
     """df with `name`: over all tiles before a row's tile, what `over` makes of each tile's aggregate; null in the first."""
     before = Window.partitionBy(*by).orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
     tiles = df.groupBy(*by, "tile").agg(each.alias("_x")).withColumn(name, over("_x").over(before)).drop("_x")
@@ -43,7 +43,7 @@ def _carry(df: DataFrame, by: list[str], each: Column, over: Callable[[str], Col
 
 def _numbered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Numbers runs in `_run`; a row with _new = 1 begins one."""
-    df = _carry(df, by, F.sum("_new"), F.sum, "_before")
+    df = carry(df, by, F.sum("_new"), F.sum, "_before")
     inside = Window.partitionBy(*by, "tile").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("_run", F.coalesce("_before", F.lit(0)) + F.sum("_new").over(inside))
 
@@ -52,7 +52,7 @@ def compact(df: DataFrame, tile: int = TILE) -> DataFrame:
     """IJ-20: runs of adjacent intervals with equal values, by chromosome; sorted only inside tiles, as merge."""
     df = df.select("chrom", "start_", "end_", "value", F.floor(F.col("start_") / tile).alias("tile"))
     last = F.max(F.struct("start_", "end_", "value"))
-    df = _carry(df, ["chrom"], last, F.max, "_left")
+    df = carry(df, ["chrom"], last, F.max, "_left")
     order = Window.partitionBy("chrom", "tile").orderBy("start_", "end_")
     left = F.coalesce(F.lag(F.struct("start_", "end_", "value")).over(order), F.col("_left"))
     df = df.withColumn("_l", left)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixtures import FEAT, GENOME, NEAR, READS
 from ..functions import sequence as sq
-from ..operators import genome, kmers, transcripts
+from ..operators import amplicons, genome, kmers, transcripts
 from .base import WITH, get, query
 
 SIZE = 256  # small chunks, so that small tables have many
@@ -83,6 +85,43 @@ def splice_sites(spark, sf_dir):
     return got.groupBy("first_two", "last_two").agg(F.count("*").alias("n"))
 
 
+# intervals 120 positions apart on average, so that some meet when extended, and one chromosome that the genome lacks
+_TARGET = "SELECT uid, CASE WHEN uid % 90 = 7 THEN 'chrX' ELSE chrom END AS chrom, start_, end_, strand, name, cast(floor(score) AS bigint) AS score FROM f WHERE uid % 30 IN (0, 3, 7, 9)"
+_AMPLIFIED = _WHOLE + f""", q AS ({_TARGET}), x AS (SELECT q.*, greatest(1, start_ - 20) AS s, end_ + 20 AS e, name || '_' || chrom || '_' || start_ || '_' || end_ AS label, length(w.seq) AS len, w.seq FROM q JOIN w USING (chrom) WHERE start_ <= end_),
+y AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY s, e, label, uid ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN s > coalesce(max(e) OVER (PARTITION BY chrom ORDER BY s, e, label, uid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS new FROM x) z),
+pz AS (SELECT chrom, island, min(s) AS gs, max(e) AS ge, count(*) AS n, any_value(seq) AS seq FROM y GROUP BY chrom, island), pn AS (SELECT chrom, island, string_agg(label, '+' ORDER BY s, e, label) AS amplicon FROM (SELECT DISTINCT chrom, island, s, e, label FROM y) u GROUP BY chrom, island),
+am AS (SELECT *, repeat('N', 15) || substr(seq, gs::INT, (ge - gs + 1)::INT) || repeat('N', 15) AS padded FROM pz JOIN pn USING (chrom, island)) """
+
+
+def _amplicons(spark, sf_dir) -> amplicons.Amplicons:
+    feat = get(FEAT)(spark, sf_dir)[0].filter("uid % 30 IN (0, 3, 7, 9)")
+    feat = feat.withColumns({"chrom": F.when(F.col("uid") % 90 == 7, "chrX").otherwise(F.col("chrom")), "score": F.floor("score")})
+    return amplicons.build(feat, _genome(spark, sf_dir), 15, 20, SIZE)
+
+
+@query("tl_amplicons", _AMPLIFIED + "SELECT amplicon, chrom, gs::BIGINT AS start_, ge::BIGINT AS end_, n, padded AS seq, length(padded) AS length, md5(padded) AS md5 FROM am")
+def amplicon_pieces(spark, sf_dir):
+    """TL-04: merged, padded pieces."""
+    return _amplicons(spark, sf_dir).pieces
+
+
+@query("tl_amplicon_files", _AMPLIFIED + """SELECT 'bed' AS file, concat_ws(chr(9), amplicon, 15 + start_ - gs, 16 + end_ - gs, name, score, coalesce(strand, '.')) AS value FROM y JOIN am USING (chrom, island)
+UNION ALL SELECT 'gff3', concat_ws(chr(9), amplicon, 'stranda', 'transcript', 16 + start_ - gs, 16 + end_ - gs, score, coalesce(strand, '.'), 0, 'gene_name=' || name) FROM y JOIN am USING (chrom, island)
+UNION ALL SELECT 'sizes', amplicon || chr(9) || length(padded) FROM am UNION ALL SELECT 'dict', concat_ws(chr(9), '@SQ', 'SN:' || amplicon, 'LN:' || length(padded), 'M5:' || md5(padded), 'UR:file:amplicons.fa') FROM am
+UNION ALL SELECT 'fasta', '>' || amplicon || chr(10) || regexp_replace(padded, '(.{60})', '\\1' || chr(10), 'g') FROM am WHERE length(padded) % 60 <> 0 UNION ALL SELECT 'fasta', '>' || amplicon || chr(10) || rtrim(regexp_replace(padded, '(.{60})', '\\1' || chr(10), 'g'), chr(10)) FROM am WHERE length(padded) % 60 = 0""")
+def amplicon_files(spark, sf_dir):
+    """TL-04: the lines of all files."""
+    made = _amplicons(spark, sf_dir)
+    files = {"bed": amplicons.bed_lines(made.mapped), "gff3": amplicons.gff_lines(made.mapped), "sizes": amplicons.size_lines(made.pieces), "dict": amplicons.dict_lines(made.pieces, "file:amplicons.fa"), "fasta": amplicons.fasta_lines(made.pieces, 60)}
+    return reduce(DataFrame.unionByName, (lines.select(F.lit(name).alias("file"), "value") for name, lines in files.items()))
+
+
+@query("tl_amplicon_log", _AMPLIFIED + "SELECT coalesce(sum(n), 0)::BIGINT AS parsed_intervals, count(*) AS written_amplicons, round(sum(n * length(padded)) / count(*), 6) AS mean_amplicon_length FROM am")
+def amplicon_log(spark, sf_dir):
+    """TL-04: the log."""
+    return amplicons.summary(_amplicons(spark, sf_dir)).withColumn("mean_amplicon_length", F.round("mean_amplicon_length", 6))
+
+
 _SEARCHED = ["ACAC", "AA", "GATTAC", "CCCGGG"]
 
 

@@ -52,11 +52,47 @@ def mismatches(spark, sf_dir):
 
 @query("rd_mismatch_profile", _BASED + "SELECT ref, alt, strand, n, round(n / sum(n) OVER (PARTITION BY ref, strand), 6) AS prob FROM (SELECT ref, alt, CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS strand, count(*) AS n FROM b WHERE alt <> '-' GROUP BY ALL) x")
 def mismatch_profile(spark, sf_dir):
-    """RD-16, RD-17, TL-05."""
+    """RD-16."""
     found = _bases(spark, sf_dir).withColumn("strand", F.when(F.col("flag").bitwiseAND(F.lit(16)) != 0, "-").otherwise("+"))
     return ops.mismatch_profile(found).withColumn("prob", F.round("prob", 6))
 
 
+_STRAND = "CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END"
+_COLUMNS = _BASED + f""", k AS (SELECT *, CASE WHEN total <= 2 THEN 'lowcov' WHEN off / total > 0.7 THEN 'snp' ELSE 'analysed' END AS kind FROM (SELECT chrom, pos, count(*) AS total, count(*) FILTER (alt <> ref) AS off FROM b GROUP BY chrom, pos) x),
+cl AS (SELECT uid, pos, f.chrom, kind FROM f JOIN k ON f.chrom = k.chrom AND k.pos BETWEEN f.start_ AND f.end_), d AS (SELECT cl.uid, ref, alt, {_STRAND} AS strand FROM cl JOIN b USING (chrom, pos) WHERE kind = 'analysed' AND alt <> '-') """
+
+
+def _profiles(spark, sf_dir) -> DataFrame:
+    found = _bases(spark, sf_dir).withColumn("strand", F.when(F.col("flag").bitwiseAND(F.lit(16)) != 0, "-").otherwise("+"))
+    return ops.region_profiles(found, get(FEAT)(spark, sf_dir)[0], "uid", 2, 0.7)
+
+
+@query("rd_region_columns", _COLUMNS + "SELECT uid, kind, count(*) AS columns FROM cl GROUP BY uid, kind")
+def region_columns(spark, sf_dir):
+    """RD-17: columns of too low coverage, like SNPs, and analysed ones, of each region."""
+    return _profiles(spark, sf_dir).groupBy("uid", "kind").agg(F.sum("columns").alias("columns"))
+
+
+@query("rd_region_profile", _COLUMNS + """, o AS (SELECT uid, coalesce(sum(off) OVER (ORDER BY md5(uid::VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT uid, count(*) FILTER (alt <> ref) AS off FROM d GROUP BY uid) x)
+SELECT ref, alt, strand, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY ref, strand), 6) AS prob FROM d JOIN o USING (uid) WHERE before < 400 GROUP BY ref, alt, strand""")
+def region_profile(spark, sf_dir):
+    """RD-16, RD-17, TL-05: regions in a fixed order of chance, until 400 mismatches are counted."""
+    return ops.profile_counts(ops.sampled_regions(_profiles(spark, sf_dir), "uid", 400)).withColumn("prob", F.round("prob", 6))
+
+
+@query("rd_mismatch_rates", _COLUMNS + "SELECT strand, count(*) AS n, count(*) FILTER (alt <> ref) AS mismatches, round(count(*) FILTER (alt <> ref) / count(*), 6) AS prob FROM d GROUP BY strand")
+def mismatch_rates(spark, sf_dir):
+    """RD-16."""
+    return ops.mismatch_rates(ops.profile_counts(_profiles(spark, sf_dir))).withColumn("prob", F.round("prob", 6))
+
+
+@query("rd_pileup_positions", _BASED + "SELECT chrom, pos, sum(n)::BIGINT AS total, coalesce(string_agg(alt || n, ',' ORDER BY alt), '') AS counts FROM (SELECT v.chrom, v.pos, alt, count(alt) AS n FROM (SELECT DISTINCT chrom, pos FROM v) v LEFT JOIN b ON b.chrom = v.chrom AND b.pos = v.pos GROUP BY ALL) x GROUP BY chrom, pos")
+def pileup_positions(spark, sf_dir):
+    """RD-10 at listed positions, covered or not."""
+    found = ops.pileup_at(_bases(spark, sf_dir), get(VAR)(spark, sf_dir)[0])
+    return found.withColumn("counts", F.array_join(F.transform(F.map_entries("counts"), lambda c: F.concat(c["key"], c["value"].cast("string"))), ","))
+
+
 @query("rd_tag_filter", WITH + "SELECT chrom, CASE WHEN flag & 3844 <> 0 THEN 'flag' WHEN nh IN (2, 3) THEN 'tag' ELSE 'kept' END AS label, count(*) AS n FROM r GROUP BY ALL")
 def tag_filter(spark, sf_dir):
     """RD-03, RD-05, UD-06."""
