@@ -293,12 +293,15 @@ def link(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> tuple[DataFra
     # n-grams whose classes are all in one component by now have nothing left to link
     rooted = posted.drop("alone").join(roots.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     open_ = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    # lengths of linked classes differ by LEAST % at most, so they lie in the same bin of lengths or in the next
+    # lengths of linked classes differ by LEAST % at most, so they lie in the same bin of lengths or in neighbours
     length_bin = F.floor(F.log(F.col("n")) / (1.001 * math.log(100 / least)) if least < 100 else F.col("n"))
     left = stored(rooted.join(open_, "token", "left_semi").join(known.drop("alone"), "k").withColumn("bin", length_bin))
-    right = left.select("token", *(F.col(c).alias(f"{c}_b") for c in ("k", "doc", "n", *_BITS, "root")), F.explode(F.array(F.col("bin") - 1, "bin", F.col("bin") + 1)).alias("bin"))
-    more = left.join(right, ["token", "bin"]).filter((F.col("k") < F.col("k_b")) & (F.col("root") != F.col("root_b")) & _may_link(least)).select(F.col("k").alias("a"), "doc", "n", F.col("k_b").alias("b"), "doc_b", "n_b").distinct()
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # b is the shorter one (or has the lesser key), so it is in a's bin or the one before
+    right = left.select("token", *(F.col(c).alias(f"{c}_b") for c in ("k", "doc", "n", *_BITS, "root")), F.explode(F.array("bin", F.col("bin") + 1)).alias("bin"))
+    shorter = F.struct("n_b", "k_b") < F.struct("n", "k")
+    more = left.join(right, ["token", "bin"]).filter(shorter & (F.col("root") != F.col("root_b")) & _may_link(least)).select(F.col("k").alias("a"), "doc", "n", F.col("k_b").alias("b"), "doc_b", "n_b").distinct()
+    swapped = F.struct("n", "a") < F.struct("n_b", "b")
+    done = pairs.select(F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("b")).distinct()
     more = cut(more.join(done, ["a", "b"], "left_anti"))
     discard(posted, left)
     if not more.isEmpty():
