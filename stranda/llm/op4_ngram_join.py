@@ -271,13 +271,15 @@ def link(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> tuple[DataFra
     own = fronts.groupBy("k").agg(F.count("*").alias("found"))
     alone = (F.col("n") - F.ceil(F.col("n") * least / 100) + 1 - F.col("found")).cast("long")
     known = cut(classes.drop("sketch").join(own, "k").withColumn("alone", alone).drop("found"))
-    posted = stored(fronts.join(known.select("k", "alone"), "k"))
+    posted = stored(fronts.join(known.select("k", "alone", F.col("n").cast("int").alias("n")), "k"))
     discard(fronts)
 
     side = lambda name, end: known.select(F.col("k").alias(name), *(F.col(c).alias(f"{c}{end}") for c in ("doc", "n", *_BITS)))
     may = lambda met: cut(met.join(side("a", ""), "a").join(side("b", "_b"), "b").filter(_may_link(least)).select("a", "doc", "n", "b", "doc_b", "n_b"))
-    hubs = posted.groupBy("token").agg(F.min(F.struct("alone", "k")).alias("h")).select("token", "h")
-    met = stored(posted.join(hubs, "token").filter(F.col("k") != F.col("h.k")).select(F.col("k").alias("a"), "h").distinct())
+    hubs = posted.groupBy("token").agg(F.min(F.struct("alone", "k", "n")).alias("h")).select("token", "h")
+    # hubs of lengths that can't be linked go before pairs are shuffled
+    alike = F.least("n", "h.n").cast("long") * 100 >= F.greatest("n", "h.n").cast("long") * least
+    met = stored(posted.join(hubs, "token").filter((F.col("k") != F.col("h.k")) & alike).select(F.col("k").alias("a"), F.struct("h.alone", "h.k").alias("h")).distinct())
     # each class with the best of its hubs; what that leaves apart, with its other hubs
     pairs = may(met.groupBy("a").agg(F.min("h").alias("h")).select("a", F.col("h.k").alias("b")))
     links = _verified(docs, classes, pairs, order, size, least)
@@ -291,7 +293,7 @@ def link(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> tuple[DataFra
         roots = cut(components(links))
 
     # n-grams whose classes are all in one component by now have nothing left to link
-    rooted = posted.drop("alone").join(roots.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    rooted = posted.drop("alone", "n").join(roots.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     open_ = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
     # lengths of linked classes differ by LEAST % at most, so they lie in the same bin of lengths or in neighbours
     length_bin = F.floor(F.log(F.col("n")) / (1.001 * math.log(100 / least)) if least < 100 else F.col("n"))
