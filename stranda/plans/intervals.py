@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import EXON, FEAT, GENE, IV, SIGNAL, VAR
 from ..functions import interval as iv
-from ..operators import islands, joins
+from ..operators import islands, joins, references, tables
 from ..sources import regions
 from .base import OVER, WITH, get, query
 
@@ -254,3 +254,40 @@ def region(spark, sf_dir):
     lines = get(FEAT)(spark, sf_dir)[0].select(F.concat_ws("\t", "uid", (F.col("start_") - 1).cast("string"), F.col("end_").cast("string"), F.substring("chrom", 4, 9)).alias("value"))
     rows = regions.tsv_rows(lines, (3, 1, 2), (1, 0), "chr2:250-3000", {str(i): f"chr{i}" for i in range(1, 6)})
     return rows.select(F.get("fields", 0).cast("long").alias("uid"))
+
+
+@query("ij_reference", WITH + "SELECT chrom, row_number() OVER (ORDER BY chrom) - 1 AS place, len AS length FROM (SELECT chrom, max(end_)::BIGINT AS len FROM f GROUP BY chrom) x WHERE chrom IN (SELECT chrom FROM i) AND chrom IN (SELECT chrom FROM s) AND chrom <> 'chr4'")
+def reference(spark, sf_dir):
+    """IJ-13, IJ-14: the chromosomes of three tables, in the same order; only one knows lengths."""
+    feat, ivs, signal = get(FEAT, IV, SIGNAL)(spark, sf_dir)
+    unknown = lambda df: references.by_scan(df).withColumn("length", F.lit(None).cast("long"))
+    return references.merged(references.by_scan(feat), unknown(ivs), unknown(signal), check_order=True, included=["chr1", "chr2", "chr3", "chr5"])
+
+
+_COLUMN = "SELECT '{0}' AS \"column\", count({0}) AS n, count(DISTINCT {0}) AS n_distinct, (SELECT {0}::VARCHAR FROM f WHERE {0} IS NOT NULL GROUP BY {0} ORDER BY count(*) DESC, {0}::VARCHAR LIMIT 1) AS top, (SELECT count(*) FROM f WHERE {0} IS NOT NULL GROUP BY {0} ORDER BY count(*) DESC LIMIT 1) AS top_n, {1} FROM f"
+_NUMBER = "round(avg({0}), 6) AS mean, round(stddev_samp({0}), 6) AS sd, min({0})::DOUBLE AS least, max({0})::DOUBLE AS most"
+_NONE = "NULL::DOUBLE AS mean, NULL::DOUBLE AS sd, NULL::DOUBLE AS least, NULL::DOUBLE AS most"
+
+
+@query("sk_describe", WITH + " UNION ALL ".join(_COLUMN.format(c, (_NUMBER if c in ("uid", "start_", "end_") else _NONE).format(c)) for c in ("uid", "chrom", "start_", "end_", "strand", "name")))
+def describe(spark, sf_dir):
+    """SK-03: columns of a located table."""
+    out = tables.describe(get(FEAT)(spark, sf_dir)[0], ["uid", "chrom", "start_", "end_", "strand", "name"])
+    return out.withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
+
+
+@query("sk_located", WITH + ", m AS (SELECT count(*) AS n_merged FROM (SELECT start_ > coalesce(max(end_) OVER (PARTITION BY chrom ORDER BY start_, end_, uid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS new FROM f WHERE start_ <= end_) x WHERE new), c AS (SELECT count(*) AS n, count(*) FILTER (start_ > end_) AS n_empty FROM f) SELECT n, n_merged, n - n_empty > n_merged AS contains_overlapping, n_empty > 0 AS contains_empty FROM c, m")
+def located(spark, sf_dir):
+    """SK-03: whether intervals overlap or are empty."""
+    return tables.located(get(FEAT)(spark, sf_dir)[0])
+
+
+@query("ag_decay_fit", WITH.replace("WITH ", "WITH RECURSIVE ", 1) + """, x AS (SELECT chrom, t, avg(y) AS y, count(*) AS n FROM (SELECT chrom, l_linenumber::DOUBLE AS t, score / 200000.0 AS y FROM i) a GROUP BY chrom, t),
+  b AS (SELECT DISTINCT chrom, 0.0::DOUBLE AS lo, 8.0::DOUBLE AS hi, 0 AS step FROM x UNION ALL SELECT chrom, CASE WHEN slope < 0 THEN mid ELSE lo END, CASE WHEN slope < 0 THEN hi ELSE mid END, step + 1
+    FROM (SELECT b.chrom, lo, hi, step, (lo + hi) / 2 AS mid, sum(n * t * exp(-(lo + hi) / 2 * t) * (y - exp(-(lo + hi) / 2 * t))) AS slope FROM b JOIN x ON b.chrom = x.chrom WHERE step < 50 GROUP BY b.chrom, lo, hi, step) c)
+  SELECT chrom, round(lo, 6) AS k, round(ln(2) / lo, 4) AS half_life FROM b WHERE step = 50""")
+def decay_fit(spark, sf_dir):
+    """AG-09: exponential decay from 1 with the least squared error; the SQL halves an interval around the zero of the slope."""
+    df = get(IV)(spark, sf_dir)[0].select("chrom", F.col("l_linenumber").alias("t"), (F.col("score") / 200000).alias("y"))
+    fit = tables.fit_decay(df, ["chrom"], "t", "y")
+    return fit.select("chrom", F.round("k", 6).alias("k"), F.round("half_life", 4).alias("half_life"))

@@ -9,6 +9,7 @@ from ..fixtures import EXON, GENE, READS
 from ..functions import sequence as sq
 from ..operators import annotation, transcripts
 from ..sources import text
+from ..sources import transcriptome as files
 from .base import WITH, get, query
 
 
@@ -142,3 +143,28 @@ def windows(spark, sf_dir):
 def fasta(spark, sf_dir):
     """SQ-10, SK-13."""
     return get(READS)(spark, sf_dir)[0].select("uid", F.concat(F.lit(">r"), F.col("uid").cast("string"), F.lit("\n"), sq.wrap(F.col("seq"), 12)).alias("record"), sq.pad_n(F.substring("seq", 1, 6), 13).alias("padded"))
+
+
+_GFF = "SELECT concat_ws(chr(9), 'chr' || (gene_id % 5 + 1), 'stranda', type, s::BIGINT, e::BIGINT, '.', CASE gene_id % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE '.' END, '.', info) AS value FROM "
+
+
+@query("sk_gff3", _BUILD + _GFF + """(SELECT gene_id, 'gene' AS type, s, e, 'ID=g' || gene_id || ';gene_name=g' || gene_id || CASE WHEN gene_id % 4 = 1 THEN ';gene_type=coding,known' ELSE '' END AS info FROM gk WHERE final = 'kept'
+  UNION ALL SELECT gene_id, 'gene', s, e, 'ID=g' || gene_id || ';gene_name=g' || gene_id FROM made UNION ALL SELECT gene_id, 'transcript', s, e, 'ID=t' || tx_id || ';Parent=g' || gene_id FROM tk WHERE label = 'kept'
+  UNION ALL SELECT gene_id, 'exon', start_, end_, 'ID=t' || tx_id || '_exon_' || (row_number() OVER (PARTITION BY tx_id ORDER BY start_, end_) - 1) || ';Parent=t' || tx_id FROM pk WHERE label = 'kept') x""")
+def gff3(spark, sf_dir):
+    """SK-07: a built transcriptome."""
+    return files.gff3_lines(_built(spark, sf_dir).features, copied=("gene_type",))
+
+
+@query("sk_bed12", WITH + """, t AS (SELECT tx_id, min(gene_id) AS gene_id, min(start_) AS s, max(end_) AS e, min(start_) FILTER (rnk IN (2, 3)) AS ts, max(end_) FILTER (rnk IN (2, 3)) AS te, count(*) AS n, string_agg((end_ - start_ + 1)::VARCHAR, ',' ORDER BY start_, end_) AS sizes FROM e GROUP BY tx_id),
+  b AS (SELECT tx_id, string_agg((start_ - s)::VARCHAR, ',' ORDER BY start_, end_) AS starts FROM e JOIN t USING (tx_id) GROUP BY tx_id)
+  SELECT 't' || tx_id AS tx_id, concat_ws(chr(9), 'chr' || (gene_id % 5 + 1), s - 1, e, 't' || tx_id, '.', CASE gene_id % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE '.' END, coalesce(ts, s) - 1, coalesce(te, e), CASE gene_id % 3 WHEN 1 THEN '255,153,153' ELSE '153,255,153' END, n, sizes, starts) AS value FROM t JOIN b USING (tx_id)""")
+def bed12(spark, sf_dir):
+    """SK-06: transcripts whose second and third exon are coding; genes are made, as no row has one."""
+    exon = get(EXON)(spark, sf_dir)[0]
+    named = lambda kind, c: F.concat(F.lit(kind), F.col(c))
+    tx = exon.groupBy("tx_id").agg(F.min("gene_id").alias("gene_id"), F.min("chrom").alias("chrom"), F.min("start_").alias("start_"), F.max("end_").alias("end_"), F.min("strand").alias("strand"))
+    tx = tx.withColumns({"feature_type": F.lit("mRNA"), "ID": named("t", "tx_id"), "Parent": named("g", "gene_id")})
+    parts = exon.withColumn("feature_type", F.explode(F.when(F.col("rnk").isin(2, 3), F.array(F.lit("exon"), F.lit("CDS"))).otherwise(F.array(F.lit("exon"))))).withColumn("Parent", named("t", "tx_id"))
+    lines = text.gff_lines(tx, "ID", "Parent").unionByName(text.gff_lines(parts, "Parent"))
+    return files.bed12_lines(annotation.build(text.gff_rows(lines), annotation.FLAVOURS["generic", "gff"]).features)
