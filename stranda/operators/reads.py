@@ -35,14 +35,15 @@ def tag_label(tag: Column, values: list, drop_missing: bool = False, inverse: bo
 
 
 def bases(reads: DataFrame, reference: Callable[[Column], Column], least_quality: int = 0) -> DataFrame:
-    """RD-06, RD-10: a row for each aligned base of (uid, chrom, start_, cigar, seq, quals): chrom, pos, ref, alt, quality, and the other columns.
+    """RD-06, RD-10: a row for each aligned base of (uid, chrom, start_, cigar, seq, quals): chrom, pos, ref, alt, quality, offset in the read
+    (from 0, clips counted), and the other columns.
 
     quals is an array of int. A deleted base has alt "-" and no quality, and is always kept."""
     each = reads.withColumn("op", F.explode(sq.cigar_blocks(F.col("start_"), F.col("cigar"))))
     spread = each.select("*", F.posexplode(F.sequence("op.start_", "op.end_")).alias("k", "pos"))
     at = (F.col("op.read_start") + F.col("k")).cast("int")
     deleted = F.col("op.op") == "D"
-    out = spread.withColumns({"alt": F.when(deleted, "-").otherwise(F.substring("seq", at, F.lit(1))), "quality": F.when(~deleted, F.get("quals", at - 1)), "ref": reference(F.col("pos"))})
+    out = spread.withColumns({"alt": F.when(deleted, "-").otherwise(F.substring("seq", at, F.lit(1))), "quality": F.when(~deleted, F.get("quals", at - 1)), "offset": F.when(~deleted, at - 1), "ref": reference(F.col("pos"))})
     return out.filter(F.col("quality").isNull() | (F.col("quality") >= least_quality)).drop("op", "k")
 
 
@@ -114,14 +115,22 @@ def pileup_at(found: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 def tag_tc(found: DataFrame, key: list[str], reverse_strand: bool = False) -> DataFrame:
-    """TL-01: of each read, xt convertible (T, or A on the other strand) and xc converted (to C, or G) bases.
+    """TL-01: of each read, xt convertible (T, or A on the other strand) and xc converted (to C, or G) bases; where found has their offset, xm (offsets of
+    the converted ones, joined by commas) and yc (a colour that darkens with the share converted, null without any), too.
 
     The strand is the read's, turned for second reads, and once more for reverse_strand."""
     minus = (F.col("flag").bitwiseAND(F.lit(16)) != 0) != (F.col("flag").bitwiseAND(F.lit(128)) != 0)
     minus = ~minus if reverse_strand else minus
     source, target = F.when(minus, "A").otherwise("T"), F.when(minus, "G").otherwise("C")
     convertible = F.col("ref") == source
-    return found.groupBy(*key).agg(F.count_if(convertible).alias("xt"), F.count_if(convertible & (F.col("alt") == target)).alias("xc"))
+    converted = convertible & (F.col("alt") == target)
+    counts = [F.count_if(convertible).alias("xt"), F.count_if(converted).alias("xc")]
+    if "offset" not in found.columns:
+        return found.groupBy(*key).agg(*counts)
+    tagged = found.groupBy(*key).agg(*counts, F.array_sort(F.collect_list(F.when(converted, F.col("offset")))).alias("xm"))
+    share = F.floor(F.lit(255) * (F.col("xc") / F.nullif("xt", F.lit(0))))
+    colour = F.when(F.col("xc") > 0, F.concat((F.lit(255) - share).cast("string"), F.lit(",0,0")))
+    return tagged.withColumns({"xm": F.array_join(F.transform("xm", lambda x: x.cast("string")), ","), "yc": colour})
 
 
 def quantise(values: DataFrame, column: str, bins: int = 10) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import FEAT, GENOME, NEAR, READS
 from ..functions import sequence as sq
-from ..operators import amplicons, genome, kmers, transcripts
+from ..operators import alignments, amplicons, genome, kmers, transcripts
 from .base import WITH, get, query
 
 SIZE = 256  # small chunks, so that small tables have many
@@ -151,3 +151,18 @@ def kmer_positions(spark, sf_dir):
     """SQ-07."""
     found = get(READS)(spark, sf_dir)[0].select("uid", F.explode(sq.kmer_search(F.col("seq"), ["ACAC", "TTTT"])).alias("kmer", "at"))
     return found.select("uid", "kmer", F.explode("at").alias("pos")).withColumn("pos", F.col("pos").cast("long"))
+
+
+_BLOCK = "CASE cigar WHEN '32M' THEN [[0, 31]] WHEN '12M10N20M' THEN [[0, 11], [22, 41]] WHEN '6S26M' THEN [[0, 25]] WHEN '16M2D16M' THEN [[0, 15], [18, 33]] ELSE [[0, 9], [10, 29]] END"
+
+
+@query("sk_built_reads", _WHOLE + f""", k AS (SELECT uid, chrom, start_ + x[1] AS start_, start_ + x[2] AS end_ FROM (SELECT uid, chrom, start_, unnest({_BLOCK}) AS x FROM r) y),
+  q AS (SELECT uid, string_agg(p, '' ORDER BY start_) AS seq FROM (SELECT k.*, {_PART} AS p FROM k JOIN w USING (chrom)) z GROUP BY uid)
+  SELECT 'r' || uid AS name, (flag & 16)::INT AS flag, chrom, start_::BIGINT AS start_, end_::BIGINT AS end_, CASE cigar WHEN '6S26M' THEN '26M' WHEN '16M2D16M' THEN '16M2N16M' WHEN '10M2I20M' THEN '10M0N20M' ELSE cigar END AS cigar,
+  CASE WHEN uid % 2 = 0 THEN q.seq ELSE substr(q.seq, 1, (uid % 7)::INT) || 'T' || substr(q.seq, (uid % 7)::INT + 2) END AS seq, repeat('~', length(q.seq)) AS qual FROM r JOIN q USING (uid)""")
+def built_reads(spark, sf_dir):
+    """SK-14: reads of blocks, with the genome's bases and a substitution in every other one."""
+    reads = get(READS)(spark, sf_dir)[0]
+    change = F.when(F.col("uid") % 2 == 1, F.array(F.struct((F.col("uid") % 7).cast("int").alias("off"), F.lit("T").alias("alt"))))
+    given = reads.select(F.concat(F.lit("r"), F.col("uid")).alias("name"), "chrom", F.when(F.col("flag").bitwiseAND(F.lit(16)) != 0, "-").otherwise("+").alias("strand"), sq.read_blocks(F.col("start_"), F.col("cigar")).alias("blocks"), change.alias("mm"))
+    return alignments.built(given, _genome(spark, sf_dir), SIZE).select("name", "flag", "chrom", F.col("start_").cast("long").alias("start_"), F.col("end_").cast("long").alias("end_"), "cigar", "seq", "qual")

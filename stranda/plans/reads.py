@@ -298,3 +298,12 @@ def tsv(spark, sf_dir):
 def block_cigar(spark, sf_dir):
     """SK-14: the CIGAR of a read's aligned blocks."""
     return get(READS)(spark, sf_dir)[0].select("uid", text.blocks_cigar(sq.read_blocks(F.col("start_"), F.col("cigar"))).alias("cigar"))
+
+
+_OFFSET = _BASED + f", c AS (SELECT uid, count(*) FILTER (t) AS xt, count(*) FILTER (t AND hit) AS xc, string_agg((rp - 1)::VARCHAR, ',' ORDER BY rp) FILTER (t AND hit) AS xm FROM (SELECT uid, rp, ref = CASE WHEN {_MINUS} THEN 'A' ELSE 'T' END AS t, alt = CASE WHEN {_MINUS} THEN 'G' ELSE 'C' END AS hit FROM b) x GROUP BY uid) "
+
+
+@query("tl_tags", _OFFSET + "SELECT uid, xt, xc, coalesce(xm, '') AS xm, CASE WHEN xc > 0 THEN (255 - floor(255 * (xc / xt))::BIGINT) || ',0,0' END AS yc FROM c")
+def tags(spark, sf_dir):
+    """TL-01: all tags of a read, the places of conversions and the colour among them."""
+    return ops.tag_tc(_bases(spark, sf_dir), ["uid"]).select("uid", "xt", "xc", "xm", "yc")
