@@ -74,6 +74,11 @@ def longest_homopolymer(seq: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r))), F.lit(0)).cast("long")
 
 
+def longest_runs(seq: Column) -> Column:
+    """SQ-05, SQ-06: (hp, gc): lengths of the longest run of one letter and of the longest run of G and C."""
+    return F.struct(longest_homopolymer(seq).alias("hp"), longest_run(seq, "GC").alias("gc"))
+
+
 def kmer_positions(seq: Column, kmer: str, overlapping: bool = False) -> Column:
     """SQ-07: array of the 1-based positions of a k-mer; from the left, matches that don't overlap, or all of them."""
     last = F.length(seq) - len(kmer) + 1

@@ -21,11 +21,13 @@ def ranked(exons: DataFrame) -> DataFrame:
     return exons.withColumns({"rank": F.row_number().over(order).cast("long"), "offset": F.coalesce(before, F.lit(0)).cast("long")})
 
 
-def last_bases(exons: DataFrame, width: int = 200) -> DataFrame:
-    """SQ-18: blocks of the last `width` spliced bases of each transcript; all of a shorter one."""
+def last_bases(exons: DataFrame, width: int = 200, partial: bool = True) -> DataFrame:
+    """SQ-18: blocks of the last `width` spliced bases of each transcript; all of a shorter one, or (without partial) none."""
     back = Window.partitionBy("tx_id").orderBy(F.when(F.col("strand") == "-", F.col("start_")).otherwise(-F.col("end_")))
     size = F.col("end_") - F.col("start_") + 1
     after = F.coalesce(F.sum(size).over(back.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if not partial:
+        exons = exons.withColumn("_size", F.sum(size).over(Window.partitionBy("tx_id"))).filter(F.col("_size") >= width)
     left = exons.withColumn("take", F.least(size, F.lit(width) - after)).filter("take > 0")
     minus = F.col("strand") == "-"
     return left.select("tx_id", "chrom", "strand", F.when(minus, F.col("start_")).otherwise(F.col("end_") - F.col("take") + 1).alias("start_"), F.when(minus, F.col("start_") + F.col("take") - 1).otherwise(F.col("end_")).alias("end_"))
@@ -67,3 +69,13 @@ def interval_to_spliced(exons: DataFrame, intervals: DataFrame) -> DataFrame:
     until = F.when(minus, clamp(F.col("end_") - F.col("q_start") + 1)).otherwise(clamp(F.col("q_end") - F.col("start_") + 1))
     both = intervals.join(exons, "tx_id")
     return both.groupBy("tx_id", "q_start", "q_end").agg((F.sum(before) + 1).cast("long").alias("rel_start"), F.sum(until).cast("long").alias("rel_end"))
+
+
+def base_positions(exons: DataFrame) -> DataFrame:
+    """SQ-16: (tx_id, positions, gaps): the genomic position of each spliced base from the 5' end, and how many bases lie between each two that follow
+    one another. Exons of a transcript don't overlap; its arrays are as long as it is."""
+    spans = exons.groupBy("tx_id").agg(F.min("strand").alias("strand"), F.array_sort(F.collect_list(F.struct("start_", "end_"))).alias("b"))
+    up = F.flatten(F.transform("b", lambda x: F.sequence(x["start_"], x["end_"])))
+    out = spans.select("tx_id", F.when(F.col("strand") == "-", F.reverse(up)).otherwise(up).alias("positions"))
+    gap = lambda x, i: F.abs(F.get("positions", i + 1) - x) - 1
+    return out.withColumn("gaps", F.transform(F.slice("positions", F.lit(1), F.greatest(F.size("positions") - 1, F.lit(0))), gap))

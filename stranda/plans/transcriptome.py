@@ -168,3 +168,23 @@ def bed12(spark, sf_dir):
     parts = exon.withColumn("feature_type", F.explode(F.when(F.col("rnk").isin(2, 3), F.array(F.lit("exon"), F.lit("CDS"))).otherwise(F.array(F.lit("exon"))))).withColumn("Parent", named("t", "tx_id"))
     lines = text.gff_lines(tx, "ID", "Parent").unionByName(text.gff_lines(parts, "Parent"))
     return files.bed12_lines(annotation.build(text.gff_rows(lines), annotation.FLAVOURS["generic", "gff"]).features)
+
+
+@query("seq_base_positions", WITH + """SELECT tx_id, md5(string_agg(pos::VARCHAR, ',' ORDER BY k)) AS positions, md5(coalesce(string_agg(gap::VARCHAR, ',' ORDER BY k), '')) AS gaps FROM (SELECT *, abs(lead(pos) OVER (PARTITION BY tx_id ORDER BY k) - pos) - 1 AS gap
+  FROM (SELECT tx_id, pos, CASE WHEN strand = '-' THEN -pos ELSE pos END AS k FROM (SELECT tx_id, strand, unnest(range(start_, end_ + 1)) AS pos FROM e) x) y) z GROUP BY tx_id""")
+def base_positions(spark, sf_dir):
+    """SQ-16: positions of spliced bases and the gaps between them, as digests."""
+    digest = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
+    return transcripts.base_positions(get(EXON)(spark, sf_dir)[0]).select("tx_id", digest("positions").alias("positions"), digest("gaps").alias("gaps"))
+
+
+@query("seq_3end_whole", WITH + "SELECT tx_id, start_, end_ FROM (SELECT tx_id, CASE WHEN strand = '-' THEN start_ ELSE end_ - least(size, 60 - after) + 1 END AS start_, CASE WHEN strand = '-' THEN start_ + least(size, 60 - after) - 1 ELSE end_ END AS end_, after FROM (SELECT *, end_ - start_ + 1 AS size, cast(coalesce(sum(end_ - start_ + 1) OVER (PARTITION BY tx_id ORDER BY CASE WHEN strand = '-' THEN start_ ELSE -end_ END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS after FROM e WHERE tx_id IN (SELECT tx_id FROM e GROUP BY tx_id HAVING sum(end_ - start_ + 1) >= 60)) a) b WHERE after < 60")
+def whole_ends(spark, sf_dir):
+    """SQ-18: only of transcripts that are long enough."""
+    return transcripts.last_bases(get(EXON)(spark, sf_dir)[0], 60, partial=False).select("tx_id", "start_", "end_")
+
+
+@query("seq_longest_runs", WITH + "SELECT uid, list_max(list_transform(regexp_extract_all(seq, 'A+|C+|G+|T+'), lambda x: length(x)))::BIGINT AS hp, coalesce(list_max(list_transform(regexp_extract_all(seq, '[GC]+'), lambda x: length(x))), 0)::BIGINT AS gc FROM r")
+def longest_runs(spark, sf_dir):
+    """SQ-05, SQ-06: both in one."""
+    return get(READS)(spark, sf_dir)[0].select("uid", sq.longest_runs(F.col("seq")).alias("x")).select("uid", "x.hp", "x.gc")
