@@ -4,18 +4,19 @@ Base spans are found by pattern and validator, leftmost and not overlapping for
   email, ip (parts at most 255), card (16 to 19 digits, Luhn), phone (8 to 15 digits). They always stay.
 Further GENERATORS propose spans generously, overlapping base spans and each other: runs of digits with separators, anything
 around an at sign, words of letters and digits, quoted or assigned values. Each candidate has a few features of small range, of
-its format and its context. Trees of depth 2 are boosted on the logistic loss. Labels come from elsewhere than the features:
+its format and its context. For each kind, trees of depth 2 are boosted on the logistic loss. Labels come from elsewhere than the features:
   numbers and addresses: whether a validated base span overlaps them;
   secrets: positive if a credential's name and an equals sign or colon stand before (no feature shows that), or if the value was
-  made by a hash function: every MADE-th of the ordinary words taken (one in WORDS_TAKEN) is replaced by a hexadecimal, base 64 or upper-case
-  digest of itself, in its own context. Negative are the ordinary words (WORDS, proposed in training alone). What is neither
-  is left out. So there are labels of both kinds in a corpus of any size, and none of a format that a pattern spells out.
+  made by a hash function: every MADE-th of the distinct ordinary words is replaced, wherever it stands, by a hexadecimal,
+  base 64 or upper-case digest of itself. Negative are the other ordinary words (WORDS, proposed in training alone). What is
+  neither is left out. So there are labels of both kinds in a corpus of any size, and none of a format that a pattern spells out.
 Candidates of equal features and label are one cell with a count, so training reads a table of cells, bounded by the features'
-ranges and not by the corpus. TRAIN_DOCS documents in the mean, picked by a hash of the text, are used. Each of FOLDS folds is
+ranges and not by the corpus. All candidates and words of all texts are counted, equal texts once. Each of FOLDS folds is
 scored by trees of the others; on these scores each kind gets the least score whose precision is at least PRECISION, or none.
 What reaches it is added under the kind, unless it overlaps a base span or what an earlier generator added.
 
-All work is in SQL functions on whole texts, in the row; nothing is shuffled but cells. Spans are compared by sorting and one
+All work is in SQL functions on whole texts, in the row. For training, texts are shuffled once, to find equal ones, and then
+the counts of cells and words. Spans are compared by sorting and one
 scan, so a text with many costs little more for each. Texts and values of any length are taken whole. Positions are code points,
 ends are exclusive. Null text: empty, no spans. Null doc_id: as any row. Repeated rows: a row of results each. Ties: of candidates
 that overlap, the earlier generator's stays, then the one that begins first. Empty table: no rows. Other columns are kept by
@@ -33,10 +34,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 BASE = ("email", "ip", "card", "phone")
-TRAIN_DOCS = 20_000
 PRECISION = 0.95
 ROUNDS, RATE, LEAST_CELL, FOLDS = 30, 0.3, 5, 3
-MADE, WORDS_TAKEN = 4, 16  # every fourth of each sixteenth distinct ordinary word becomes a digest
+MADE = 4  # every fourth distinct ordinary word becomes a digest
 _BLOCK = 256
 
 # The contract's patterns. A match can only begin where a run of its first characters does, or where the last match ended;
@@ -166,37 +166,37 @@ FEATURES = {
 }
 
 
-def candidates(df: DataFrame, words: bool = False) -> DataFrame:
-    """df of base_spans with an array for each generator: structs (kind, start, end, features..., near_base, named).
-
-    words: with `words` too, ordinary words and digests put in their places, as examples of secrets; their label is `made`."""
+def candidates(df: DataFrame) -> DataFrame:
+    """df of base_spans with an array for each generator: structs (kind, start, end, features..., near_base, named)."""
     digit, at = F.col("_digit"), F.col("_at")
     where = {"number": digit, "at": at, "token": digit, "quoted": F.col("text").rlike("[=:]")}
 
-    def row(kind: str, c: Column, near: Column, **more: Column) -> Column:
-        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), *(f(c).alias(k) for k, f in FEATURES.items()), near.alias("near_base"), c["before"].rlike(_NAMED).alias("named"), *(v.alias(k) for k, v in more.items()))
+    def row(kind: str, c: Column, near: Column) -> Column:
+        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), *(f(c).alias(k) for k, f in FEATURES.items()), near.alias("near_base"), c["before"].rlike(_NAMED).alias("named"))
 
     of = lambda kind: lambda z: row(kind, z["c"], F.coalesce(z["n"], F.lit(False)))
     for name, (kind, pattern) in GENERATORS.items():
         df = with_matches(df, f"_{name}", pattern, where[name])
         df = with_overlap(df, "_near", f"_{name}", "base")
         df = df.withColumn(name, F.transform(F.arrays_zip(F.col(f"_{name}").alias("c"), F.col("_near").alias("n")), of(kind))).drop(f"_{name}", "_near")
-    if words:
-        df = with_matches(df, "_words", WORDS, F.lit(True))
-
-        def example(c: Column) -> Column:
-            h = F.xxhash64(c["value"])
-            digest = F.sha2(c["value"], 512)
-            coded = F.regexp_replace(F.base64(F.unhex(digest)), "=+$", "")
-            value = F.when(F.pmod(h, F.lit(3)) == 0, digest).when(F.pmod(h, F.lit(3)) == 1, coded).otherwise(F.regexp_replace(F.upper(coded), "[^A-Z0-9]", "X"))
-            value = F.left(value, (F.pmod(F.shiftright(h, 8), F.lit(72)) + 12).cast("int"))
-            made = F.pmod(F.shiftright(h, 16), F.lit(MADE)) == 0
-            return F.struct(c["start"].alias("start"), c["end"].alias("end"), F.when(made, value).otherwise(c["value"]).alias("value"), c["before"].alias("before"), c["after"].alias("after"), made.alias("made"))
-
-        df = df.withColumn("words", F.transform(F.transform(F.filter("_words", lambda c: F.pmod(F.xxhash64(c["value"], F.lit(2)), F.lit(WORDS_TAKEN)) == 0), example), lambda c: row("secret", c, F.lit(False), made=c["made"]))).drop("_words")
     return df.drop("_digit", "_at")
 
 
+def example(word: Column) -> Column:
+    """The cell of an ordinary word as an example of secrets: a digest put in its place, label 1, or the word itself, label 0.
+
+    White space or an end of the text is on both sides, which no feature tells apart."""
+    h = F.xxhash64(word)
+    digest = F.sha2(word, 512)
+    coded = F.regexp_replace(F.base64(F.unhex(digest)), "=+$", "")
+    value = F.when(F.pmod(h, F.lit(3)) == 0, digest).when(F.pmod(h, F.lit(3)) == 1, coded).otherwise(F.regexp_replace(F.upper(coded), "[^A-Z0-9]", "X"))
+    value = F.left(value, (F.pmod(F.shiftright(h, 8), F.lit(72)) + 12).cast("int"))
+    made = F.pmod(F.shiftright(h, 16), F.lit(MADE)) == 0
+    c = F.struct(F.when(made, value).otherwise(word).alias("value"), F.lit("").alias("before"), F.lit("").alias("after"))
+    # in an array, for the code of all features would be too long to be compiled
+    return F.transform(F.array(c), lambda c: F.struct(F.lit(KINDS.index("secret")).alias("kind"), *(f(c).alias(k) for k, f in FEATURES.items()), made.cast("int").alias("label")))[0]
+
+
 class Trees:
     """Boosted trees of depth 2 over cells: (features, positives, total) with small-integer features, kind first."""
 
@@ -256,24 +256,34 @@ class Trees:
         return sum((of(t) for t in self.trees), F.lit(self.bias))
 
 
-def train(docs: DataFrame) -> tuple[Trees, dict[int, float]]:
-    """(trees, least score by place in KINDS) from about TRAIN_DOCS distinct texts."""
-    n = docs.count()
-    pick = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
-    some = docs.filter(pick < math.ceil((1 << 20) * min(1, TRAIN_DOCS / max(n, 1)))).select("text").dropDuplicates(["text"])
-    found = candidates(base_spans(some), words=True).withColumn("fold", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(FOLDS)))
+def train(docs: DataFrame) -> tuple[list[Trees], dict[int, float]]:
+    """(trees for each of KINDS, least score by place there) from all distinct texts; each kind has its own, so that none is outweighed."""
+    texts = docs.select(F.col("text").cast("string")).dropDuplicates(["text"])
+    found = candidates(base_spans(texts)).withColumn("fold", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(FOLDS)))
     named = F.filter(F.concat("token", "quoted"), lambda c: c["named"])
-    label = lambda a, of: F.transform(a, lambda c: F.struct(*(c[k].alias(k) for k in Trees.names), of(c).cast("int").alias("label")))
-    labelled = F.concat(label(F.concat("number", "at"), lambda c: c["near_base"]), label(named, lambda c: F.lit(True)), label("words", lambda c: c["made"]))
+    no_word, no_cell = F.lit(None).cast("string"), F.lit(None).cast(f"struct<{', '.join(f'{k}: int' for k in (*Trees.names, 'label'))}>")
+    label = lambda a, of: F.transform(a, lambda c: F.struct(no_word.alias("word"), F.struct(*(c[k].alias(k) for k in Trees.names), of(c).cast("int").alias("label")).alias("c")))
+    words = F.transform(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)), lambda w: F.struct(w.alias("word"), no_cell.alias("c")))
+    labelled = F.concat(label(F.concat("number", "at"), lambda c: c["near_base"]), label(named, lambda c: F.lit(True)), words)
     # outer, for Spark would else filter on the array itself and make all of it twice
-    each = found.select("fold", F.explode_outer(labelled).alias("c")).select("fold", "c.*")
-    cells = each.groupBy("fold", *Trees.names).agg(F.sum("label").alias("p"), F.count("*").alias("t")).collect()  # bounded by the features' ranges
-    rows = sorted((r.fold, tuple(int(r[k]) for k in Trees.names), float(r.p), float(r.t)) for r in cells if r.kind is not None)
+    each = found.select("fold", F.explode_outer(labelled).alias("e")).select("fold", "e.word", "e.c")
+    # equal words have equal features, which are worked out once for each
+    counted = each.groupBy("fold", "word", "c").agg(F.count("*").alias("n"))
+    cells = counted.select("fold", "n", F.when(F.col("word").isNull(), F.col("c")).otherwise(example(F.col("word"))).alias("c"))
+    sums: dict[tuple, list[float]] = {}
+    for r in cells.groupBy("fold", "c").agg(F.sum("n").alias("n")).collect():  # bounded by the features' ranges
+        if r.c is not None:
+            *x, positive = r.c
+            own = sums.setdefault((r.fold, tuple(map(int, x))), [0.0, 0.0])
+            own[0], own[1] = own[0] + r.n * positive, own[1] + r.n
+    rows = sorted((fold, x, p, t) for (fold, x), (p, t) in sums.items())
     scored = []
-    for fold in range(FOLDS):
-        trees = Trees([(x, p, t) for f, x, p, t in rows if f != fold])
-        scored += [(trees.score(x), x[0], p, t) for f, x, p, t in rows if f == fold]
-    return Trees([(x, p, t) for _, x, p, t in rows]), thresholds(scored)
+    kinds = [[r for r in rows if r[1][0] == kind] for kind in range(len(KINDS))]
+    for own in kinds:
+        for fold in range(FOLDS):
+            trees = Trees([(x, p, t) for f, x, p, t in own if f != fold])
+            scored += [(trees.score(x), x[0], p, t) for f, x, p, t in own if f == fold]
+    return [Trees([(x, p, t) for _, x, p, t in own]) for own in kinds], thresholds(scored)
 
 
 def thresholds(scored: list[tuple[float, int, float, float]]) -> dict[int, float]:
@@ -295,7 +305,7 @@ def detect(docs: DataFrame) -> DataFrame:
     trees, least = train(docs)
     df = candidates(base_spans(docs))
     df = df.withColumn("added", F.expr("cast(array() AS array<struct<kind: string, start: bigint, end: bigint>>)"))
-    passes = lambda k: lambda c: ~c["near_base"] & (trees.column(c) >= F.lit(least[k] - 1e-9))
+    passes = lambda k: lambda c: ~c["near_base"] & (trees[k].column(c) >= F.lit(least[k] - 1e-9))
     span = lambda kind: lambda z: F.struct(F.lit(kind).alias("kind"), z["c"]["start"].alias("start"), z["c"]["end"].alias("end"))
     for name, (kind, _) in GENERATORS.items():
         k = KINDS.index(kind)

@@ -89,3 +89,22 @@ def test_redaction_nulls_repeats_and_empty(spark):
     got = sorted((str(r.doc_id), str(r.text), r.spans, r.found) for r in out.collect())
     assert got == sorted([("1", "x [EMAIL] y [EMAIL]", "own", 7)] * 2 + [("None", "none", "own", 7), ("2", "None", "own", 7), ("3", "", "own", 7)])
     assert op.redact(docs.limit(0)).count() == 0
+
+
+def test_all_texts_and_words_are_learned_from(spark, monkeypatch):
+    """Every candidate and ordinary word of more texts than a sample would take is counted once for each distinct text."""
+    seen = []
+
+    class Spy(op.Trees):
+        def __init__(self, cells):
+            seen.append(cells)
+            super().__init__(cells)
+
+    monkeypatch.setattr(op, "Trees", Spy)
+    n = 30_000
+    text = F.concat(F.lit("completely ordinary sentence about numbers "), F.col("id") + 55_500_000)
+    docs = spark.range(n).select(text.alias("text"))
+    op.train(docs.unionByName(docs.limit(500)))
+    last = seen[-1] if len(seen) == op.FOLDS + 1 else sum(seen[-len(op.KINDS) :], [])  # trees of all kinds, or of each
+    totals = [sum(t for x, _, t in last if x[0] == kind) for kind in range(len(op.KINDS))]
+    assert totals == [n, 0, 3 * n]
