@@ -1,8 +1,7 @@
 """Multilingual mixture inference: a document's language proportions by expectation-maximisation over n-gram likelihoods.
 
 Learning: hashed character trigrams of lower-cased letters and single spaces are counted for each language, over documents
-with a lang whose crc32(doc_id as text) mod 5 is not 0; about TRAIN_DOCS of them for each language, taken whole, are used,
-picked by a hash of doc_id. The model is a table of BUCKETS log-probabilities for each language (add-one smoothing, and a
+with a lang whose crc32(doc_id as text) mod 5 is not 0; all of them are used, taken whole. The model is a table of BUCKETS log-probabilities for each language (add-one smoothing, and a
 floor of LEAST_DOCS documents for a language to be learned) of at most LANGUAGES languages, whatever the corpus holds.
 
 Inference, for each whole text, alone and from its trigram counts only: the best single language has a closed form; from
@@ -12,7 +11,7 @@ proportion). The prediction is the language with the largest proportion in the s
 its share of the likelihood among single languages' per-trigram means; mixtures are returned too.
 
 `keep` asks for an absolute fit: the selected mixture's log-likelihood per trigram, plus the entropy of its proportions, so
-that a mixed text is held to the mean of its parts. It is compared with held-out pieces of SIZES trigrams of the predicted
+that a mixed text is held to the mean of its parts. It is compared with all pieces of SIZES trigrams of held-out texts of the predicted
 language, so it does not depend on how many languages are learned; without held-out texts, only `und` goes.
 
 Null text, or no letter: `und`, score 0. Null doc_id: never learned from and not held out. Null lang: predicted like others.
@@ -32,12 +31,12 @@ from pyspark.sql import functions as F
 from .common import mix64, pieces, table
 
 BUCKETS = 1 << 15
-TRAIN_DOCS = 2000
 LEAST_DOCS = 3
 LANGUAGES = 256  # the most frequent ones are learned
 PENALTY = 4.0
 STEPS = 12
 FOLDS = 5
+_CELLS = 1 << 21  # probabilities that are held at a time for pieces of one size
 SIZES = (8, 32, 128, 512, 2048)  # trigrams of the held-out pieces that `keep` is calibrated on
 LOW, FAR = 0.05, 4.0  # `keep`: a fit may be so many times as far under the median as that quantile is
 
@@ -102,6 +101,30 @@ class Model:
         top = min(range(len(chosen)), key=lambda i: (-share[i], chosen[i]))
         return self.langs[chosen[top]], like / len(grams) - float(some @ np.log(some))
 
+    def fit_pieces(self, grams: np.ndarray, size: int) -> np.ndarray:
+        """The second value of fit for each whole piece of `size` trigrams, one after the other.
+
+        The mixtures of a single language and of two are worked out for many pieces at once; a piece that asks for more goes to fit."""
+        most = max(1, _CELLS // (size * len(self.langs)))
+        whole = grams[: len(grams) // size * size].reshape(-1, size)
+        return np.concatenate([np.zeros(0), *(self._fit_some(whole[at : at + most]) for at in range(0, len(whole), most))])
+
+    def _fit_some(self, grams: np.ndarray) -> np.ndarray:
+        n = grams.shape[1]
+        single = self.log_p[grams].sum(axis=1)
+        best = single.argmax(axis=1)
+        row = np.arange(len(grams))
+        like = single[row, best]
+        if len(self.langs) > 1:
+            p = self.p[grams]
+            full = _em_each(p)[0]
+            full[row, best] = -1
+            pair = np.stack([best, full.argmax(axis=1)], axis=1)
+            now = _em_each(np.take_along_axis(p, pair[:, None, :], axis=2))[1]
+            for i in np.flatnonzero(now - like > PENALTY * np.log(n) / 2):
+                like[i] = self.fit(grams[i])[1] * n
+        return like / n
+
     def fits(self, text: str | None) -> bool:
         """Whether the text is in learned languages, as far as its length can tell."""
         grams = trigrams(text or "")
@@ -149,21 +172,30 @@ def _em(p: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, float]:
     return share, float(count @ np.log(p @ share))
 
 
+def _em_each(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_em for each piece of p[piece, n-gram, language], its n-grams counted one by one."""
+    share = np.full((p.shape[0], p.shape[2], 1), 1 / p.shape[2])
+    for _ in range(STEPS):
+        share = share * ((1 / (p @ share)).transpose(0, 2, 1) @ p).transpose(0, 2, 1) / p.shape[1]
+    return share[:, :, 0], np.log(p @ share).sum(axis=(1, 2))
+
+
 def _fits(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            out = []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 grams = trigrams(text)
-                out += [(lang, n, model.value.fit(grams[at : at + n])[1]) for n in SIZES for at in range(0, min(len(grams) - n + 1, 4 * n), n)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.float64()))], ["lang", "n", "fit"])
+                for n in SIZES:
+                    found = model.value.fit_pieces(grams, n)
+                    if len(found):
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array([n] * len(found), pa.int32()), pa.array(found)], ["lang", "n", "fit"])
 
     return run
 
 
 def calibrate(docs: DataFrame, model: Model) -> Model:
-    """Sets the model's least fits from about TRAIN_DOCS held-out texts for each language; two numbers a size reach the driver."""
-    some = _some(docs, held_out(F.col("doc_id"))).filter(F.col("lang").isin(model.langs))
+    """Sets the model's least fits from all held-out texts of its languages; two numbers a size reach the driver."""
+    some = _known(docs, held_out(F.col("doc_id"))).filter(F.col("lang").isin(model.langs))
     found = some.mapInArrow(_fits(docs.sparkSession.sparkContext.broadcast(model)), "lang string, n int, fit double").groupBy("lang", "n").agg(F.percentile_approx("fit", [LOW, 0.5], 10_000).alias("q")).collect()
     for lang in model.langs:
         at = sorted((r.n, r.q[1] - FAR * (r.q[1] - r.q[0])) for r in found if r.lang == lang)
@@ -172,17 +204,16 @@ def calibrate(docs: DataFrame, model: Model) -> Model:
     return model
 
 
-def _some(docs: DataFrame, where: Column) -> DataFrame:
-    """(lang, text) of about TRAIN_DOCS texts for each language, of those that have all columns."""
-    known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").filter(where)
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    share = F.coalesce(*(F.when(F.col("lang") == r.lang, int(min(1.0, TRAIN_DOCS / r.n) * (1 << 30))) for r in sizes), F.lit(0))
-    return known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("lang", "text")
+def _known(docs: DataFrame, where: Column) -> DataFrame:
+    """(lang, text) of all texts that have all columns."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").filter(where).select("lang", "text")
 
 
 def learn(docs: DataFrame) -> Model:
-    """Reads about TRAIN_DOCS texts for each language; at most BUCKETS + 1 sums for each reach the driver."""
-    counted = _some(docs, ~held_out(F.col("doc_id"))).mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    """Reads all texts of the LANGUAGES most frequent languages; at most BUCKETS + 1 sums for each reach the driver."""
+    known = _known(docs, ~held_out(F.col("doc_id")))
+    langs = [r.lang for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
+    counted = known.filter(F.col("lang").isin(langs)).mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     return Model([tuple(r) for r in counted.collect()])
 
 

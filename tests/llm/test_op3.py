@@ -69,3 +69,39 @@ def test_mixture_equals_brute_force():
         best = max(pairs, key=pairs.get)
         worth = pairs[best] - single > op.PENALTY * np.log(400) / 2
         assert (len(chosen) == 2) == worth and (not worth or set(chosen) == set(best)) and abs(proportions.sum() - 1) < 1e-9
+
+
+def test_all_texts_and_pieces_are_learned_from(spark, monkeypatch):
+    """Counts of more texts of a language than a sample would take, and fits of all pieces of a held-out text."""
+    n = 6000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("un texte").alias("text"), F.lit("fr").alias("lang"))
+    seen = []
+
+    class Spy(op.Model):
+        def __init__(self, rows):
+            seen.extend(rows)
+            super().__init__(rows)
+
+    monkeypatch.setattr(op, "Model", Spy)
+    op.learn(docs)
+    learned = sum(zlib.crc32(str(i).encode()) % op.FOLDS != 0 for i in range(n))
+    assert {x[2] for x in seen} == {learned} and len(seen) == 1 + len(" un texte ") - 2
+
+
+def test_fits_of_all_pieces_equal_one_by_one():
+    rng = np.random.default_rng(7)
+    rows = [(lang, -1, 10) for lang in "abc"]
+    own = rng.integers(0, op.BUCKETS, (3, 400))
+    rows += [(lang, int(b), int(k)) for lang, g in zip("abc", own, strict=True) for b, k in zip(*np.unique(g, return_counts=True), strict=True)]
+    model = op.Model(rows)
+    text = np.concatenate([rng.choice(own[0], 500), rng.choice(own[1:].ravel(), 600), rng.choice(own.ravel(), 307), rng.integers(0, op.BUCKETS, 100)])
+    for size in op.SIZES:
+        want = [model.fit(text[at : at + size])[1] for at in range(0, len(text) - size + 1, size)]
+        assert np.allclose(model.fit_pieces(text, size), want)
+
+    class Broadcast:
+        value = model
+
+    words = " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(120))
+    batch = next(op._fits(Broadcast)(iter([op.pa.RecordBatch.from_arrays([op.pa.array(["a"]), op.pa.array([words])], ["lang", "text"])])))
+    assert batch.num_rows == len(op.trigrams(words)) // op.SIZES[0] > 4
