@@ -36,21 +36,31 @@ def lengths(genome: DataFrame, size: int = CHUNK) -> DataFrame:
     return genome.groupBy("chrom").agg(F.max(F.col("chunk") * size + F.length("seq")).alias("length"))
 
 
-def fetch(intervals: DataFrame, genome: DataFrame, key: list[str], size: int = CHUNK, offsets: dict[str, int] | None = None) -> DataFrame:
-    """SQ-13: key and seq of each interval (key, chrom, start_, end_); N wherever the genome has nothing: before its first base, behind
-    its last, in chromosomes it lacks. offsets: the position of a chromosome's first stored base (else 1).
+def _first(offsets: dict[str, int] | None) -> Column:
+    if not offsets:
+        return F.lit(1)
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv)), F.col("chrom")), F.lit(1))
 
-    Rows of one key are one interval. Only the pieces meet: each interval has one row for each chunk it touches."""
-    first = F.lit(1)
-    if offsets:
-        first = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv)), F.col("chrom")), first)
-    q = intervals.select(*key, "chrom", (F.col("start_") - first).alias("_s"), (F.col("end_") - first).alias("_e")).dropDuplicates(key)
+
+def _touched(q: DataFrame, size: int) -> tuple[DataFrame, Column]:
+    """Rows with _s and _e (0-based in the genome's stored bases), one for each chunk they touch (null: none), and what they have of that
+    chunk's seq, once it is joined."""
     last = F.col("_e") - F.pmod("_e", F.lit(size))
     inside = F.when((F.col("_e") >= 0) & (F.col("_s") <= F.col("_e")), F.sequence(F.expr(f"greatest(_s, 0) div {size}"), (last / size).cast("long")))
-    each = q.withColumn("chunk", F.explode_outer(inside))
     lo, hi = F.greatest("_s", F.col("chunk") * size), F.least("_e", (F.col("chunk") + 1) * size - 1)
     wanted = (hi - lo + 1).cast("int")
     piece = F.rpad(F.coalesce(F.substring("seq", (lo - F.col("chunk") * size + 1).cast("int"), wanted), F.lit("")), wanted, F.lit("N"))
+    return q.withColumn("chunk", F.explode_outer(inside)), piece
+
+
+def fetch(intervals: DataFrame, genome: DataFrame, key: list[str], size: int = CHUNK, offsets: dict[str, int] | None = None) -> DataFrame:
+    """SQ-13: key and seq of each interval (key, chrom, start_, end_); N wherever the genome has nothing: before its first base, behind
+    its last, in chromosomes it lacks. offsets: the position of a chromosome's first stored base (else 1).
+
+    Rows of one key are one interval. Only the pieces meet: each interval has one row for each chunk it touches."""
+    first = _first(offsets)
+    q = intervals.select(*key, "chrom", (F.col("start_") - first).alias("_s"), (F.col("end_") - first).alias("_e")).dropDuplicates(key)
+    each, piece = _touched(q, size)
     found = each.join(genome, ["chrom", "chunk"], "left").select(*key, "_s", "_e", F.struct("chunk", piece.alias("seq")).alias("p"))
     one = found.groupBy(*key).agg(F.min("_s").alias("_s"), F.min("_e").alias("_e"), F.array_sort(F.collect_list("p")).alias("p"))
     whole = F.array_join(F.transform("p", lambda x: F.coalesce(x["seq"], F.lit(""))), "")
@@ -58,11 +68,12 @@ def fetch(intervals: DataFrame, genome: DataFrame, key: list[str], size: int = C
     return one.select(*key, F.when(n == 0, "").otherwise(F.lpad(whole, n, F.lit("N"))).alias("seq"))
 
 
-def sequences(features: DataFrame, genome: DataFrame, key: list[str], mode: str = "dna", size: int = CHUNK, boundaries: bool = False, offsets: dict[str, int] | None = None) -> DataFrame:
+def sequences(features: DataFrame, genome: DataFrame, key: list[str], mode: str = "dna", size: int = CHUNK, boundaries: bool = False, offsets: dict[str, int] | None = None, kept: tuple[str, ...] = ()) -> DataFrame:
     """SQ-12: key and seq of features (key, chrom, start_, end_, strand).
 
     dna: as on the + strand; rna: the reverse complement on -; spliced (of rows that are exons) and translated (of rows that are
-    CDS parts): a key's rows joined in genomic order, then turned on -; boundaries puts * between them."""
+    CDS parts): a key's rows joined in genomic order, then turned on -; boundaries puts * between them. kept: columns of the rows of
+    which spliced and translated return each key's distinct values, as arrays."""
     if mode in ("dna", "rna"):
         seq = fetch(features, genome, key, size, offsets)
         if mode == "dna":
@@ -71,11 +82,19 @@ def sequences(features: DataFrame, genome: DataFrame, key: list[str], mode: str
         return turned.select(*key, F.when(F.col("_strand") == "-", reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
     if mode not in ("spliced", "translated"):
         raise ValueError(f"unknown mode {mode}")
-    parts = features.select(*key, "chrom", "start_", "end_", "strand")
-    pieces = fetch(parts, genome, [*key, "chrom", "start_", "end_", "strand"], size, offsets)
-    joined = pieces.groupBy(*key).agg(F.min("strand").alias("_strand"), F.array_sort(F.collect_list(F.struct("start_", "seq"))).alias("p"))
-    whole = F.array_join(F.transform("p", lambda x: x["seq"]), "*" if boundaries else "")
-    return joined.select(*key, F.when(F.col("_strand") == "-", reverse_complement(whole)).otherwise(whole).alias("seq"))
+    first = _first(offsets)
+    parts = features.select(*key, *kept, "chrom", "start_", "end_", "strand", (F.col("start_") - first).alias("_s"), (F.col("end_") - first).alias("_e"))
+    each, piece = _touched(parts, size)
+    # the first piece of a row takes what lies before the genome
+    opens = F.col("chunk").isNull() | (F.col("chunk") == F.expr(f"greatest(_s, 0) div {size}"))
+    before = F.when(opens & F.col("chunk").isNotNull(), F.greatest(F.lit(0), -F.col("_s")).cast("int")).otherwise(0)
+    text = F.concat(F.when(opens, "*" if boundaries else "").otherwise(""), F.repeat(F.lit("N"), before), F.coalesce(piece, F.lit("")))
+    found = each.join(genome, ["chrom", "chunk"], "left").select(*key, *kept, "strand", F.struct("start_", "end_", "chrom", "strand", "chunk", text.alias("seq")).alias("p"))
+    joined = found.groupBy(*key).agg(F.min("strand").alias("_strand"), F.array_sort(F.collect_list("p")).alias("p"), *(F.collect_set(F.struct(c)).alias(c) for c in kept))
+    # of equal rows, one: pieces are sorted
+    whole = F.array_join(F.transform("p", lambda x, i: F.when((i == 0) | ~x.eqNullSafe(F.get("p", i - 1)), x["seq"])), "")
+    whole = F.substr(whole, F.lit(2)) if boundaries else whole
+    return joined.select(*key, F.when(F.col("_strand") == "-", reverse_complement(whole)).otherwise(whole).alias("seq"), *(F.col(c)[c].alias(c) for c in kept))
 
 
 def windows(genome: DataFrame, width: int, step: int, padding: bool = False, region: tuple[str, int, int] | None = None, size: int = CHUNK) -> DataFrame:

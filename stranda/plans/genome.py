@@ -47,8 +47,8 @@ _PART = _CUT.format(s="start_", e="end_")
 _SPLICED = _WHOLE + f", sp AS (SELECT tx_id, CASE WHEN min(strand) = '-' THEN translate(reverse(string_agg(p, '' ORDER BY start_)), 'ACGT', 'TGCA') ELSE string_agg(p, '' ORDER BY start_) END AS seq FROM (SELECT n.*, {_PART} AS p FROM n JOIN w USING (chrom)) x GROUP BY tx_id) "
 
 
-def _spliced(spark, sf_dir) -> DataFrame:
-    return genome.sequences(get(NEAR)(spark, sf_dir)[0].drop("rnk").distinct(), _genome(spark, sf_dir), ["tx_id"], "spliced", SIZE)
+def _spliced(spark, sf_dir, kept: tuple[str, ...] = ()) -> DataFrame:
+    return genome.sequences(get(NEAR)(spark, sf_dir)[0], _genome(spark, sf_dir), ["tx_id"], "spliced", SIZE, kept=kept)
 
 
 @query("seq_spliced", _SPLICED + "SELECT tx_id, seq FROM sp")
@@ -139,7 +139,7 @@ def genome_kmers(spark, sf_dir):
 def kmer_targets(spark, sf_dir):
     """SQ-21: words of reads against spliced transcripts."""
     wanted = get(READS)(spark, sf_dir)[0].filter("(flag & 3844) = 0").select(F.substring("seq", 9, 8).alias("kmer")).distinct()
-    tx = _spliced(spark, sf_dir).join(get(NEAR)(spark, sf_dir)[0].select("tx_id", "gene_id").distinct(), "tx_id")
+    tx = _spliced(spark, sf_dir, ("gene_id",)).withColumn("gene_id", F.explode("gene_id"))
     return kmers.targets(wanted, tx)
 
 

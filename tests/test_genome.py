@@ -135,3 +135,72 @@ def test_targets_count_genes(spark):
     df = spark.createDataFrame([("AACC",), ("CCGG",), ("GGGGG",)], "kmer string")
     got = sorted(map(tuple, kmers.targets(df, tx).select("kmer", "tx_id", "n_genes").collect()))
     assert got == [("AACC", "t1", 2), ("AACC", "t2", 2), ("AACC", "t3", 2), ("CCGG", "t1", 1)]
+
+
+def test_spliced_rows_of_any_place(spark, stored):
+    at = lambda c, s, e: "".join(seq[p - 1] if 1 <= p <= len(seq := SEQS.get(c, "")) else "N" for p in range(s, e + 1))
+    parts = {"a": [("c4", -5, 3), ("c4", 60, 200), ("c4", 201, 200)], "b": [("c4", -9, -2), ("c4", 190, 300)], "c": [("nowhere", 2, 70)], "d": [("c3", 1, 1)]}
+    rows = [(tx, g, *p, "+") for tx, ps in parts.items() for p in ps for g in (tx + "1", tx + "2", None)]  # each row three times
+    exons = spark.createDataFrame(rows, "tx string, gene string, chrom string, start_ long, end_ long, strand string")
+    for mark in ("", "*"):
+        got = genome.sequences(exons, stored, ["tx"], "spliced", 64, bool(mark), kept=("gene",)).collect()
+        assert {r.tx: r.seq for r in got} == {tx: mark.join(at(*p) for p in ps) for tx, ps in parts.items()}
+    assert {r.tx: set(r.gene) for r in got} == {tx: {tx + "1", tx + "2", None} for tx in parts}
+
+
+def brute_targets(tx, searched, both):
+    hits = set()
+    for t, g, seq in tx:
+        for kmer in {x.upper() for x in searched if x}:
+            turned = "".join({"A": "T", "C": "G", "G": "C", "T": "A", "N": "N"}.get(c, "*") for c in reversed(kmer))
+            if kmer in (seq or "").upper() or both and turned in (seq or "").upper():
+                hits.add((kmer, t, g))
+    return sorted(((k, t, g, len({h[2] for h in hits if h[0] == k and h[2]})) for k, t, g in hits), key=str)
+
+
+@pytest.mark.parametrize("both,most,longest", [(False, 99, 99), (True, 99, 99), (False, 3, 99), (True, 99, 39)])
+def test_targets_equal_brute_force(spark, monkeypatch, both, most, longest):
+    monkeypatch.setattr(kmers, "MOST", most)
+    monkeypatch.setattr(kmers, "LONGEST", longest)
+    rng = random.Random(6)
+    make = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    tx = [(i, rng.choice(["g1", "g2", "g3", "g4", None]), make(rng.randrange(0, 90))) for i in range(60)]
+    tx += [(1, "g9", "acgtNacgt*" + make(30)), (1, "g9", make(40)), (70, "g1", None), (71, "g5", ""), (72, "g6", "äC中GTA"), (73, "g7", "CC" + tx[5][2])]
+    searched = ["A", "CG", "ACG", "acgtn", "GT*A", "中GT", "XAC", "GT*", "", tx[5][2][:40], tx[5][2][1:40], make(50)] + [make(rng.randrange(3, 7)) for _ in range(20)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)  # genes go on in the next batch
+    try:
+        got = kmers.targets(spark.createDataFrame([(k,) for k in searched], "kmer string"), spark.createDataFrame(tx, "tx_id long, gene_id string, seq string"), both)
+        assert sorted(map(tuple, got.select("kmer", "tx_id", "gene_id", "n_genes").collect()), key=str) == brute_targets(tx, searched, both)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_targets_of_no_kmers(spark):
+    tx = spark.createDataFrame([("t1", "g1", "AACCGG")], "tx_id string, gene_id string, seq string")
+    assert kmers.targets(spark.createDataFrame([("",)], "kmer string"), tx).collect() == []
+
+
+def test_targets_dont_shuffle_words(spark):
+    tx = spark.createDataFrame([("t1", "g1", "AACCGG")], "tx_id string, gene_id string, seq string")
+    plan = kmers.targets(spark.createDataFrame([("AACC",)], "kmer string"), tx)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_lookup_in_runs_of_rows(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(kmers, "LETTERS", 50)
+    rng = random.Random(7)
+    rows = [["".join(rng.choice("ACGTN") for _ in range(rng.choice([0, 3, 20, 130]))) for _ in range(rng.choice([0, 1, 1, 2]))] for _ in range(80)]
+    rows += [[], ["AC", "GA"]]  # as many sequences as rows, and no ACG
+    searched = ["ACG", "TT", "ACGTACGTACGTACG", "ACGTACGTACGTACGTACGT", rows[0][0][:12] if rows[0] else "GGG", max((s for r in rows for s in r), key=len)[5:40]]
+    look = kmers._Lookup(list(enumerate(searched)))
+    got = set()
+    for chunk in (pa.array(rows, pa.list_(pa.string())), pa.array([["ACG"]] + rows, pa.list_(pa.string())).slice(1)):
+        found = set()
+        for a, b, pairs in look.read(chunk):
+            row, kmer = look.split(pairs)
+            found |= {(int(r) + a, int(k)) for r, k in zip(row, kmer)}
+        assert found == {(i, k) for i, r in enumerate(rows) for k, x in enumerate(searched) if any(x in s for s in r)}
+        got |= found
+    assert got
